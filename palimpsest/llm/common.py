@@ -14,6 +14,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
 #: Rows with a key heavier than total / HEAVY_SHARE are "hot"; so at most HEAVY_SHARE keys are.
 HEAVY_SHARE = 2000
+SLICE = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,12 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def per_batch(df: DataFrame, fn, schema: str) -> DataFrame:
-    """fn: Arrow batch -> iterable of Arrow batches; nothing outlives a batch."""
+    """fn: Arrow batch -> iterable of Arrow batches; a worker holds SLICE rows at a time in Python."""
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                yield from fn(b)
+            for at in range(0, b.num_rows, SLICE):
+                yield from fn(b.slice(at, SLICE))
 
     return df.mapInArrow(run, schema)
 
