@@ -6,7 +6,7 @@ the backpointer paths of all boundaries that a later piece may still start from
 where no piece spans a boundary, else found by walking the paths back. Memory doesn't grow with the text.
 
 Scores: those of the model file if it is of unigram type. A file of BPE type has merge ranks in their place, which
-don't add up as log probabilities; for it, a piece of rank r scores -ln(r + 1) (Zipf), so its ids are the best
+don't add up as log probabilities; for it, a piece of rank r scores -ln(r + 1) (Zipf; unigram scores above 0 count as 0), so its ids are the best
 segmentation over that vocabulary, which often differs from the merge order's; `merges=True` gives the latter,
 exactly as the library does. Both decode to the same text.
 
@@ -34,6 +34,9 @@ SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MEMO = 500_000
 SHORT = 64
+#: Scores are whole numbers of 1 / UNIT, so sums are exact and ties don't depend on where a window began: the longer
+#: last piece wins.
+UNIT = 1_000_000
 
 
 class Vocabulary:
@@ -49,7 +52,7 @@ class Vocabulary:
         self.library = SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.dummy = proto.normalizer_spec.add_dummy_prefix
         self.ids: dict[str, int] = {}
-        self.scores: dict[str, float] = {}
+        self.scores: dict[str, int] = {}
         self.bytes: dict[int, int] = {}
         self.text: list[bytes] = []
         ranked = proto.trainer_spec.model_type == 2
@@ -66,12 +69,13 @@ class Vocabulary:
             elif p.type in (1, 4):
                 rank += 1
                 self.ids[p.piece] = i
-                self.scores[p.piece] = -math.log(rank + 1) if ranked else p.score
+                self.scores[p.piece] = -1 + round(UNIT * (-math.log(rank + 1) if ranked else min(0.0, p.score)))
                 out = p.piece.replace(SPACE, " ").encode()
             self.text.append(out)
         self.longest = max(map(len, self.ids), default=1)
-        self.outside = min(self.scores.values(), default=0.0) - 10.0  # the score of a character that is no piece
-        self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self.outside = min(self.scores.values(), default=0) - 10 * UNIT  # the score of a character that is no piece
+        #: every prefix of a piece -> the piece's score, or None where the prefix is no piece
+        self.trie: dict[str, int | None] = {p[:k]: None for p in self.ids for k in range(1, len(p) + 1)} | self.scores
         pairs = {(a, b) for p in self.ids for a, b in zip(p, p[1:])}
         self.word_starts = not any(b == SPACE and a != SPACE for a, b in pairs)  # then nothing spans a word's start
         alone = "\n" if not any("\n" in x for x in pairs) else ""
@@ -96,7 +100,7 @@ class Stream:
 
     def _reset(self):
         self.buf = ""
-        self.best, self.back, self.reach, self.done = [0.0], [0], 0, 0
+        self.best, self.back, self.reach, self.done = [0], [0], 0, 0
 
     def _commit(self, upto: int) -> list[int]:
         """The ids from the window's start to boundary upto, which every path goes through."""
@@ -129,7 +133,7 @@ class Stream:
 
     def _extend(self, final: bool) -> list[int]:
         v, out = self.v, []
-        starts, scores = v.starts, v.scores
+        trie = v.trie
         while self.done < len(self.buf) and (final or len(self.buf) - self.done >= v.longest):
             i, buf = self.done, self.buf
             score, best, back = self.best[i], self.best, self.back
@@ -139,9 +143,9 @@ class Stream:
             single = False
             for end in range(i + 1, min(len(buf), i + v.longest) + 1):
                 piece = buf[i:end]
-                if piece not in starts:
+                s = trie.get(piece, 0)
+                if s == 0:
                     break
-                s = scores.get(piece)
                 if s is not None:
                     single |= end == i + 1
                     self.reach = max(self.reach, end)
@@ -191,19 +195,20 @@ class Encoder:
     def _short(self, part: str) -> tuple[int, ...]:
         """The stream's recurrence for a part that fits in one window."""
         v = self.v
-        starts, scores, outside, n = v.starts, v.scores.get, v.outside, len(part)
-        best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+        trie, outside, n = v.trie.get, v.outside, len(part)
+        best, back = [0] + [-math.inf] * n, [0] * (n + 1)
         for i in range(n):
             score, single = best[i], False
             for end in range(i + 1, n + 1):
                 piece = part[i:end]
-                s = scores(piece)
+                s = trie(piece, 0)
+                if s == 0:
+                    break
                 if s is not None:
-                    single |= end == i + 1
+                    if end == i + 1:
+                        single = True
                     if score + s > best[end]:
                         best[end], back[end] = score + s, i
-                elif piece not in starts:
-                    break
             if not single and score + outside > best[i + 1]:
                 best[i + 1], back[i + 1] = score + outside, i
         out: list[int] = []
@@ -248,11 +253,21 @@ class Encoder:
         return raw[1:] if self.v.dummy and raw[:1] == " " else raw
 
 
+def encoder(model: str = MODEL, merges: bool = False) -> Encoder:
+    """One encoder a process: Python workers serve many tasks, and so keep its memo."""
+    import sentencepiece
+
+    kept = sentencepiece.__dict__.setdefault("_palimpsest", {})
+    if (model, merges) not in kept:
+        kept[model, merges] = Encoder(model, merges)
+    return kept[model, merges]
+
+
 def encode_documents(docs: DataFrame, model: str = MODEL, merges: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids, decoded_crc32 (of the text that the ids decode to), lossless."""
 
     def run(batches):
-        enc = Encoder(model, merges)
+        enc = encoder(model, merges)
         for big in batches:
             for at in range(0, big.num_rows, 256):
                 b = big.slice(at, 256)
@@ -277,7 +292,7 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, text from doc_id, ids."""
 
     def run(batches):
-        enc = Encoder(model)
+        enc = encoder(model)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else enc.decode(x) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
