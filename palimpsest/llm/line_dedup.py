@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import attach, cut, per_batch, table
 
-WINDOW, DIVISOR, MIN_LINES, MAX_LINES = 2, 3, 2, 64
+WINDOW, DIVISOR, MIN_LINES, MAX_LINES, BROADCAST = 2, 3, 2, 64, 1_000_000
 SPACES = " \t\n\x0b\x0c\r"
 _MASK = (1 << 64) - 1
 
@@ -91,6 +91,8 @@ def removals(docs: DataFrame) -> DataFrame:
     # a chunk stays in the game if its hash is repeated; hot hashes are salted by attach()
     wanted = cut(attach(rows, repeated, ["h"], "n", F.struct("doc_id", "no")).where("n is not null").select("doc_id", "no"))
     by_doc = wanted.groupBy("doc_id").agg(F.sort_array(F.collect_set("no")).alias("nos"))  # at most a document's own chunks
+    if wanted.count() <= BROADCAST:  # 12 bytes a chunk and a row header; beyond that both sides are shuffled
+        by_doc = F.broadcast(by_doc)
     with_text = texts.join(by_doc, "doc_id").select("doc_id", "text", "nos")
     # the byte comparison: grouped by the bytes themselves, counted before the shuffle
     pieces = cut(per_batch(with_text, _pieces, "doc_id long, no int, piece binary").select("doc_id", "no", "piece"))
