@@ -24,6 +24,7 @@ import re
 import zlib
 from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from .common import per_batch, table
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MEMO = 500_000
+MEMO = 200_000
 SHORT = 64
 #: Scores are whole numbers of 1 / UNIT, so sums are exact and ties don't depend on where a window began: the longer
 #: last piece wins.
@@ -174,25 +175,172 @@ class Stream:
         return out
 
 
+_M = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Lattices:
+    """The same recurrence over many short parts at once, as array steps: all parts advance by one boundary together.
+    The vocabulary's prefixes are found by 64-bit rolling hashes of at most `longest` characters."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        prefixes = sorted(v.trie)
+        hashes = np.zeros(len(prefixes), np.uint64)
+        for k, p in enumerate(prefixes):
+            h = 0
+            for c in p:
+                h = (h * int(_M) + ord(c) + 1) & (2**64 - 1)
+            hashes[k] = h
+        self.bits = 17
+        first = self._slot(hashes)
+        order = np.lexsort((hashes, first))
+        self.hashes = np.append(hashes[order], np.uint64(0))
+        self.score = np.array([0 if v.trie[prefixes[k]] is None else v.trie[prefixes[k]] for k in order] + [0], np.int64)
+        self.piece = np.array([v.ids.get(prefixes[k], -1) for k in order] + [-1], np.int32)
+        edges = np.searchsorted(first[order], np.arange((1 << self.bits) + 1))
+        self.start = edges[:-1].astype(np.int32)
+        self.size = np.diff(edges).astype(np.int8)
+        self.deepest = int(self.size.max(initial=0))
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 for none."""
+        slot = self._slot(h)
+        at, left = self.start[slot], self.size[slot]
+        out = np.full(len(h), -1, np.int32)
+        rows = np.flatnonzero(left)
+        for k in range(self.deepest):
+            hit = self.hashes[at[rows] + k] == h[rows]
+            out[rows[hit]] = at[rows[hit]] + k
+            rows = rows[~hit]
+            rows = rows[left[rows] > k + 1]
+            if not len(rows):
+                break
+        return out
+
+    def encode(self, parts: list[str]) -> list[bytes | None]:
+        """Ids of each part as bytes; None where a character is outside the vocabulary."""
+        lens = np.fromiter(map(len, parts), np.int64, len(parts))
+        chars = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        ends = np.cumsum(lens)
+        begin = ends - lens
+        total = len(chars)
+        limit = np.repeat(ends, lens)
+        local = np.arange(total) - np.repeat(begin, lens)
+        idx, h = np.arange(total), np.zeros(total, np.uint64)
+        single = np.zeros(total, bool)
+        froms, tos, scores, pieces = [], [], [], []
+        for n in range(1, self.v.longest + 1):
+            ok = idx + n <= limit[idx]
+            idx, h = idx[ok], h[ok]
+            h = h * _M + chars[idx + n - 1]
+            at = self._find(h)
+            ok = at >= 0
+            idx, h, at = idx[ok], h[ok], at[ok]
+            if not len(idx):
+                break
+            whole = self.piece[at] >= 0
+            if n == 1:
+                single[idx[whole]] = True
+            froms.append(idx[whole]), tos.append(idx[whole] + n), scores.append(self.score[at[whole]]), pieces.append(self.piece[at[whole]])
+        out: list[bytes | None] = [None] * len(parts)
+        if not froms:
+            return out
+        a, b, s, p = map(np.concatenate, (froms, tos, scores, pieces))
+        # boundaries: part k has its own from begin[k] + k to ends[k] + k
+        part = np.repeat(np.arange(len(parts)), lens)
+        a2, b2 = a + part[a], b + part[a]
+        order = np.argsort(local[a], kind="stable")
+        a2, b2, s, p, when = a2[order], b2[order], s[order], p[order], local[a][order]
+        best = np.full(total + len(parts), np.iinfo(np.int64).min // 2)
+        back, chosen = np.zeros(total + len(parts), np.int64), np.full(total + len(parts), -1, np.int32)
+        best[begin + np.arange(len(parts))] = 0
+        cuts = np.searchsorted(when, np.arange(int(lens.max()) + 1))
+        for k in range(len(cuts) - 1):
+            x = slice(cuts[k], cuts[k + 1])
+            got = best[a2[x]] + s[x]
+            better = got > best[b2[x]]
+            to = b2[x][better]
+            best[to], back[to], chosen[to] = got[better], a2[x][better], p[x][better]
+        good = np.logical_and.reduceat(single, begin) if len(begin) else np.zeros(0, bool)
+        words = np.flatnonzero(good)
+        cur, home = (ends + np.arange(len(parts)))[words], (begin + np.arange(len(parts)))[words]
+        who, ids = [], []
+        live = words
+        while len(live):
+            who.append(live), ids.append(chosen[cur])
+            cur = back[cur]
+            more = cur > home
+            live, cur, home = live[more], cur[more], home[more]
+        if who:
+            w, i = np.concatenate(who[::-1]), np.concatenate(ids[::-1])  # last pieces first, so reversed
+            order = np.argsort(w, kind="stable")
+            flat = np.ascontiguousarray(i[order], np.int32).tobytes()
+            edges = np.concatenate([[0], np.cumsum(np.bincount(w, minlength=len(parts)))]) * 4
+            for k in words.tolist():
+                out[k] = flat[edges[k] : edges[k + 1]]
+        return out
+
+
 class Encoder:
     """Encodes whole texts. Where no piece spans a word's start, every path converges there, so committed words
     are remembered (a memo of bounded size)."""
 
     def __init__(self, path: str = MODEL, merges: bool = False):
         self.v = Vocabulary(path)
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.merges = merges
+        self.lattices = Lattices(self.v)
+
+    def _remember(self, part: str, ids: bytes) -> None:
+        if len(self.memo) >= MEMO:  # two generations: what is still in use moves on
+            self.older, self.memo = self.memo, {}
+        self.memo[part] = ids
+
+    def encode_many(self, texts: list[str | None]) -> list[array | None]:
+        """encode() of each; the parts that are new to the memo go through the lattices together."""
+        if self.merges or not self.v.word_starts:
+            return [None if t is None else self.encode(t) for t in texts]
+        lead = " " if self.v.dummy else ""
+        split = [self.v.parts.findall((lead + t).replace(" ", SPACE)) if t and SPACE not in t else None for t in texts]
+        parts = set().union(*filter(None, split))
+        here, todo = {}, []
+        for p in parts:
+            ids = self.memo.get(p) or self.older.get(p)
+            if ids is None:
+                todo.append(p)
+            else:
+                here[p] = ids
+        short = [p for p in todo if len(p) <= SHORT]
+        here.update(zip(short, self.lattices.encode(short)) if short else ())
+        for p in todo:
+            if here.get(p) is None:
+                here[p] = self._part(p)
+        for p, ids in here.items():
+            if len(p) <= SHORT:
+                self._remember(p, ids)
+        out = []
+        for t, ps in zip(texts, split):
+            if ps is None:
+                out.append(None if t is None else self.encode(t))
+            else:
+                ids = array("i")
+                ids.frombytes(b"".join(map(here.__getitem__, ps)))
+                out.append(ids)
+        return out
 
-    def _part(self, part: str) -> tuple[int, ...]:
+    def _part(self, part: str) -> bytes:
         if len(part) > SHORT:
             s = Stream(self.v)
-            return tuple(s.push(part) + s.finish())
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        ids = self.memo[part] = self._short(part)
+            return array("i", s.push(part) + s.finish()).tobytes()
+        ids = self.older.get(part) or array("i", self._short(part)).tobytes()
+        self._remember(part, ids)
         return ids
 
-    def _short(self, part: str) -> tuple[int, ...]:
+    def _short(self, part: str) -> list[int]:
         """The stream's recurrence for a part that fits in one window."""
         v = self.v
         trie, outside, n = v.trie.get, v.outside, len(part)
@@ -219,7 +367,7 @@ class Encoder:
             out.extend(reversed(v.spell(piece)) if i is None else (i,))
             at = back[at]
         out.reverse()
-        return tuple(out)
+        return out
 
     def _plain(self, text: str, out: array) -> None:
         text = text.replace(" ", SPACE)
@@ -229,14 +377,13 @@ class Encoder:
                 out.extend(s.push(text[at : at + 4096]))
             out.extend(s.finish())
             return
-        memo, part = self.memo.get, self._part
-        for p in self.v.parts.findall(text):
-            out.extend(memo(p) or part(p))
+        part = self._part
+        out.frombytes(b"".join([self.memo.get(p) or part(p) for p in self.v.parts.findall(text)]))
 
     def encode(self, text: str) -> array:
         out = array("i")
         if self.merges:
-            out.extend(self.v.library.encode(text))
+            out.extend(self.v.library.encode(text))  # the library's own merge order
         elif text:
             first, *rest = text.split(SPACE)
             if self.v.dummy:
@@ -273,14 +420,13 @@ def encode_documents(docs: DataFrame, model: str = MODEL, merges: bool = False)
                 b = big.slice(at, 256)
                 values, offsets, counts, crc, same = array("i"), array("i", [0]), [], [], []
                 texts = b.column(1).to_pylist()
-                for t in texts:
-                    if t is None:
+                for t, ids in zip(texts, enc.encode_many(texts)):
+                    if ids is None:
                         counts.append(None), crc.append(None), same.append(None)
                     else:
-                        ids = enc.encode(t)
                         back = enc.decode(ids)
                         counts.append(len(ids)), crc.append(zlib.crc32(back.encode("utf-8", "surrogatepass"))), same.append(back == t)
-                        values.extend(ids)
+                        values.frombytes(ids.tobytes())
                     offsets.append(len(values))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()), mask=pa.array([t is None for t in texts]) if None in texts else None)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int32()), lists, pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "decoded_crc32", "lossless"])
