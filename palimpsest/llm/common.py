@@ -35,7 +35,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def per_batch(df: DataFrame, fn, schema: str) -> DataFrame:
+def per_batch(df: DataFrame, fn, schema) -> DataFrame:
     """fn: Arrow batch -> iterable of Arrow batches; a worker holds SLICE rows at a time in Python."""
 
     def run(batches):

@@ -122,15 +122,14 @@ def filter_documents(docs: DataFrame, version: str = "v2") -> DataFrame:
     at = schema.fieldNames().index("text")
     mask = POLICIES[version] | BASE
 
-    def run(batches):
-        for b in batches:
-            keep = []
-            for t in b.column(at).to_pylist():
-                m = dict(zip(MEASURES, measure(t)))
-                keep.append(not any(mask & BITS[r] and _FAILS[r](m) for r in RULES))
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, schema)
+    def run(b):
+        keep = []
+        for t in b.column(at).to_pylist():
+            m = dict(zip(MEASURES, measure(t)))
+            keep.append(not any(mask & BITS[r] and _FAILS[r](m) for r in RULES))
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+    return per_batch(docs, run, schema)
 
 
 #: The same rules for a row in Python; tests hold both against each other.

@@ -33,7 +33,7 @@ from .common import per_batch, table
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MEMO = 200_000
+MEMO = 100_000
 SHORT = 64
 #: Scores are whole numbers of 1 / UNIT, so sums are exact and ties don't depend on where a window began: the longer
 #: last piece wins.
@@ -320,7 +320,7 @@ class Encoder:
             if here.get(p) is None:
                 here[p] = self._part(p)
         for p, ids in here.items():
-            if len(p) <= SHORT:
+            if len(p) <= SHORT and p not in self.memo:
                 self._remember(p, ids)
         out = []
         for t, ps in zip(texts, split):
