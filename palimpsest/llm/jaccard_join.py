@@ -34,9 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, components, cut, per_batch, table
+from .common import attach, components, cut, per_batch, small_batches, table
 
-GROUPS, LEAF, TILE, FLUSH, PART, MAX_PARTS, MEMO, BROADCAST, MANY = 64, 32, 1024, 1_000_000, 1_500_000, 20_000, 400_000, 1_000_000, 0xFFFF
+GROUPS, LEAF, TILE, FLUSH, PART, MAX_PARTS, MEMO, BROADCAST, MANY = 64, 32, 1024, 1_000_000, 1_500_000, 20_000, 150_000, 1_000_000, 0xFFFF
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _S = [np.uint64(s) for s in (30, 27, 31)]
 
@@ -292,6 +292,7 @@ def link(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     volume = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = int(min(MAX_PARTS, max(4, volume // 6 // PART)))
+    small_batches(docs.sparkSession)
     sent = texts.mapInArrow(_payloads(parts), "part long, pid long, blob binary")
     shared = sent.groupBy("part").applyInPandas(_shared, "pid long, own boolean, blob binary")
     meta = cut(shared.groupBy("pid").applyInPandas(_totals, "doc_id long, n long, s1 long, s2 long, shared long"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, table
+from .common import small_batches, table
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -400,21 +400,11 @@ class Encoder:
         return raw[1:] if self.v.dummy and raw[:1] == " " else raw
 
 
-def encoder(model: str = MODEL, merges: bool = False) -> Encoder:
-    """One encoder a process: Python workers serve many tasks, and so keep its memo."""
-    import sentencepiece
-
-    kept = sentencepiece.__dict__.setdefault("_palimpsest", {})
-    if (model, merges) not in kept:
-        kept[model, merges] = Encoder(model, merges)
-    return kept[model, merges]
-
-
 def encode_documents(docs: DataFrame, model: str = MODEL, merges: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids, decoded_crc32 (of the text that the ids decode to), lossless."""
 
     def run(batches):
-        enc = encoder(model, merges)
+        enc = Encoder(model, merges)
         for big in batches:
             for at in range(0, big.num_rows, 256):
                 b = big.slice(at, 256)
@@ -431,6 +421,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, merges: bool = False)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()), mask=pa.array([t is None for t in texts]) if None in texts else None)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int32()), lists, pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "decoded_crc32", "lossless"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens int, ids array<int>, decoded_crc32 long, lossless boolean")
 
 
@@ -438,7 +429,7 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, text from doc_id, ids."""
 
     def run(batches):
-        enc = encoder(model)
+        enc = Encoder(model)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else enc.decode(x) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
