@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, sample, table
 
 SUB, CENTROIDS, SAMPLE, ETA, RERANK = 2, 16, 20000, 2.6, 128
 ROWS, QUERIES, SEED = 16384, 8192, 7
@@ -38,6 +38,10 @@ def _split(x: np.ndarray) -> np.ndarray:
 
 def assign(x: np.ndarray, books: np.ndarray, eta: float = ETA, sweeps: int = 2) -> np.ndarray:
     """Codes of unit vectors x (rows x subspaces x SUB) by coordinate descent on the anisotropic loss."""
+    return np.concatenate([_assign(x[k : k + 1024], books, eta, sweeps) for k in range(0, len(x), 1024)]) if len(x) else np.zeros(x.shape[:2], np.int64)
+
+
+def _assign(x: np.ndarray, books: np.ndarray, eta: float, sweeps: int) -> np.ndarray:
     n, m, _ = x.shape
     d = ((x[:, :, None, :] - books[None]) ** 2).sum(3)  # rows x subspaces x 16
     par = ((x[:, :, None, :] - books[None]) * x[:, :, None, :]).sum(3)
@@ -129,12 +133,12 @@ def valid(vectors: DataFrame) -> DataFrame:
     return ok.where(F.size("v") == (dim["d"] if dim else 0))
 
 
-def search(vectors: DataFrame, is_query, k: int = 5, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 5, rerank: int = RERANK, train_rows: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score. is_query: a condition on the column id."""
     schema = "query_id long, vec_id long, score double"
     spark = vectors.sparkSession
     base = valid(vectors)
-    some = base.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(sample).toPandas()
+    some = sample(base, "id", train_rows, SEED).toPandas()
     if not len(some):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = np.array(some["v"].tolist())

@@ -56,6 +56,16 @@ def per_batch(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def sample(df: DataFrame, ident: str, n: int, seed: int) -> DataFrame:
+    """At most n rows, those with the smallest seeded hashes. A threshold on the hash, from the number of rows, goes
+    first, so that no partition sends n rows anywhere."""
+    total = df.count()
+    h = F.xxhash64(F.lit(seed), F.col(ident))
+    if total > 2 * n:
+        df = df.where(h < int(-(2**63) + 2**64 * min(1.0, 1.25 * n / total)))
+    return df.orderBy(h, ident).limit(n)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text, 0 for null; JVM only."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, cut, per_batch, table
+from .common import sample as sample_rows
 from .quality_rules import measure
 
 TRAIN, RIDGE, SEED, THRESHOLD = 20000, 1.0, 11, 0.5
@@ -77,7 +78,7 @@ def classify(docs: DataFrame, labels: DataFrame, train: int = TRAIN, threshold:
     f = cut(per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", site("source").alias("host"), site("lang").alias("path")), _featurise, "doc_id long, host string, path string, " + ", ".join(f"{x} double" for x in FEATURES)))
     y = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.when(F.col("quality") > 0, 1.0).otherwise(0.0)).alias("y"))
     f = f.join(y, "doc_id", "left")
-    sample = f.where("y is not null").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(train).select(*FEATURES, "y").toPandas()
+    sample = sample_rows(f.where("y is not null"), "doc_id", train, SEED).select(*FEATURES, "y").toPandas()
     if len(sample) and 0 < sample["y"].mean() < 1:
         coef, bias = fit(sample[list(FEATURES)].to_numpy(), sample["y"].to_numpy())
         prior = float(np.clip(sample["y"].mean(), 1e-3, 1 - 1e-3))
