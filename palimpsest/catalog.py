@@ -1,11 +1,7 @@
-"""The registry of the engine's queries."""
+"""The registry of the engine's queries and of the SQL that gives the same rows."""
 
-FLAGSHIP = "region_count"
+from .plans import corpus_queries, generic_queries
 
-
-def _region_count(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy("n_regionkey").count()
-
-
-QUERIES = {FLAGSHIP: _region_count}
-ORACLE_SQL = {FLAGSHIP: 'SELECT n_regionkey, count(*) AS "count" FROM nation GROUP BY 1'}
+FLAGSHIP = "inspect_summary"
+QUERIES = {**corpus_queries.QUERIES, **generic_queries.QUERIES}
+ORACLE_SQL = {**corpus_queries.ORACLE_SQL, **generic_queries.ORACLE_SQL}

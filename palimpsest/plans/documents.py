@@ -1,0 +1,178 @@
+"""Parsing: document bytes to sections, styles, paragraphs, runs, diagnostics. All of it stays inside a row, in
+array functions, so parsing a corpus needs no shuffle."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.scalars import bounded_int, colour, escape_html, escape_markdown, font_flags, heading_level, points, shifted
+from ..sources.legacy import decode
+
+LINE_BREAK = "\r\n|[\n\u000b\f\r\u001c-\u001e\u0085  ]"
+HEADER = r"^\[([^\[\]]+)\]$"
+KNOWN = ("ver", "sty", "files", "charset", "revisions", "prn", "port", "lang", "fldnames", "desc", "fopts", "lnopts", "docopts", "GramStyle", "tag", "lay", "elay", "l1", "pg", "edoc", "Embedded", "frm", "master", "toc", "Macro")
+TOKEN = r"@@|<<|<;>|<\[>|</.>|<\\.>|@[^@<>]+@|<[^<>]*>|[^@<]+|[@<]"
+TOGGLES = {"!": "bold", '"': "italic", "#": "underline", "%": "strike", "&": "super", "'": "sub"}
+ALIGN = {"@": "left", "A": "right", "B": "center", "C": "justify"}
+ATTRS = tuple(TOGGLES.values())
+RUN = "array<struct<text:string," + ",".join(f"{a}:boolean" for a in ATTRS) + ",style:string>>"
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """Adds lines, encoding, status and error; a document that isn't one gets status 'error', never an exception."""
+    d = decode(docs)
+    text = F.col("decoded.text")
+    all_lines = F.split(F.coalesce(text, F.lit("")), LINE_BREAK)
+    d = d.select(*docs.columns, F.col("decoded.encoding").alias("encoding"), F.col("decoded.undecodable").alias("undecodable"), F.col("decoded.payload_bytes").alias("payload_bytes"), all_lines.alias("lines"))
+    at = lambda name: F.array_position("lines", name)
+    version = F.when(at("[ver]") > 0, F.btrim(F.get("lines", at("[ver]").cast("int")), F.lit(" \t")))
+    error = F.when(F.length("content") == 0, "empty").when(F.col("content").isNull(), "unreadable").when(at("[ver]") == 0, "no-version-section").when(F.coalesce(bounded_int(version), F.lit(-1)) < 0, "no-version").when(at("[sty]") == 0, "no-style-section")
+    return d.withColumn("version", bounded_int(version)).withColumn("error", error).withColumn("status", F.when(error.isNull(), "ok").otherwise("error"))
+
+
+def sections(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, sec_no, name, ordinal (per name), first_line, n_lines."""
+    heads = parsed.select(key, F.size("lines").alias("total"), F.posexplode("lines").alias("line_no", "line")).where(F.col("line").rlike(HEADER)).select(key, "total", "line_no", F.regexp_extract("line", HEADER, 1).alias("name"))
+    w = Window.partitionBy(key).orderBy("line_no")
+    return heads.select(key, F.row_number().over(w).alias("sec_no"), "name", F.row_number().over(Window.partitionBy(key, "name").orderBy("line_no")).alias("ordinal"), F.col("line_no").alias("first_line"), (F.coalesce(F.lead("line_no").over(w), "total") - F.col("line_no") - 1).alias("n_lines"))
+
+
+def section_names(lines_: Column) -> Column:
+    return F.transform(F.filter(lines_, lambda x: x.rlike(HEADER)), lambda x: F.regexp_extract(x, HEADER, 1))
+
+
+def body(lines_: Column) -> Column:
+    """The body's lines: from [edoc] to the closing >, or to the next section where that comes first."""
+    start = F.array_position(lines_, "[edoc]").cast("int")
+    rest = F.slice(lines_, start + 1, F.greatest(F.lit(0), F.size(lines_) - start))
+    end = F.array_position(F.transform(rest, lambda x: (x == ">") | x.rlike(HEADER)), True).cast("int")
+    return F.when(start > 0, F.when(end > 0, F.slice(rest, 1, end - 1)).otherwise(rest)).otherwise(F.array().cast("array<string>"))
+
+
+def paragraphs(parsed: DataFrame) -> DataFrame:
+    """Adds raw: the body's paragraphs as written. Blank lines end a paragraph, other lines join without a space,
+    empty paragraphs vanish."""
+    joined = F.array_join(F.transform(body(F.col("lines")), lambda x: F.when(x.rlike(r"^[ \t]*$"), F.lit("\n")).otherwise(x)), "")
+    return parsed.withColumn("raw", F.filter(F.split(joined, "\n"), lambda x: x != ""))
+
+
+def tokens(raw: Column) -> Column:
+    return F.regexp_extract_all(raw, F.lit(f"({TOKEN})"), 1)
+
+
+def _literal(t: Column) -> Column:
+    return F.when(t == "@@", "@").when(t == "<<", "<").when(t == "<;>", ">").when(t == "<[>", "[").when(t == "</R>", "'").when(t.rlike(r"^<[/\\].>$"), shifted(t))
+
+
+def plain(raw: Column) -> Column:
+    """A paragraph's visible text."""
+    return F.array_join(F.transform(tokens(raw), lambda t: F.coalesce(_literal(t), F.when(t == "<:D>", "[Current date]").when(t == "<:P>", "[Page number]"), F.when(t.rlike("^@[^@<>]+@$") | t.rlike("^<[^<>]*>$"), F.lit("")), t)), "")
+
+
+def runs(raw: Column) -> Column:
+    """A paragraph's runs: a fold over its tokens with the toggles as state; neighbours that look alike merge."""
+    start = F.struct(*[F.lit(False).alias(a) for a in ATTRS], F.lit("Body Text").alias("style"), F.array().cast(RUN).alias("out"))
+
+    def step(acc, t):
+        on = {a: F.when(t == f"<+{c}>", True).when(t == f"<-{c}>", False).when(t == "<:>", False).otherwise(acc[a]) for c, a in TOGGLES.items()}
+        on["super"] = F.when(t == "<+'>", False).otherwise(on["super"])
+        on["sub"] = F.when(t == "<+&>", False).otherwise(on["sub"])
+        style = F.when(t.rlike("^@[^@<>]+@$"), F.regexp_replace(t, "@", "")).otherwise(acc["style"])
+        text = F.coalesce(_literal(t), F.when(t.rlike("^@[^@<>]+@$") | t.rlike("^<[^<>]*>$"), F.lit("")), t)
+        last = F.element_at(acc["out"], -1)
+        same = F.size(acc["out"]) > 0
+        for a in ATTRS:
+            same = same & last[a].eqNullSafe(acc[a])
+        same = same & last["style"].eqNullSafe(acc["style"])
+        new = F.struct(text.alias("text"), *[acc[a].alias(a) for a in ATTRS], acc["style"].alias("style"))
+        grown = F.struct(F.concat(last["text"], text).alias("text"), *[acc[a].alias(a) for a in ATTRS], acc["style"].alias("style"))
+        out = F.when(text == "", acc["out"]).when(same, F.concat(F.slice(acc["out"], 1, F.greatest(F.lit(0), F.size(acc["out"]) - 1)), F.array(grown))).otherwise(F.concat(acc["out"], F.array(new)))
+        return F.struct(*[on[a].alias(a) for a in ATTRS], style.alias("style"), out.alias("out"))
+
+    return F.aggregate(tokens(raw), start, step, lambda acc: acc["out"])
+
+
+def styles(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, name, family, size_pt, colour, flags struct; of several definitions with one name the last wins."""
+    heads = F.filter(F.transform(F.col("lines"), lambda x, i: F.when(x == "[tag]", i)), lambda i: i.isNotNull())
+    s = parsed.select(key, "lines", F.explode(heads).alias("at"))
+    field = lambda k: F.btrim(F.get("lines", F.col("at") + k), F.lit(" \t"))
+    s = s.where(field(3) == "[fnt]").select(key, "at", field(1).alias("name"), field(4).alias("family"), points(bounded_int(field(5))).alias("size_pt"), colour(bounded_int(field(6))).alias("colour"), font_flags(bounded_int(field(7))).alias("font"))
+    return s.groupBy(key, "name").agg(F.max_by(F.struct("family", "size_pt", "colour", "font"), "at").alias("s")).select(key, "name", "s.*")
+
+
+def inspect(parsed: DataFrame) -> DataFrame:
+    """A row per document: status, counters, text length, whether anything was lost."""
+    p = paragraphs(parsed)
+    unknown = F.array_except(section_names(F.col("lines")), F.array(*map(F.lit, KNOWN)))
+    texts = F.transform("raw", plain)
+    return p.select("doc_id", "status", "error", "encoding", F.length("content").cast("long").alias("bytes"), F.size("raw").cast("long").alias("paragraphs"), F.length(F.array_join(texts, "\n")).cast("long").alias("text_chars"), F.size(section_names(F.col("lines"))).cast("long").alias("sections"), F.size(unknown).cast("long").alias("unknown_sections"), ((F.size(unknown) > 0) | (F.col("undecodable") > 0)).alias("lossy"))
+
+
+def summary(inspected: DataFrame) -> DataFrame:
+    return inspected.agg(F.count("*").alias("files"), F.count_if(F.col("status") == "ok").alias("successful"), F.count_if(F.col("status") != "ok").alias("failed"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("text_chars"), F.lit(0)).alias("text_chars"), F.coalesce(F.sum("paragraphs"), F.lit(0)).alias("paragraphs"), F.count_if("lossy").alias("lossy"))
+
+
+def diagnostics(parsed: DataFrame) -> DataFrame:
+    """doc_id, code, severity: unknown sections, undecodable bytes, missing close, undefined styles."""
+    names = section_names(F.col("lines"))
+    unknown = F.transform(F.array_except(names, F.array(*map(F.lit, KNOWN))), lambda x: F.struct(F.lit("unknown-section").alias("code"), F.lit("warning").alias("severity"), x.alias("raw")))
+    fixed = F.array_compact(F.array(F.when(F.col("undecodable") > 0, F.struct(F.lit("undecodable-bytes").alias("code"), F.lit("warning").alias("severity"), F.lit("").alias("raw"))), F.when((F.array_position("lines", "[edoc]") > 0) & (F.array_position("lines", ">") == 0), F.struct(F.lit("truncated-body").alias("code"), F.lit("warning").alias("severity"), F.lit("").alias("raw"))), F.when(F.col("error").isNotNull(), F.struct(F.lit("rejected").alias("code"), F.lit("error").alias("severity"), F.col("error").alias("raw")))))
+    return parsed.select("doc_id", F.explode(F.concat(unknown, fixed)).alias("d")).select("doc_id", "d.*")
+
+
+def strict(parsed: DataFrame) -> DataFrame:
+    """Only documents that parse without any loss."""
+    lossy = diagnostics(parsed).select("doc_id").distinct()
+    return parsed.where("status = 'ok'").join(lossy, "doc_id", "left_anti")
+
+
+def render_text(p: DataFrame) -> Column:
+    return F.array_join(F.transform("raw", plain), "\n\n")
+
+
+def _wrapped(r: Column, marks: list[tuple[str, str, str]], escape) -> Column:
+    out = escape(r["text"])
+    for attr, a, b in marks:
+        out = F.when(r[attr], F.concat(F.lit(a), out, F.lit(b))).otherwise(out)
+    return out
+
+
+def render_markdown() -> Column:
+    marks = [("super", "<sup>", "</sup>"), ("sub", "<sub>", "</sub>"), ("underline", "<u>", "</u>"), ("strike", "~~", "~~"), ("italic", "*", "*"), ("bold", "**", "**")]
+
+    def one(raw):
+        rs = runs(raw)
+        level = heading_level(F.get(rs, F.lit(0))["style"])
+        text = F.array_join(F.transform(rs, lambda r: _wrapped(r, marks, escape_markdown)), "")
+        return F.when(level.isNotNull(), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), text)).otherwise(text)
+
+    return F.array_join(F.transform("raw", one), "\n\n")
+
+
+def render_html() -> Column:
+    marks = [("underline", "<u>", "</u>"), ("strike", "<s>", "</s>"), ("super", "<sup>", "</sup>"), ("sub", "<sub>", "</sub>"), ("italic", "<em>", "</em>"), ("bold", "<strong>", "</strong>")]
+
+    def one(raw):
+        rs = runs(raw)
+        tag = F.coalesce(F.concat(F.lit("h"), heading_level(F.get(rs, F.lit(0))["style"]).cast("string")), F.lit("p"))
+        return F.concat(F.lit("<"), tag, F.lit(">"), F.array_join(F.transform(rs, lambda r: _wrapped(r, marks, escape_html)), ""), F.lit("</"), tag, F.lit(">"))
+
+    head = '<!doctype html>\n<html lang="en"><head><meta charset="utf-8"><meta http-equiv="Content-Security-Policy" content="default-src \'none\'; style-src \'unsafe-inline\'"></head><body>\n'
+    return F.concat(F.lit(head), F.array_join(F.transform("raw", one), "\n"), F.lit("\n</body></html>\n"))
+
+
+def render_json() -> Column:
+    return F.to_json(F.struct(F.transform("raw", lambda r: F.struct(F.lit("paragraph").alias("kind"), plain(r).alias("text"))).alias("blocks"), F.col("encoding"), F.col("version")))
+
+
+RENDERERS = {"text": lambda p: p.select("doc_id", render_text(p).alias("output")), "markdown": lambda p: p.select("doc_id", render_markdown().alias("output")), "html": lambda p: p.select("doc_id", render_html().alias("output")), "json": lambda p: p.select("doc_id", render_json().alias("output"))}
+ALIASES = {"txt": "text", "md": "markdown", "htm": "html"}
+
+
+def renderer(name: str):
+    found = RENDERERS.get(ALIASES.get(name.lower(), name.lower()))
+    if found is None:
+        raise ValueError(f"unknown format {name!r}; there are {', '.join(sorted(RENDERERS))}")
+    return found
