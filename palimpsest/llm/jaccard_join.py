@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, components, cut, per_batch, small_batches, table
+from .common import attach, components, cut, fresh, per_batch, small_batches, table
 
 GROUPS, LEAF, TILE, FLUSH, PART, MAX_PARTS, MEMO, BROADCAST, MANY = 64, 32, 1024, 1_000_000, 1_500_000, 20_000, 150_000, 1_000_000, 0xFFFF
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -342,8 +342,9 @@ def link(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without those that another document of their component stands for (the smallest doc_id stays)."""
-    gone = link(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    (key,) = fresh(docs, "_id")
+    gone = link(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

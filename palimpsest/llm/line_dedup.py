@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cut, per_batch, table
+from .common import attach, cut, fresh, per_batch, table
 
 WINDOW, DIVISOR, MIN_LINES, MAX_LINES, BROADCAST = 2, 3, 2, 64, 1_000_000
 SPACES = " \t\n\x0b\x0c\r"
@@ -102,7 +102,7 @@ def removals(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("no")).alias("nos"))
 
 
-def _cleaner(names: list[str], schema: pa.Schema | None = None):
+def _cleaner(names: list[str], removed: str, chars: str):
     at = names.index("text")
 
     def fn(batch: pa.RecordBatch):
@@ -121,20 +121,21 @@ def _cleaner(names: list[str], schema: pa.Schema | None = None):
             gone.append(len(nos) if nos else 0)
             cut_chars.append(n)
         arrays = [pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(len(names))]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(gone, pa.int32()), pa.array(cut_chars, pa.int64())], [*names, "_removed", "_chars"])
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array(gone, pa.int32()), pa.array(cut_chars, pa.int64())], [*names, removed, chars])
 
     return fn
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """docs without the repeated chunks; adds _removed (chunks) and _chars (characters taken away). n_chars, if
-    there is one, follows the text."""
-    gone = removals(docs).select(F.col("doc_id").alias("_id"), F.col("nos").alias("_nos"))
-    j = docs.join(gone, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    """docs without the repeated chunks, with their columns; n_chars, if there is one, follows the text. Adds
+    _removed (chunks) and _chars (characters taken away), with more underscores where docs has such columns."""
+    key, nos, removed, chars = fresh(docs, "_id", "_nos", "_removed", "_chars")
+    gone = removals(docs).select(F.col("doc_id").alias(key), F.col("nos").alias(nos))
+    j = docs.join(gone, F.col("doc_id") == F.col(key), "left").drop(key)
     names = docs.columns
-    out = per_batch(j.select(*[F.col(f"`{c}`") for c in names], "_nos"), _cleaner(names), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _removed int, _chars long")
+    out = per_batch(j.select(*[F.col(f"`{c}`") for c in names], nos), _cleaner(names, removed, chars), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {removed} int, {chars} long")
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out
 
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, cut, ordinals, table, word_count
+from .common import WORD_RE, cut, fresh, ordinals, table, word_count
 
 WEIGHTS, SHARE, CAP, SEATS, SPANS, SEED = (3, 1, 2), 1.5, 2.0, 1000, 4096, 20240229
 
@@ -124,18 +124,20 @@ def slices(text: str, size: int, at: int, source_size: int, lo: int, hi: int, la
 
 def mix_documents(docs: DataFrame, **kw) -> DataFrame:
     """The mix as documents: a row for each lap that takes words of a document, with its own columns; where the
-    run ends inside a document, the taken words only, and n_chars follows the text."""
+    run ends inside a document, the taken words only, and n_chars follows the text. Rows that share a doc_id are
+    taken alike."""
     plan, _ = plan_mix(docs, **kw)
     laps = int(kw.get("cap", CAP)) + 2
     cols = docs.columns
     cut_text = F.udf(slices, "array<string>")
-    whole = F.col("taken") % F.greatest(F.col("size"), F.lit(1)) == 0
-    j = docs.join(plan.where("taken > 0").select(F.col("doc_id").alias("_id"), F.struct("size", "at", "source_size", "lo", "hi", "taken").alias("_m")), F.col("doc_id") == F.col("_id")).withColumn("_text", F.col("text"))
-    m = F.col("_m")
-    full = j.where(m["taken"] % m["size"] == 0).withColumn("_t", F.array_repeat(F.col("text"), (m["taken"] / m["size"]).cast("int")))
-    part = j.where(m["taken"] % m["size"] != 0).withColumn("_t", cut_text("text", m["size"], m["at"], m["source_size"], m["lo"], m["hi"], F.lit(laps)))  # at most two documents a source
-    out = full.unionByName(part).withColumn("_t", F.explode("_t"))
-    return out.select(*[F.col("_t").alias("text") if c == "text" else F.length("_t").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in cols])
+    key, facts, out_text = fresh(docs, "_id", "_m", "_t")
+    j = docs.join(plan.where("taken > 0").select(F.col("doc_id").alias(key), F.struct("size", "at", "source_size", "lo", "hi", "taken").alias(facts)).dropDuplicates([key]), F.col("doc_id") == F.col(key))
+    m = F.col(facts)
+    full = j.where(m["taken"] % m["size"] == 0).withColumn(out_text, F.array_repeat(F.col("text"), (m["taken"] / m["size"]).cast("int")))
+    part = j.where(m["taken"] % m["size"] != 0).withColumn(out_text, cut_text("text", m["size"], m["at"], m["source_size"], m["lo"], m["hi"], F.lit(laps)))  # at most two documents a source
+    out = full.unionByName(part).withColumn(out_text, F.explode(out_text))
+    new = F.col(out_text)
+    return out.select(*[new.alias("text") if c == "text" else F.length(new).cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in cols])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
