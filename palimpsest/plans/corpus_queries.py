@@ -157,3 +157,11 @@ def bitmap_validation(spark, d):
     ok = F.pandas_udf(legacy.bitmap, "boolean")
     base = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.unhex(F.concat(F.lit(head), F.lit("00FF00"), F.lpad(F.hex(F.col("doc_id") % 256), 2, "0"))).alias("b"))
     return base.select("doc_id", ok("b").alias("valid"), ok(F.substring("b", 1, 57)).alias("broken"))
+
+
+@query("SELECT doc_id, 1::INT AS bad FROM documents WHERE false")
+def unlabelled_losses(spark, d):
+    """Documents whose engine text differs from their own: none."""
+    got = docs_.renderer("text")(docs_.paragraphs(corpus(spark, d)))
+    want = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(F.filter(F.split("text", "\n"), lambda x: x != ""), "\n\n").alias("want"))
+    return got.join(want, "doc_id").where("not (output <=> want)").select("doc_id", F.lit(1).alias("bad"))

@@ -39,14 +39,14 @@ def sections(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def section_names(lines_: Column) -> Column:
-    return F.transform(F.filter(lines_, lambda x: x.rlike(HEADER)), lambda x: F.regexp_extract(x, HEADER, 1))
+    return F.transform(F.filter(lines_, lambda x: x.startswith("[") & x.rlike(HEADER)), lambda x: F.regexp_extract(x, HEADER, 1))
 
 
 def body(lines_: Column) -> Column:
     """The body's lines: from [edoc] to the closing >, or to the next section where that comes first."""
     start = F.array_position(lines_, "[edoc]").cast("int")
     rest = F.slice(lines_, start + 1, F.greatest(F.lit(0), F.size(lines_) - start))
-    end = F.array_position(F.transform(rest, lambda x: (x == ">") | x.rlike(HEADER)), True).cast("int")
+    end = F.array_position(F.transform(rest, lambda x: (x == ">") | (x.startswith("[") & x.rlike(HEADER))), True).cast("int")
     return F.when(start > 0, F.when(end > 0, F.slice(rest, 1, end - 1)).otherwise(rest)).otherwise(F.array().cast("array<string>"))
 
 
@@ -66,12 +66,22 @@ def _literal(t: Column) -> Column:
 
 
 def plain(raw: Column) -> Column:
-    """A paragraph's visible text."""
+    """A paragraph's visible text. Text without a selector or command, which is most, isn't tokenised."""
+    return F.when(~raw.rlike("[@<]"), raw).otherwise(_plain(raw))
+
+
+def _plain(raw: Column) -> Column:
     return F.array_join(F.transform(tokens(raw), lambda t: F.coalesce(_literal(t), F.when(t == "<:D>", "[Current date]").when(t == "<:P>", "[Page number]"), F.when(t.rlike("^@[^@<>]+@$") | t.rlike("^<[^<>]*>$"), F.lit("")), t)), "")
 
 
 def runs(raw: Column) -> Column:
-    """A paragraph's runs: a fold over its tokens with the toggles as state; neighbours that look alike merge."""
+    """A paragraph's runs: one where there is no selector or command, else a fold over its tokens with the toggles as
+    state; neighbours that look alike merge."""
+    one = F.array(F.struct(raw.alias("text"), *[F.lit(False).alias(a) for a in ATTRS], F.lit("Body Text").alias("style")))
+    return F.when(~raw.rlike("[@<]"), one.cast(RUN)).otherwise(_runs(raw))
+
+
+def _runs(raw: Column) -> Column:
     start = F.struct(*[F.lit(False).alias(a) for a in ATTRS], F.lit("Body Text").alias("style"), F.array().cast(RUN).alias("out"))
 
     def step(acc, t):
@@ -104,10 +114,10 @@ def styles(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def inspect(parsed: DataFrame) -> DataFrame:
     """A row per document: status, counters, text length, whether anything was lost."""
-    p = paragraphs(parsed)
-    unknown = F.array_except(section_names(F.col("lines")), F.array(*map(F.lit, KNOWN)))
+    p = paragraphs(parsed).withColumn("names", section_names(F.col("lines")))
+    unknown = F.array_except("names", F.array(*map(F.lit, KNOWN)))
     texts = F.transform("raw", plain)
-    return p.select("doc_id", "status", "error", "encoding", F.length("content").cast("long").alias("bytes"), F.size("raw").cast("long").alias("paragraphs"), F.length(F.array_join(texts, "\n")).cast("long").alias("text_chars"), F.size(section_names(F.col("lines"))).cast("long").alias("sections"), F.size(unknown).cast("long").alias("unknown_sections"), ((F.size(unknown) > 0) | (F.col("undecodable") > 0)).alias("lossy"))
+    return p.select("doc_id", "status", "error", "encoding", F.length("content").cast("long").alias("bytes"), F.size("raw").cast("long").alias("paragraphs"), F.length(F.array_join(texts, "\n")).cast("long").alias("text_chars"), F.size("names").cast("long").alias("sections"), F.size(unknown).cast("long").alias("unknown_sections"), ((F.size(unknown) > 0) | (F.col("undecodable") > 0)).alias("lossy"))
 
 
 def summary(inspected: DataFrame) -> DataFrame:
@@ -142,25 +152,23 @@ def _wrapped(r: Column, marks: list[tuple[str, str, str]], escape) -> Column:
 def render_markdown() -> Column:
     marks = [("super", "<sup>", "</sup>"), ("sub", "<sub>", "</sub>"), ("underline", "<u>", "</u>"), ("strike", "~~", "~~"), ("italic", "*", "*"), ("bold", "**", "**")]
 
-    def one(raw):
-        rs = runs(raw)
+    def one(rs):
         level = heading_level(F.get(rs, F.lit(0))["style"])
         text = F.array_join(F.transform(rs, lambda r: _wrapped(r, marks, escape_markdown)), "")
         return F.when(level.isNotNull(), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), text)).otherwise(text)
 
-    return F.array_join(F.transform("raw", one), "\n\n")
+    return F.array_join(F.transform(F.transform("raw", runs), one), "\n\n")
 
 
 def render_html() -> Column:
     marks = [("underline", "<u>", "</u>"), ("strike", "<s>", "</s>"), ("super", "<sup>", "</sup>"), ("sub", "<sub>", "</sub>"), ("italic", "<em>", "</em>"), ("bold", "<strong>", "</strong>")]
 
-    def one(raw):
-        rs = runs(raw)
+    def one(rs):
         tag = F.coalesce(F.concat(F.lit("h"), heading_level(F.get(rs, F.lit(0))["style"]).cast("string")), F.lit("p"))
         return F.concat(F.lit("<"), tag, F.lit(">"), F.array_join(F.transform(rs, lambda r: _wrapped(r, marks, escape_html)), ""), F.lit("</"), tag, F.lit(">"))
 
     head = '<!doctype html>\n<html lang="en"><head><meta charset="utf-8"><meta http-equiv="Content-Security-Policy" content="default-src \'none\'; style-src \'unsafe-inline\'"></head><body>\n'
-    return F.concat(F.lit(head), F.array_join(F.transform("raw", one), "\n"), F.lit("\n</body></html>\n"))
+    return F.concat(F.lit(head), F.array_join(F.transform(F.transform("raw", runs), one), "\n"), F.lit("\n</body></html>\n"))
 
 
 def render_json() -> Column:
