@@ -1,7 +1,7 @@
 """The registry of the engine's queries and of the SQL that gives the same rows."""
 
-from .plans import corpus_queries, generic_queries
+from .plans import corpus_queries, generic_queries, structure_queries
 
 FLAGSHIP = "inspect_summary"
-QUERIES = {**corpus_queries.QUERIES, **generic_queries.QUERIES}
-ORACLE_SQL = {**corpus_queries.ORACLE_SQL, **generic_queries.ORACLE_SQL}
+QUERIES = {**corpus_queries.QUERIES, **generic_queries.QUERIES, **structure_queries.QUERIES}
+ORACLE_SQL = {**corpus_queries.ORACLE_SQL, **generic_queries.ORACLE_SQL, **structure_queries.ORACLE_SQL}

@@ -1,0 +1,110 @@
+"""Queries over structures: one invented document per row of `documents`, with known answers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources import payloads
+from . import documents as docs_
+from . import structures as st
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+TABLE = "[frm]\n\t1\n\t0\n\t0\n\t0\n\t100\n\t100\n[tbl]\n\t2 2 300 10 600 20 4 43 43\n[h]\n\t0 300 10 16 0 0 0\n\t1 400 10 2 0 0 0\n[w]\n\t0 600 20 2 0\n\t1 900 20 2 0\n[data]\n\t0 0 384 1 2 11 0 1 0 0 0 0\nAnchor\n>\n\t0 1 128 0 1 0 0 0 0 0 0 0\n>\n\t1 0 8 0 0 0 0 1 1 0 0 0\nleft\nline\n>\n"
+LAST = "\t1 1 16 0 0 0 0 1 0 0 0 0\nright\n>\n"
+FRAMES = "[frm]\n\t1\n\t524288\n\t0\n\t0\n\t9\n\t9\n[frm]\n\t2\n\t0\n\t5\n\t5\n\t5\n\t9\n[frm]\n\t1\n\t524288\n\t1\n\t1\n\t4\n\t4\n[frm]\n\t0\n\t256\n\t0\n\t0\n\t1\n\t1\n"
+
+
+def _docs(spark, d, before, body) -> DataFrame:
+    ids = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
+    content = F.concat(F.lit("[ver]\n\t4\n[sty]\n\t\n"), before, F.lit("[edoc]\n"), body, F.lit("\n>\n"))
+    return docs_.lines(ids.select("doc_id", F.encode(content, "UTF-8").alias("content")))
+
+
+def _tables(spark, d):
+    return _docs(spark, d, F.concat(F.lit(TABLE), F.when(F.col("doc_id") % 4 != 0, LAST).otherwise("")), F.lit("text"))
+
+
+@query("""SELECT doc_id, 1::BIGINT AS tables, 4::BIGINT AS capacity, CASE WHEN doc_id % 4 = 0 THEN 3 ELSE 4 END::BIGINT AS cells, doc_id % 4 <> 0 AS complete, 0::BIGINT AS outside, 1::BIGINT AS anchors, 1::BIGINT AS members, 1::BIGINT AS protected_cells, 11::INT AS max_shading FROM documents""")
+def table_grid_report(spark, d):
+    return st.grid_report(_tables(spark, d))
+
+
+@query("""SELECT doc_id, unnest([0, 0, 1]) AS row, unnest([0, 1, 0]) AS col, unnest(['Anchor', '', 'left' || chr(10) || 'line']) AS text FROM documents UNION ALL SELECT doc_id, 1, 1, 'right' FROM documents WHERE doc_id % 4 <> 0""")
+def table_cells(spark, d):
+    return st.cells(_tables(spark, d)).select("doc_id", "row", "col", "text")
+
+
+@query("SELECT doc_id, unnest([0, 1]) AS index, unnest([310, 410]) AS outer_height FROM documents")
+def row_metrics(spark, d):
+    return st.metrics(_tables(spark, d), "[h]", 7).select("doc_id", "index", (F.col("extent") + F.col("gutter")).alias("outer_height"))
+
+
+@query("""SELECT doc_id, unnest([0, 1, 2, 3]) AS frame_no, unnest(['anchored', 'fixed-page', 'anchored', 'repeating']) AS placement, unnest([true, false, true, true]) AS usable FROM documents""")
+def frame_placement(spark, d):
+    return st.frames(_docs(spark, d, F.lit(FRAMES), F.lit("x"))).select("doc_id", "frame_no", "placement", "usable")
+
+
+def _anchored(spark, d):
+    p = docs_.paragraphs(_docs(spark, d, F.lit(FRAMES), F.concat(F.lit("a<:A0>b<:A0>c"), F.when(F.col("doc_id") % 2 == 0, "<:t7>").otherwise(""))))
+    return st.anchors(p), st.frames(p)
+
+
+@query("""SELECT doc_id, unnest([0, 1])::INT AS pos, unnest(['placed', 'duplicate']) AS result FROM documents UNION ALL SELECT doc_id, 2, 'out-of-range' FROM documents WHERE doc_id % 2 = 0""")
+def anchor_resolution(spark, d):
+    return st.resolve_anchors(*_anchored(spark, d))
+
+
+@query("SELECT doc_id, 2 AS frame_no FROM documents")
+def unplaced_frames(spark, d):
+    return st.unplaced(*_anchored(spark, d)).select("doc_id", "frame_no")
+
+
+@query("SELECT doc_id, 0 AS paragraph, doc_id % 100 AS x, 500::BIGINT AS width FROM documents")
+def region_commands(spark, d):
+    body = F.concat(F.lit("<:#"), (F.col("doc_id") % 100).cast("string"), F.lit(",500>text<:#1,2>\n\nnone<:#5,0>"))
+    return st.regions(docs_.paragraphs(_docs(spark, d, F.lit(""), body)))
+
+
+@query("""SELECT doc_id, (100 - CASE WHEN doc_id % 2 = 0 THEN 70 ELSE 20 END)::BIGINT AS unindexed FROM documents""")
+def unindexed_bytes(spark, d):
+    ids = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
+    r = ids.select("doc_id", F.explode(F.when(F.col("doc_id") % 2 == 0, F.array(F.struct(F.lit(0).alias("lo"), F.lit(50).alias("hi")), F.struct(F.lit(40).alias("lo"), F.lit(70).alias("hi")))).otherwise(F.array(F.struct(F.lit(10).alias("lo"), F.lit(30).alias("hi"))))).alias("r")).select("doc_id", F.col("r.lo").cast("long").alias("lo"), F.col("r.hi").cast("long").alias("hi"))
+    return st.unindexed(r, ids.withColumn("size", F.lit(100).cast("long")))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'ok' ELSE 'bad-record-length' END AS code, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END::INT AS records FROM documents""")
+def metafile_decode(spark, d):
+    head = "0100" + "0900" + "0003" + "11000000" + "0000" + "05000000" + "0000"
+    body = "05000000" + "0B02" + "00000000"
+    b = F.unhex(F.concat(F.lit(head + body), F.when(F.col("doc_id") % 2 == 0, "030000000000").otherwise("020000000000")))
+    x = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", payloads.read_metafile(b).alias("m"))
+    return x.select("doc_id", "m.code", "m.records")
+
+
+@query("""SELECT doc_id, 'ok' AS code, 2::INT AS width, 2::INT AS height, '00ff' || lower(lpad(to_hex(doc_id % 256), 2, '0')) || '80' AS grey FROM documents""")
+def preview_decode(spark, d):
+    b = F.unhex(F.concat(F.lit("5353" + "0200" + "0200" + "0200" + "08" + "01" + "00" * 8 + "00FF"), F.lpad(F.hex(F.col("doc_id") % 256), 2, "0"), F.lit("80")))
+    x = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", payloads.read_preview(b).alias("p"))
+    return x.select("doc_id", "p.code", "p.width", "p.height", F.lower(F.hex("p.grey")).alias("grey"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'record-beyond-data' ELSE 'ok' END AS code, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END::INT AS n FROM documents""")
+def drawing_envelope(spark, d):
+    head = "534D0201" + "0000" + "0000" + "02000000" + "0000" * 4 + "1E00"
+    b = F.unhex(F.concat(F.lit(head + "01000400"), F.when(F.col("doc_id") % 3 == 0, "02000900").otherwise("02000400")))
+    x = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", payloads.read_drawing(b).alias("s"))
+    return x.select("doc_id", "s.code", F.size("s.records").alias("n"))

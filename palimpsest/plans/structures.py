@@ -1,0 +1,116 @@
+"""Structures around the body: table grids, frames, anchors, page layouts, embedded assets. Each is exploded from a
+document's own lines, so nothing is shuffled before a table or frame is asked for across documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.scalars import has_bit
+from ..operators.generic import merge_intervals
+
+CELL = ("row", "col", "flags", "joined_rows", "joined_cols", "shading", "border", "content", "protected", "r0", "r1", "r2")
+
+
+def ints(line: Column, n: int) -> Column:
+    """The n whole numbers of a line, null where it isn't that."""
+    t = F.btrim(line, F.lit(" \t"))
+    return F.when(t.rlike(rf"^-?\d+(?: +-?\d+){{{n - 1}}}$"), F.transform(F.split(t, " +"), lambda x: x.try_cast("int")))
+
+
+def marked(parsed: DataFrame, marker: str, key: str = "doc_id") -> DataFrame:
+    """key, at, lines: a row for each line that is the marker."""
+    at = F.filter(F.transform("lines", lambda x, i: F.when(F.btrim(x, F.lit(" \t")) == marker, i)), lambda i: i.isNotNull())
+    return parsed.select(key, "lines", F.explode(at).alias("at"))
+
+
+def line(k: int) -> Column:
+    return F.get("lines", F.col("at") + k)
+
+
+def table_definitions(parsed: DataFrame) -> DataFrame:
+    """doc_id, at, rows, cols, row_height, row_gutter, col_width, col_gutter, flags."""
+    names = ("rows", "cols", "row_height", "row_gutter", "col_width", "col_gutter", "flags")
+    v = marked(parsed, "[tbl]").withColumn("v", ints(line(1), 9)).where("v is not null")
+    return v.select("doc_id", "at", *[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+
+def metrics(parsed: DataFrame, marker: str, n: int) -> DataFrame:
+    """Row ([h], 7 fields) or column ([w], 5 fields) metrics: doc_id, at, index, extent, gutter, flags."""
+    v = marked(parsed, marker)
+    block = F.slice("lines", F.col("at") + 2, F.size("lines"))
+    stop = F.array_position(F.transform(block, lambda x: ints(x, n).isNull()), True).cast("int")
+    rows = v.select("doc_id", "at", F.explode(F.transform(F.slice(block, 1, F.greatest(F.lit(0), F.when(stop > 0, stop - 1).otherwise(F.size(block)))), lambda x: ints(x, n))).alias("v"))
+    return rows.select("doc_id", "at", *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(("index", "extent", "gutter", "flags"))])
+
+
+def cells(parsed: DataFrame) -> DataFrame:
+    """doc_id, at, the twelve fields, text: a cell is a line of twelve numbers and the lines up to the next >."""
+    v = marked(parsed, "[data]")
+    rest = F.slice("lines", F.col("at") + 2, F.size("lines"))
+    end = F.array_position(F.transform(rest, lambda x: F.btrim(x, F.lit(" \t")).startswith("[")), True).cast("int")
+    own = F.when(end > 0, F.slice(rest, 1, end - 1)).otherwise(rest)
+    joined = F.array_join(F.transform(own, lambda x: F.btrim(x, F.lit("\t"))), "\n")
+    each = v.select("doc_id", "at", F.explode(F.filter(F.split(joined, "(?:^|\n)>(?:\n|$)"), lambda x: x != "")).alias("cell"))
+    parts = F.split("cell", "\n")
+    each = each.withColumn("v", ints(parts[0], 12)).where("v is not null")
+    return each.select("doc_id", "at", *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(CELL)], F.array_join(F.slice(parts, 2, F.size(parts)), "\n").alias("text"))
+
+
+def grid_report(parsed: DataFrame) -> DataFrame:
+    """Per document: tables, capacity, cells, whether each declared coordinate is there once, cells outside, merge
+    anchors and members, protected cells, the largest shading."""
+    d = table_definitions(parsed).groupBy("doc_id").agg(F.count("*").alias("tables"), F.sum(F.col("rows") * F.col("cols")).cast("long").alias("capacity"), F.max("rows").alias("rows"), F.max("cols").alias("cols"))
+    c = cells(parsed).join(d.select("doc_id", "rows", "cols"), "doc_id", "left")
+    inside = (F.col("row") >= 0) & (F.col("row") < F.col("rows")) & (F.col("col") >= 0) & (F.col("col") < F.col("cols"))
+    a = c.groupBy("doc_id").agg(F.count("*").alias("cells"), F.countDistinct("row", "col").alias("places"), F.count_if(~inside).alias("outside"), F.count_if(has_bit(F.col("flags"), 256)).alias("anchors"), F.count_if(has_bit(F.col("flags"), 128) & ~has_bit(F.col("flags"), 256)).alias("members"), F.count_if(F.col("protected") != 0).alias("protected_cells"), F.max("shading").alias("max_shading"))
+    return d.join(a, "doc_id").select("doc_id", "tables", "capacity", "cells", ((F.col("places") == F.col("capacity")) & (F.col("cells") == F.col("capacity")) & (F.col("outside") == 0)).alias("complete"), "outside", "anchors", "members", "protected_cells", "max_shading")
+
+
+def frames(parsed: DataFrame) -> DataFrame:
+    """doc_id, frame_no, page, flags, bounds, placement, usable, anchor_no (of anchored frames)."""
+    v = marked(parsed, "[frm]")
+    six = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda k: F.btrim(F.get("lines", F.col("at") + k), F.lit(" \t")).try_cast("int"))
+    v = v.withColumn("v", six)
+    f = v.select("doc_id", "at", *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(("page", "flags", "lft", "top", "rgt", "bottom"))])
+    place = F.when(has_bit(F.col("flags"), 524288), "anchored").when(has_bit(F.col("flags"), 256), "repeating").when(F.col("page") > 0, "fixed-page").otherwise("unknown")
+    f = f.withColumn("placement", place).withColumn("usable", F.coalesce((F.col("rgt") > F.col("lft")) & (F.col("bottom") > F.col("top")), F.lit(False)))
+    w = Window.partitionBy("doc_id").orderBy("at")
+    return f.withColumn("frame_no", F.row_number().over(w) - 1).withColumn("anchor_no", F.when(F.col("placement") == "anchored", F.count_if(F.col("placement") == "anchored").over(w) - 1))
+
+
+def anchors(body: DataFrame) -> DataFrame:
+    """doc_id, pos, kind, anchor_no of every anchor in the paragraphs (column raw)."""
+    tags = F.flatten(F.transform("raw", lambda r: F.regexp_extract_all(r, F.lit(r"<:([tA]\d{1,9})>"), 1)))
+    return body.select("doc_id", F.posexplode(tags).alias("pos", "tag")).select("doc_id", "pos", F.substring("tag", 1, 1).alias("kind"), F.substring("tag", 2, 9).cast("long").alias("anchor_no"))
+
+
+def resolve_anchors(used: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, pos, result: placed, duplicate or out-of-range."""
+    a = found.where("anchor_no is not null").select("doc_id", "anchor_no", F.lit(True).alias("there"))
+    n = F.row_number().over(Window.partitionBy("doc_id", "anchor_no").orderBy("pos"))
+    return used.withColumn("n", n).join(a, ["doc_id", "anchor_no"], "left").select("doc_id", "pos", F.when(F.col("there").isNull(), "out-of-range").when(F.col("n") > 1, "duplicate").otherwise("placed").alias("result"))
+
+
+def unplaced(used: DataFrame, found: DataFrame) -> DataFrame:
+    return found.where("anchor_no is not null").join(used.select("doc_id", "anchor_no"), ["doc_id", "anchor_no"], "left_anti")
+
+
+def regions(body: DataFrame) -> DataFrame:
+    """doc_id, paragraph, x, width of the first valid region command of each paragraph."""
+    p = body.select("doc_id", F.posexplode("raw").alias("paragraph", "r"))
+    part = lambda k: F.regexp_extract("r", r"<:#(\d{1,9}),(\d{1,9})>", k)
+    return p.where(part(1) != "").select("doc_id", "paragraph", part(1).cast("long").alias("x"), part(2).cast("long").alias("width")).where("width > 0")
+
+
+def directory(parsed: DataFrame) -> DataFrame:
+    """doc_id, asset, ext, off, len: rows of the embedded directory; inside: whether the span is in the payload."""
+    rows = marked(parsed, "[Embedded]").select("doc_id", "payload_bytes", F.explode(F.slice("lines", F.col("at") + 2, F.size("lines"))).alias("line"))
+    m = lambda k: F.regexp_extract("line", r"^\s*(\d+) (\.\w+) (\d+) (\d+) (\d+) (\d+)\s*$", k)
+    return rows.where(m(1) != "").select("doc_id", m(1).cast("long").alias("asset"), m(2).alias("ext"), m(3).cast("long").alias("off"), m(4).cast("long").alias("len"))
+
+
+def unindexed(ranges: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Bytes of each document that no declared range covers. ranges: doc_id, lo, hi; sizes: doc_id, size."""
+    m = merge_intervals(ranges, ["doc_id"], "lo", "hi").groupBy("doc_id").agg(F.sum(F.col("hi") - F.col("lo")).alias("covered"))
+    return sizes.join(m, "doc_id", "left").select("doc_id", (F.col("size") - F.coalesce("covered", F.lit(0))).alias("unindexed"))

@@ -44,7 +44,8 @@ def decode_bytes(data: bytes | None) -> tuple[str | None, str | None, int, int]:
         if data.startswith(mark):
             text = data[len(mark) :].decode(name, "replace")
             return text, name, text.count("�"), 0
-    close = re.search(rb"\n>\r?\n", data)
+    start = re.search(rb"(?:^|\n)\[edoc\]", data)  # a > before the body closes something else
+    close = re.compile(rb"\n>\r?\n").search(data, start.end()) if start else None
     end = close.end() if close else len(data)
     text_bytes = data[:end]
     m = re.search(rb"\[charset\][^\[]*?CP ?(\d{3,5})", text_bytes[:65536])

@@ -91,3 +91,16 @@ def test_bitmap_rules():
 
     head = lambda size, depth=24: b"BM" + struct.pack("<IIIIiiHHI", size, 0, 54, 40, 1, 1, 1, depth, 0) + bytes(20)
     assert legacy.bitmap(pd.Series([head(58) + bytes(4), head(58) + bytes(3), head(58, 5) + bytes(4), None, b"BM"])).tolist() == [True, False, False, False, False]
+
+
+def test_payload_decoders_are_total():
+    import random
+
+    from palimpsest.sources import payloads
+
+    rng = random.Random(1)
+    for _ in range(3000):
+        b = bytes(rng.randrange(256) for _ in range(rng.randrange(80)))
+        b = rng.choice([b"", b"SM\x02\x01", b"SS", b"\xd7\xcd\xc6\x9a", b"\x01\x00\x09\x00\x00\x03"]) + b
+        assert payloads.metafile(b)[0] and payloads.drawing(b)[0] and payloads.preview(b)[0]
+    assert payloads.preview(b"SS" + bytes([9, 0, 1, 0, 2, 0, 1, 1]) + bytes(8) + b"\x80\x80")[3] == b"\xff" + b"\x00" * 7 + b"\xff"
