@@ -33,7 +33,7 @@ from .common import small_batches, table
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MEMO = 100_000
+MEMO = 200_000
 SHORT = 64
 #: Scores are whole numbers of 1 / UNIT, so sums are exact and ties don't depend on where a window began: the longer
 #: last piece wins.
@@ -295,11 +295,6 @@ class Encoder:
         self.merges = merges
         self.lattices = Lattices(self.v)
 
-    def _remember(self, part: str, ids: bytes) -> None:
-        if len(self.memo) >= MEMO:  # two generations: what is still in use moves on
-            self.older, self.memo = self.memo, {}
-        self.memo[part] = ids
-
     def encode_many(self, texts: list[str | None]) -> list[array | None]:
         """encode() of each; the parts that are new to the memo go through the lattices together."""
         if self.merges or not self.v.word_starts:
@@ -307,38 +302,36 @@ class Encoder:
         lead = " " if self.v.dummy else ""
         split = [self.v.parts.findall((lead + t).replace(" ", SPACE)) if t and SPACE not in t else None for t in texts]
         parts = set().union(*filter(None, split))
-        here, todo = {}, []
-        for p in parts:
-            ids = self.memo.get(p) or self.older.get(p)
-            if ids is None:
-                todo.append(p)
-            else:
-                here[p] = ids
-        short = [p for p in todo if len(p) <= SHORT]
-        here.update(zip(short, self.lattices.encode(short)) if short else ())
-        for p in todo:
-            if here.get(p) is None:
-                here[p] = self._part(p)
-        for p, ids in here.items():
-            if len(p) <= SHORT and p not in self.memo:
-                self._remember(p, ids)
+        memo = self.memo
+        new = parts.difference(memo)
+        kept = new.intersection(self.older)  # two generations: what is still in use moves on
+        memo.update({p: self.older[p] for p in kept})
+        new -= kept
+        short = [p for p in new if len(p) <= SHORT]
+        memo.update({p: ids for p, ids in zip(short, self.lattices.encode(short)) if ids is not None} if short else {})
+        passing = [p for p in new if p not in memo]  # long parts, and parts with characters outside the vocabulary
+        for p in passing:
+            memo[p] = self._part(p)
         out = []
         for t, ps in zip(texts, split):
             if ps is None:
                 out.append(None if t is None else self.encode(t))
             else:
                 ids = array("i")
-                ids.frombytes(b"".join(map(here.__getitem__, ps)))
+                ids.frombytes(b"".join(map(memo.__getitem__, ps)))
                 out.append(ids)
+        for p in passing:
+            if len(p) > SHORT:
+                del memo[p]
+        if len(memo) >= MEMO:
+            self.older, self.memo = memo, {}
         return out
 
     def _part(self, part: str) -> bytes:
         if len(part) > SHORT:
             s = Stream(self.v)
             return array("i", s.push(part) + s.finish()).tobytes()
-        ids = self.older.get(part) or array("i", self._short(part)).tobytes()
-        self._remember(part, ids)
-        return ids
+        return self.older.get(part) or array("i", self._short(part)).tobytes()
 
     def _short(self, part: str) -> list[int]:
         """The stream's recurrence for a part that fits in one window."""
