@@ -1,11 +1,17 @@
-"""Line dedup over content-defined chunks of lines.
+"""Line dedup: repeated runs of lines (clean_runs) and repeated content-defined chunks of lines (clean).
 
-A text's lines are hashed; a rolling hash over the last WINDOW line hashes ends a chunk where it is divisible by
-DIVISOR, so boundaries move with the content and an inserted line only disturbs the chunk around it. Chunks have
-MIN_LINES lines with words at least (or they are the rest of a document) and MAX_LINES at most. A multi-line chunk
-whose bytes occur in another place of the corpus is removed everywhere but at its first place (smallest doc_id,
-then chunk number). Hashes only propose: chunks are the same when their bytes are, which is checked by grouping
-the texts of chunks with repeated hashes.
+clean_runs, which the query uses, takes out every run of two or more lines with words that occurs in an earlier
+place of the corpus (smallest doc_id, then row hash and line number), whatever its length and wherever it lies.
+A line belongs to such a run just when it belongs to such a pair of neighbouring lines, so the pairs are compared:
+hashes propose, and pairs are the same when their bytes are, blank lines between the two included. Lines of a
+pair that overlaps its own first place (a line three times in a row) leave that place whole. The first
+occurrence of a line in the corpus always stays. A line that goes takes the blank lines after it along.
+
+clean works on chunks: a text's lines are hashed; a rolling hash over the last WINDOW line hashes ends a chunk where
+it is divisible by DIVISOR, so boundaries move with the content and an inserted line only disturbs the chunk around
+it. Chunks have MIN_LINES lines with words at least (or they are the rest of a document) and MAX_LINES at most. A
+multi-line chunk whose bytes occur in another place of the corpus is removed everywhere but at its first place
+(smallest doc_id, then chunk number). It misses runs that hold no whole chunk.
 
 Cases: null text stays null and empty text empty; a text of one line is never touched; of equal documents the
 first keeps its text; rows with one doc_id are told apart by their content only, so equal rows are cleaned alike;
@@ -102,23 +108,93 @@ def removals(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("no")).alias("nos"))
 
 
-def _cleaner(names: list[str], removed: str, chars: str):
+def lines(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each line with words, without the line break."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        if line.strip(SPACES):
+            out.append((at, at + len(line)))
+        at += len(line) + 1
+    return out
+
+
+def _pair(text: str, at: list[tuple[int, int]], k: int) -> bytes:
+    return text[at[k][0] : at[k + 1][1]].encode("utf-8", "surrogatepass")
+
+
+def _pairs(batch: pa.RecordBatch):
+    docs, rows, nos, hashes = [], [], [], []
+    for d, r, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        at = lines(t or "")
+        for k in range(len(at) - 1):
+            docs.append(d)
+            rows.append(r)
+            nos.append(k)
+            hashes.append(_signed(_pair(t, at, k)))
+    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(rows, pa.int64()), pa.array(nos, pa.int32()), pa.array(hashes, pa.int64())], ["doc_id", "row", "no", "h"])
+
+
+def _pair_texts(batch: pa.RecordBatch):
+    """The texts of the wanted pairs. Columns: doc_id, row, text, nos."""
+    docs, rows, out, texts = [], [], [], []
+    for d, r, t, nos in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        at = lines(t or "")
+        for k in nos:
+            if k + 1 < len(at):
+                docs.append(d)
+                rows.append(r)
+                out.append(k)
+                texts.append(_pair(t, at, k))
+    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(rows, pa.int64()), pa.array(out, pa.int32()), pa.array(texts, pa.binary())], ["doc_id", "row", "no", "piece"])
+
+
+def run_removals(docs: DataFrame) -> DataFrame:
+    """doc_id, row (hash of the text), nos: numbers of the lines that go."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    place = F.struct("doc_id", "row", "no")
+    pairs = cut(per_batch(texts, _pairs, "doc_id long, row long, no int, h long"))
+    repeated = pairs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    wanted = cut(attach(pairs, repeated, ["h"], "n", place).where("n is not null").select("doc_id", "row", "no"))
+    by_doc = wanted.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("no")).alias("nos"))  # at most a document's own lines
+    if wanted.count() <= BROADCAST:
+        by_doc = F.broadcast(by_doc)
+    pieces = cut(per_batch(texts.join(by_doc, ["doc_id", "row"]).select("doc_id", "row", "text", "nos"), _pair_texts, "doc_id long, row long, no int, piece binary"))
+    first = pieces.groupBy("piece").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = attach(pieces, first, ["piece"], "n", place).where(F.col("first").isNotNull() & (place != F.col("first")))
+    overlaps = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("row") == F.col("first.row")) & (F.col("no") == F.col("first.no") + 1)
+    gone = again.select("doc_id", "row", F.explode(F.when(overlaps, F.array(F.col("no") + 1)).otherwise(F.array(F.col("no"), F.col("no") + 1))).alias("no"))
+    return gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("no")).alias("nos"))
+
+
+def _without_chunks(t: str, nos: list[int]) -> tuple[str, int]:
+    drop = set(nos)
+    kept = [t[a:b] for k, (a, b, _) in enumerate(chunks(t)) if k not in drop]
+    new = "".join(kept)
+    if kept and not t.endswith("\n") and new.endswith("\n"):
+        new = new[:-1]
+    return new, len(nos)
+
+
+def _without_lines(t: str, nos: list[int]) -> tuple[str, int]:
+    """The text without these lines, and how many runs they make."""
+    drop, starts = set(nos), [a for a, _ in lines(t)] + [len(t)]
+    new = t[: starts[0]] + "".join(t[a:b] for k, (a, b) in enumerate(zip(starts, starts[1:])) if k not in drop)
+    return new if t.endswith("\n") else new.rstrip("\n"), sum(k - 1 not in drop for k in drop)
+
+
+def _cleaner(names: list[str], removed: str, chars: str, without):
     at = names.index("text")
 
     def fn(batch: pa.RecordBatch):
         texts, gone, cut_chars = [], [], []
         for t, nos in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
-            n = 0
+            n = k = 0
             if t and nos:
-                drop = set(nos)
-                kept = [t[a:b] for k, (a, b, _) in enumerate(chunks(t)) if k not in drop]
-                new = "".join(kept)
-                if kept and not t.endswith("\n") and new.endswith("\n"):
-                    new = new[:-1]
+                new, k = without(t, nos)
                 n = len(t) - len(new)
                 t = new
             texts.append(t)
-            gone.append(len(nos) if nos else 0)
+            gone.append(k)
             cut_chars.append(n)
         arrays = [pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(len(names))]
         yield pa.RecordBatch.from_arrays([*arrays, pa.array(gone, pa.int32()), pa.array(cut_chars, pa.int64())], [*names, removed, chars])
@@ -126,19 +202,32 @@ def _cleaner(names: list[str], removed: str, chars: str):
     return fn
 
 
+def _cleaned(docs: DataFrame, j: DataFrame, nos: str, removed: str, chars: str, without) -> DataFrame:
+    names = docs.columns
+    out = per_batch(j.select(*[F.col(f"`{c}`") for c in names], nos), _cleaner(names, removed, chars, without), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {removed} int, {chars} long")
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out
+
+
 def clean(docs: DataFrame) -> DataFrame:
     """docs without the repeated chunks, with their columns; n_chars, if there is one, follows the text. Adds
     _removed (chunks) and _chars (characters taken away), with more underscores where docs has such columns."""
     key, nos, removed, chars = fresh(docs, "_id", "_nos", "_removed", "_chars")
     gone = removals(docs).select(F.col("doc_id").alias(key), F.col("nos").alias(nos))
-    j = docs.join(gone, F.col("doc_id") == F.col(key), "left").drop(key)
-    names = docs.columns
-    out = per_batch(j.select(*[F.col(f"`{c}`") for c in names], nos), _cleaner(names, removed, chars), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {removed} int, {chars} long")
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out
+    return _cleaned(docs, docs.join(gone, F.col("doc_id") == F.col(key), "left"), nos, removed, chars, _without_chunks)
+
+
+def clean_runs(docs: DataFrame) -> DataFrame:
+    """docs without the repeated runs of lines; columns as those of clean, _removed counts runs."""
+    key, row, nos, removed, chars = fresh(docs, "_id", "_row", "_nos", "_removed", "_chars")
+    gone = cut(run_removals(docs).select(F.col("doc_id").alias(key), F.col("row").alias(row), F.col("nos").alias(nos)))
+    if gone.agg(F.coalesce(F.sum(F.size(nos)), F.lit(0))).first()[0] <= BROADCAST:
+        gone = F.broadcast(gone)
+    j = docs.join(gone, (F.col("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(row)), "left")
+    return _cleaned(docs, j, nos, removed, chars, _without_lines)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = clean(table(spark, sf_dir, "documents"))
+    out = clean_runs(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_removed").alias("n_removed_chunks"), F.col("_chars").alias("n_removed_chars"), "text")

@@ -201,6 +201,80 @@ def test_line_dedup_brute(spark):
         assert "".join((t or "")[a:b] for a, b, _ in c) == (t or "")
 
 
+def brute_runs(texts):
+    """The texts without the lines of runs that occur earlier: every run of two lines or more is compared as it
+    stands with what comes before it, line by line; no chunks, no hashes."""
+    split = []
+    for t in texts:
+        ls = []  # each line with words, with the blank lines after it
+        for x in (t or "").split("\n"):
+            if x.strip(" \t\n\x0b\x0c\r"):
+                ls.append([x, []])
+            elif ls:
+                ls[-1][1].append(x)
+        split.append(ls)
+    out = []
+    for d, t in enumerate(texts):
+        drop, mine = set(), split[d]
+        for i in range(len(mine)):
+            for e in range(d + 1):
+                for j in range(len(split[e]) if e < d else i):
+                    n = 0
+                    while i + n < len(mine) and j + n < len(split[e]) and mine[i + n][0] == split[e][j + n][0]:
+                        n += 1
+                        if mine[i + n - 1][1] != split[e][j + n - 1][1]:
+                            break
+                    if n > 1:
+                        drop |= set(range(i, i + n)) - (set(range(j, j + 2)) if e == d and i == j + 1 else set())
+        kept = [[x, *blank] for k, (x, blank) in enumerate(mine) if k not in drop]
+        out.append(t if not drop else "\n".join(y for z in kept for y in z).rstrip("\n"))
+    return out
+
+
+def test_line_runs_brute(spark):
+    rng = random.Random(19)
+    line = lambda: " ".join(rng.choice(["ab", "cd", "ef", "gh"]) for _ in range(9))
+    shared = [[line() for _ in range(k)] for k in (2, 2, 3, 3, 4, 5, 6, 9)]
+    texts = []
+    for k in range(90):
+        ls = [line() for _ in range(rng.randrange(0, 6))] + rng.choice(shared) + [line() for _ in range(rng.randrange(0, 5))]
+        texts.append(("\n" if k % 3 else "\n\n").join(ls))
+    texts += [None, "", "one line only", "one line only", texts[0], "x\nx\nx\nx", "y y\nx\nx\nz", "a\nb\na\nb\na"]
+    d = make(spark, texts)
+    out = line_dedup.clean_runs(d).toPandas().sort_values("doc_id")
+    assert out.text.tolist() == brute_runs(texts)
+    assert (out.n_chars == out.text.map(lambda t: len(t or ""))).all()
+    # recall: what a first place doesn't hold is gone, also runs of two lines
+    first = set()
+    for t, new in zip(texts[:90], out.text):
+        for run in shared:
+            if "\n".join(run) in t:
+                assert not (tuple(run), t.count("\n\n") > 0) in first or run[0] not in new.split("\n")
+                first.add((tuple(run), t.count("\n\n") > 0))
+    assert rows(line_dedup.clean_runs(d.repartition(5)).toPandas()) == rows(out)
+
+
+def test_line_runs_rows_of_one_doc_id(spark):
+    d = spark.createDataFrame([(1, "a\nb\nc"), (2, "k\na\nb"), (2, "m\nn\no"), (2, "m\nn\no")], "doc_id long, text string")
+    out = line_dedup.clean_runs(d.withColumn("_row", F.lit("x"))).toPandas()
+    assert sorted(out.text) == ["a\nb\nc", "k", "m\nn\no", "m\nn\no"] and set(out._row) == {"x"}
+    assert line_dedup.clean_runs(d.limit(0)).count() == 0
+
+
+def test_op8_removes_every_repeated_run(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").toPandas().sort_values("doc_id")
+    got = QUERIES["op8_line_dedup"](spark, SF).toPandas().set_index("doc_id").text
+    seen, n = set(), 0
+    for i, t in zip(d.doc_id, d.text):
+        ls = [x for x in (t or "").split("\n") if x.strip()] if "\n\n" not in (t or "") else []
+        for p in zip(ls, ls[1:]):
+            if p in seen and ls.count(p[0]) == ls.count(p[1]) == 1:
+                n += 1
+                assert not {*p} & {*got[i].split("\n")}
+            seen.add(p)
+    assert n > 50
+
+
 def test_jaccard_brute(spark):
     rng = random.Random(4)
     base = [[rng.choice("abcdefghij") + str(rng.randrange(30)) for _ in range(rng.randrange(1, 60))] for _ in range(40)]
