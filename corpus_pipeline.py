@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, line dedup, near duplicates, source mixing, sentence pieces.
+"""The corpus pipeline: quality rules with repeated line runs, line dedup, near duplicates, source mixing, sentence pieces.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; the driver of run() writes
 each result as Parquet in the shared checkpoint folder and reads it again as the next stage's docs.
@@ -12,17 +12,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import jaccard_join, line_dedup, mixing, quality_rules, sentence_pieces
+from palimpsest.llm.common import cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the current policy of the rule ledger rejects."""
-    return quality_rules.filter_documents(docs.select(*COLUMNS))
+    """Drops the documents that the current policy of the rule ledger rejects, and takes the repeated runs of lines
+    out of the rest: before the chunks go, as these would break runs up and leave their ends behind."""
+    kept = cut(quality_rules.filter_documents(docs.select(*COLUMNS)))
+    return line_dedup.clean_runs(kept).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated multi-line chunks out of the texts; what is left without a word goes."""
+    """Takes multi-line chunks out of the texts that repeat now that the runs are gone; what is left without a word goes."""
     return line_dedup.clean(docs).where("rlike(text, '[^\\\\x20\\\\x09-\\\\x0D]')").select(*COLUMNS)
 
 

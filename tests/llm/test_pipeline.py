@@ -44,5 +44,26 @@ def test_stages(spark, tmp_path):
     assert kept[4].lossless.all() and len(kept[4]) == len(kept[3])
 
 
+def test_repeated_line_runs_do_not_pass(spark, tmp_path):
+    """Against runs of lines found without chunks() in what the quality rules keep."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = quality_rules.filter_documents(docs).toPandas().sort_values("doc_id")
+    c.quality(spark, docs, SF).write.parquet(str(tmp_path / "0"))
+    runs = spark.read.parquet(str(tmp_path / "0"))
+    out = {r.doc_id: r.text.split("\n") for r in c.lines(spark, runs, SF).collect()}
+    assert runs.count() == len(kept)
+    seen, n = set(), 0
+    for i, t in zip(kept.doc_id, kept.text):
+        at = [k for k, x in enumerate(t.split("\n")) if x.split()]
+        ls = t.split("\n")
+        for a, b in zip(at, at[1:]):
+            p = tuple(ls[a : b + 1])
+            if p in seen and ls.count(ls[a]) == ls.count(ls[b]) == 1:
+                n += 1
+                assert not {ls[a], ls[b]} & set(out.get(i, []))
+            seen.add(p)
+    assert n > 50
+
+
 def test_run(spark):
     assert c.run(spark, SF).count() > 0
