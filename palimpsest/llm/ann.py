@@ -5,8 +5,10 @@ Vectors are normalised, so the largest cosine is the largest inner product. The
 which is what distorts high scores, weighs eta > 1 times the rest. Every two dimensions share a codebook of 16
 centroids, so a code has four bits. Codebooks are trained by alternating coordinate descent over codes with
 closed-form centroid updates, on a bounded sample (SAMPLE rows with the smallest seeded hashes); every row is
-indexed. A search scans the packed codes with integer lookup tables, two codes a byte, and the best RERANK rows of
-every block are scored again on the original vectors in double precision.
+indexed. A search scans the packed codes with integer lookup tables, two codes a byte, and the best RERANK vectors of
+every block are scored again on the original vectors in double precision. Equal vectors are one candidate with all
+their ids, so copies push nothing out, and every vector whose quantised score equals the last of the best is scored
+again too, so the order of the rows decides nothing.
 
 The query set is compared with all rows in blocks of (query group x row block), so no task holds more than one of
 each, and a block returns k rows a query.
@@ -101,11 +103,24 @@ def tables(q: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.round(lut / np.where(scale > 0, scale, 1) * 32000).astype(np.int16)
 
 
+def collapse(x: np.ndarray, xid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of x by vector, inside a vector by id: (order of the rows, where each vector starts and the end, first
+    row of each vector). Vectors are equal if their components are: -0.0 is 0.0."""
+    raw = np.ascontiguousarray(x + 0.0)
+    _, group = np.unique(raw.view(np.dtype((np.void, raw.itemsize * raw.shape[1])))[:, 0], return_inverse=True)
+    order = np.lexsort((xid, group))
+    start = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(x))
+    return order, start, order[start[:-1]]
+
+
 def search_block(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, candidate row, score) of the k best per query in one block. q, x: original vectors."""
     unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+    member, start, one = collapse(x, xid)
+    ids, size = xid[member], np.diff(start)
+    x = x[one]
     norms = np.linalg.norm(x, axis=1)
-    by_byte = np.ascontiguousarray(codes.T)
+    by_byte = np.ascontiguousarray(codes[one].T)
     out = ([], [], [])
     for lo in range(0, len(q), 64):
         lut = tables(unit[lo : lo + 64], books)
@@ -114,14 +129,24 @@ def search_block(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray,
             for b in range(1, len(by_byte)):
                 score += lut[i, b].take(by_byte[b])
             r = rerank + 1  # one may be the query itself
-            best = np.argpartition(score, len(score) - r)[-r:] if len(score) > r else np.arange(len(score))
-            best = best[xid[best] != qid[lo + i]]
+            best = np.flatnonzero(score >= np.partition(score, len(score) - r)[len(score) - r]) if len(score) > r else np.arange(len(score))
             v = q[lo + i]
             exact = (x[best] * v).sum(1) / (norms[best] * np.sqrt((v * v).sum()))
-            order = np.lexsort((xid[best], -exact))[:k]
+            if (size[best] == 1).all():
+                rows, scores = start[best], exact
+            else:  # of each vector the k smallest ids that aren't the query's
+                take = []
+                for g in best:
+                    a, z = start[g], start[g + 1]
+                    l, h = a + np.searchsorted(ids[a:z], qid[lo + i], "left"), a + np.searchsorted(ids[a:z], qid[lo + i], "right")
+                    take.append(np.concatenate([np.arange(a, min(l, a + k)), np.arange(h, min(z, h + max(0, k - (l - a))))]))
+                rows, scores = np.concatenate(take), np.repeat(exact, [len(t) for t in take])
+            other = ids[rows] != qid[lo + i]
+            rows, scores = rows[other], scores[other]
+            order = np.lexsort((ids[rows], -scores))[:k]
             out[0].append(np.full(len(order), lo + i))
-            out[1].append(best[order])
-            out[2].append(exact[order])
+            out[1].append(member[rows[order]])
+            out[2].append(scores[order])
     return tuple(np.concatenate(o) if o else np.zeros(0, int) for o in out)
 
 

@@ -442,6 +442,35 @@ def test_ann_recall_and_odd_vectors(spark):
     assert got[got.query_id == 0].vec_id.tolist() == [1, 2, 50]
 
 
+def test_ann_copies_take_one_place(spark):
+    """More copies in a block than are scored again: the smaller ids come first, true neighbours stay."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 16))
+    x[300:800] = x[0]  # 501 copies
+    x[800:1100] = x[1] * rng.integers(1, 9, 300)[:, None]  # the same direction at other lengths
+    x[1100:1300] = x[2] + 0.3 * rng.normal(size=16)  # copies near a query that isn't one of them
+    ids = rng.permutation(1500) * 3
+    d = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    queries = [int(ids[k]) for k in (0, 2, 5, 300, 301, 700, 1200)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for qi in queries:
+        s = np.round(unit @ unit[ids == qi][0], 12)
+        s[ids == qi] = -9
+        want[qi] = ids[np.lexsort((ids, -s))[:5]].tolist()
+    for shuffled in (d, d.orderBy(F.desc("vec_id")).repartition(3)):
+        out = ann.search(shuffled, F.col("id").isin(queries)).toPandas().sort_values(["query_id", "rank"])
+        assert out.groupby("query_id").vec_id.apply(list).to_dict() == want
+    code = np.zeros((1500, 4), np.uint8)  # all scores tie: all are scored again
+    books = np.ones((8, 16, 2))
+    a, b, s = ann.search_block(x[:3], ids[:3], x, ids, code, books, 5, 128)
+    assert [set(ids[b[a == i]]) for i in (0, 2)] == [set(want[int(ids[i])]) for i in (0, 2)]
+    same = np.tile(x[:1], (400, 1))  # one id many times over is never its own neighbour
+    many = np.repeat([7, 9], [399, 1])
+    a, b, s = ann.search_block(same[:1], many[:1], same, many, code[:400], books, 5, 128)
+    assert many[b].tolist() == [9]
+
+
 def test_anisotropic_loss_beats_plain_on_parallel_error():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 16))
