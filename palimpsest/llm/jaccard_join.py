@@ -18,8 +18,8 @@ Two documents link when 100 * |A and B| >= 70 * |A or B| for their sets of 3-wor
 Results are exact up to collisions of 64-bit hashes; nothing is capped or sampled.
 
 Cases: null, empty and wordless texts have no shingles, link with nothing and are their own component; a text of
-one or two words is one shingle; very long texts are read whole; repeated rows are separate documents (component
-by doc_id); an empty table gives no rows; other columns are ignored.
+one or two words is one shingle; very long texts are read whole; repeated rows are separate documents, as are rows of
+one doc_id with different texts (component by doc_id); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -296,16 +296,29 @@ def link(docs: DataFrame) -> DataFrame:
     sent = texts.mapInArrow(_payloads(parts), "part long, pid long, blob binary")
     shared = sent.groupBy("part").applyInPandas(_shared, "pid long, own boolean, blob binary")
     meta = cut(shared.groupBy("pid").applyInPandas(_totals, "doc_id long, n long, s1 long, s2 long, shared long"))
-    classes = cut(meta.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("cls"), F.count("*").alias("copies"), F.max("shared").alias("shared")))
-    live = cut(classes.where("10 * shared >= 7 * n").select("cls", "copies"))
+    classes = cut(meta.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.max("shared").alias("shared")).withColumn("cls", F.xxhash64("s1", "s2", "n")))
+    live = cut(classes.where("10 * shared >= 7 * n").select("cls", "copies", "doc", "s1", "s2"))
     if live.count() <= BROADCAST:  # else both sides are shuffled
         live = F.broadcast(live)
 
     def sets(b: pa.RecordBatch, memo={}):  # noqa: B006
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([shingles(t, memo).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["cls", "copies", "hashes"])
-
-    chosen = texts.join(live, F.col("doc_id") == F.col("cls")).select("doc_id", "text", "copies")
-    stored = cut(per_batch(chosen, sets, "cls long, copies long, hashes binary"))
+        # rows of one doc_id may have several texts: a class takes those with its own set
+        hs = [shingles(t, memo) for t in b.column(1).to_pylist()]
+        own = pa.array([signature(h) == s for h, s in zip(hs, zip(b.column(3).to_pylist(), b.column(4).to_pylist()))], pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(5), b.column(2), pa.array([h.tobytes() for h in hs], pa.binary())], ["cls", "copies", "hashes"]).filter(own)
+
+    def hashed(rows: DataFrame) -> DataFrame:
+        return per_batch(rows.select("doc_id", "text", "copies", "s1", "s2", "cls"), sets, "cls long, copies long, hashes binary")
+
+    chosen = texts.join(live, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "copies", "s1", "s2", "cls")
+    repeated = cut(chosen.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"))
+    n_repeated = repeated.count()
+    if n_repeated:  # one hash set a class, however many rows its doc_id has
+        if n_repeated <= BROADCAST:
+            repeated = F.broadcast(repeated)
+        stored = cut(hashed(chosen.join(repeated, "doc_id", "left_anti")).unionByName(hashed(chosen.join(repeated, "doc_id", "left_semi")).dropDuplicates(["cls"])))
+    else:
+        stored = cut(hashed(chosen))
 
     def explode(b: pa.RecordBatch):
         s = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
@@ -335,7 +348,9 @@ def link(docs: DataFrame) -> DataFrame:
     if not tiled.isEmpty():
         roots = roots.unionByName(components(tiled).select(F.col("v").alias("cls"), "root"))
     links = linked.groupBy("cls").agg(F.sum("links").alias("links"))
-    facts = cut(classes.join(links, "cls", "left").join(roots.groupBy("cls").agg(F.min("root").alias("root")), "cls", "left").select("s1", "s2", "n", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("root", "cls").alias("component_id")))
+    roots = cut(roots.groupBy("cls").agg(F.min("root").alias("root")))
+    lead = roots.join(classes.select("cls", "doc"), "cls").groupBy("root").agg(F.min("doc").alias("lead"))  # a component's smallest doc_id
+    facts = cut(classes.join(links, "cls", "left").join(roots.join(lead, "root").select("cls", "lead"), "cls", "left").select("s1", "s2", "n", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("lead", "doc").alias("component_id")))
     out = attach(meta.select("doc_id", "n", "s1", "s2"), facts, ["s1", "s2", "n"], "copies", F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -297,6 +297,16 @@ def test_jaccard_brute(spark):
     assert got == {i: (len(sets[i]), len(links[i]), comp[i]) for i in links}
 
 
+def test_jaccard_counts_repeated_rows_once(spark):
+    a, c = [f"a{i}" for i in range(40)], [f"c{i}" for i in range(40)]
+    text = lambda w, last=None: " ".join(w[:-1] + [last or w[-1]])
+    data = [(5, text(a)), (5, text(a)), (6, text(a, "x")), (7, text(c)), (7, text(a, "y")), (8, text(c, "z")), (8, text(c, "Z")), (9, "alone")]
+    got = sorted((r.doc_id, r.n_similar, r.component_id) for r in jaccard_join.link(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    assert got == [(5, 3, 5), (5, 3, 5), (6, 3, 5), (7, 2, 7), (7, 3, 5), (8, 2, 7), (8, 2, 7), (9, 0, 9)]
+    few = spark.createDataFrame(data[:3], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_similar) for r in jaccard_join.link(few).collect()) == [(5, 2), (5, 2), (6, 2)]
+
+
 def test_large_families_go_by_tiles(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE", 8)
     rng = random.Random(6)
