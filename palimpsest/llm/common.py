@@ -21,17 +21,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the checkpoint folder and returns the stored rows.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share. Where it is unset a local session, as in
+    tests, gets a folder of its own; on a cluster that is an error, as executors can't see the driver's disk."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    if not folder and not sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = sc._jsc.sc().getCheckpointDir().get()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="palimpsest-", dir=os.environ.get("TMPDIR"))
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(folder)
+    return folder
 
-    The folder is the one that spark.checkpoint.dir names (shared by all executors); only where that is
-    unset, as in tests, a folder of our own is set.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        sc = spark.sparkContext
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-", dir=os.environ.get("TMPDIR")))
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the checkpoint folder and returns the stored rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
