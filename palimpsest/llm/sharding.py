@@ -3,8 +3,8 @@
 Groups are equal texts. A group's vector is (bytes, tokens, rows). Groups are hashed into CELLS cells, so the
 driver packs a bounded number of vectors whatever the corpus: cells in falling order of their largest
 coordinate go to the shard where the dot product with the residual capacity is highest. A group that alone
-exceeds 1 / HOT of the corpus in any coordinate gets SPLIT cells of its own by doc_id: it stays in one shard
-while it is below SPLIT_AT of a shard's capacity, and above that its cells are placed one by one.
+exceeds 1 / HOT of the corpus in any coordinate gets cells of its own by doc_id, as many as its share of CELLS: it
+stays in one shard while it is below SPLIT_AT of a shard's capacity, and above that its cells are placed one by one.
 
 Slots are gapless per shard without a window over a shard: a cell's first slot is the sum of the cells before
 it, and rows are numbered inside a cell.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, word_count
 
-CELLS, HOT, SPLIT, SPLIT_AT = 16384, 1024, 64, 0.25
+CELLS, HOT, SPLIT_AT = 16384, 1024, 0.25
 
 
 def pack(vectors: np.ndarray, items: list[list[int]], shards: int) -> np.ndarray:
@@ -48,11 +48,12 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     whole = rows.agg(*sums).first()
     if not whole["r"]:
         return rows.select("doc_id", "size", "text_crc32", "tokens", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    heavy = rows.groupBy("g").agg(*sums).where(F.greatest(*[F.col(k) * HOT / max(1, whole[k]) for k in "btr"]) > 1)  # at most 3 * HOT groups
-    heavy = heavy.select("g", F.lit(True).alias("hot"))
-    cell = F.when(F.col("hot"), F.concat_ws("/", F.lit("h"), F.col("g"), F.pmod(F.xxhash64("doc_id"), F.lit(SPLIT)))).otherwise(F.concat_ws("/", F.lit("c"), F.pmod(F.col("g"), F.lit(CELLS))))
+    share = F.greatest(*[F.col(k) / max(1, whole[k]) for k in "btr"])
+    heavy = rows.groupBy("g").agg(*sums).where(share * HOT > 1)  # at most 3 * HOT groups
+    heavy = heavy.select("g", F.ceil(share * CELLS).cast("long").alias("hot"))
+    cell = F.when(F.col("hot").isNotNull(), F.concat_ws("/", F.lit("h"), F.col("g"), F.pmod(F.xxhash64("doc_id"), F.col("hot")))).otherwise(F.concat_ws("/", F.lit("c"), F.pmod(F.col("g"), F.lit(CELLS))))
     rows = rows.join(F.broadcast(heavy), "g", "left").withColumn("cell", cell)
-    cells = sorted(rows.groupBy("cell").agg(*sums).collect(), key=lambda x: x["cell"])  # at most CELLS + 3 * HOT * SPLIT rows
+    cells = sorted(rows.groupBy("cell").agg(*sums).collect(), key=lambda x: x["cell"])  # at most 4 * CELLS + 3 * HOT rows
     v = np.array([[c[k] for k in "btr"] for c in cells], float)
     together: dict[str, list[int]] = {}
     for i, c in enumerate(cells):
