@@ -13,13 +13,16 @@ again too, so the order of the rows decides nothing.
 The query set is compared with all rows in blocks of (query group x row block), so no task holds more than one of
 each, and a block returns k rows a query.
 
-Cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do vectors of
-another length than the most frequent one (ties: the shorter); equal scores go to the smaller id; equal ids are
-one row each but never each other's neighbour; an empty table gives no rows; other columns are ignored.
+Cases: vectors that are null, empty, zero, or hold null or non-finite components take no part; vectors of different
+lengths have no cosine, so each length is a search of its own; equal scores go to the smaller id; rows of one id are
+never each other's neighbours, equal query rows are one query, and different vectors of one id are queries of
+their own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import cut, sample, table
 
 SUB, CENTROIDS, SAMPLE, ETA, RERANK = 2, 16, 20000, 2.6, 128
-ROWS, QUERIES, SEED = 16384, 8192, 7
+ROWS, QUERIES, SEED, SAMPLE_COMPONENTS = 16384, 8192, 7, 8_000_000
 
 
 def _split(x: np.ndarray) -> np.ndarray:
@@ -151,21 +154,26 @@ def search_block(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray,
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """id, v (array<double>) of the rows that take part."""
+    """id, v (array<double>), d (its length) of the rows that take part."""
     v = F.col("embedding").cast("array<double>")
     ok = vectors.select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0 and not exists(v, c -> c is null or isnan(c) or abs(c) = double('infinity')) and exists(v, c -> c <> 0)")
-    dim = ok.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return ok.where(F.size("v") == (dim["d"] if dim else 0))
+    return ok.withColumn("d", F.size("v"))
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, rerank: int = RERANK, train_rows: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score. is_query: a condition on the column id."""
-    schema = "query_id long, vec_id long, score double"
-    spark = vectors.sparkSession
     base = valid(vectors)
-    some = sample(base, "id", train_rows, SEED).toPandas()
-    if not len(some):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    lengths = [r["d"] for r in base.where(is_query).select("d").distinct().collect()]  # as a rule one; a search each
+    found = [_search(base.where(F.col("d") == d), d, is_query, k, rerank, train_rows) for d in sorted(lengths)]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _search(base: DataFrame, d: int, is_query, k: int, rerank: int, train_rows: int) -> DataFrame:
+    schema = "query_id long, query long, vec_id long, score double"
+    # the sample is bounded in bytes, too
+    some = sample(base, "id", max(256, min(train_rows, SAMPLE_COMPONENTS // d)), SEED).toPandas()
     x = np.array(some["v"].tolist())
     books = train(x / np.linalg.norm(x, axis=1, keepdims=True))
 
@@ -177,26 +185,26 @@ def search(vectors: DataFrame, is_query, k: int = 5, rerank: int = RERANK, train
             packed = encode(a / np.linalg.norm(a, axis=1, keepdims=True), books)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array([r.tobytes() for r in a], pa.binary())], ["id", "code", "v"])
 
-    indexed = cut(base.mapInArrow(index, "id long, code binary, v binary"))
+    indexed = cut(base.select("id", "v").mapInArrow(index, "id long, code binary, v binary"))
     n = indexed.count()
     n_queries = indexed.where(is_query).count()
     blocks, groups = -(-n // ROWS), max(1, -(-n_queries // QUERIES))
     h = F.xxhash64("id")
     left = indexed.withColumn("block", F.pmod(h, F.lit(blocks))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = indexed.where(is_query).select("id", "v", F.pmod(h, F.lit(groups)).cast("int").alias("group"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    right = indexed.where(is_query).dropDuplicates(["id", "v"]).select("id", "v", F.xxhash64("v").alias("query"), F.pmod(h, F.lit(groups)).cast("int").alias("group"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
 
     def score(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "query": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         mat = lambda s: np.frombuffer(b"".join(s), np.float64).reshape(len(s), -1)
         q, x = mat(queries["v"]), mat(rows["v"])
         codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
         qid, xid = queries["id"].to_numpy(), rows["id"].to_numpy()
         a, b, s = search_block(q, qid, x, xid, codes, books, k, rerank)
-        return pd.DataFrame({"query_id": qid[a], "vec_id": xid[b], "score": s})
+        return pd.DataFrame({"query_id": qid[a], "query": queries["query"].to_numpy()[a], "vec_id": xid[b], "score": s})
 
     found = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(score, schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows a block
+    w = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")  # at most k rows a block
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
