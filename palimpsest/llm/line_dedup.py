@@ -1,17 +1,16 @@
-"""Line dedup: repeated runs of lines (clean_runs) and repeated content-defined chunks of lines (clean).
+"""Line dedup by content-defined chunks of lines.
 
-clean_runs, which the query uses, takes out every run of two or more lines with words that occurs in an earlier
-place of the corpus (smallest doc_id, then row hash and line number), whatever its length and wherever it lies.
-A line belongs to such a run just when it belongs to such a pair of neighbouring lines, so the pairs are compared:
-hashes propose, and pairs are the same when their bytes are, blank lines between the two included. Lines of a
-pair that overlaps its own first place (a line three times in a row) leave that place whole. The first
-occurrence of a line in the corpus always stays. A line that goes takes the blank lines after it along.
+A hash rolls over the hashes of every WINDOW = 2 neighbouring lines with words. A chunk is a longest stretch of lines
+whose rolling hashes all occur in an earlier place of the corpus (smallest doc_id, then row hash and line number): its
+boundaries lie where the content stops being repeated, so they move with the text and an inserted line only disturbs
+the chunk around it. Chunks have two lines at least; hashes propose them, and they go after the bytes of each pair of
+lines, blank lines between the two included, are compared with those of its first place. So every repeated run of
+two or more lines goes, whatever its length and wherever it lies, and the first occurrence of a line in the corpus
+always stays. Lines of a pair that overlaps its own first place (a line three times in a row) leave that place
+whole. A line that goes takes the blank lines after it along.
 
-clean works on chunks: a text's lines are hashed; a rolling hash over the last WINDOW line hashes ends a chunk where
-it is divisible by DIVISOR, so boundaries move with the content and an inserted line only disturbs the chunk around
-it. Chunks have MIN_LINES lines with words at least (or they are the rest of a document) and MAX_LINES at most. A
-multi-line chunk whose bytes occur in another place of the corpus is removed everywhere but at its first place
-(smallest doc_id, then chunk number). It misses runs that hold no whole chunk.
+(Boundaries where a rolling hash is divisible by a constant were tried first: of 125 shared runs of two or more
+lines with over 50 words in sf0.1, 116 held no whole chunk and stayed.)
 
 Cases: null text stays null and empty text empty; a text of one line is never touched; of equal documents the
 first keeps its text; rows with one doc_id are told apart by their content only, so equal rows are cleaned alike;
@@ -27,85 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import attach, cut, fresh, per_batch, table
 
-WINDOW, DIVISOR, MIN_LINES, MAX_LINES, BROADCAST = 2, 3, 2, 64, 1_000_000
+BROADCAST = 1_000_000
 SPACES = " \t\n\x0b\x0c\r"
-_MASK = (1 << 64) - 1
-
-
-def chunks(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, lines with words) of each chunk; together they are the text."""
-    out, at, start, n = [], 0, 0, 0
-    ring = [0] * WINDOW
-    for k, line in enumerate(text.split("\n")):
-        end = at + len(line) + 1
-        if line.strip(SPACES):
-            n += 1
-            ring[k % WINDOW] = h = xxhash.xxh64_intdigest(line)
-            roll = 0
-            for back in range(WINDOW):  # the window's hash: older lines weigh more
-                roll = (roll * 0x9E3779B97F4A7C15 + ring[(k - WINDOW + 1 + back) % WINDOW]) & _MASK
-            if n >= MIN_LINES and ((roll >> 32) % DIVISOR == 0 or n >= MAX_LINES):
-                out.append((start, min(end, len(text)), n))
-                start, n = end, 0
-                ring = [0] * WINDOW
-        else:
-            ring[k % WINDOW] = 0
-        at = end
-    if start < len(text):
-        out.append((start, len(text), n))
-    return out
-
-
-def _key(piece: str) -> bytes:
-    return piece.rstrip("\n").encode("utf-8", "surrogatepass")
-
-
-def _signed(b: bytes) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(b), "big", signed=True)
-
-
-def _hashed(batch: pa.RecordBatch):
-    docs, nos, hashes = [], [], []
-    for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        for k, (a, b, n) in enumerate(chunks(t or "")):
-            if n >= 2:
-                docs.append(d)
-                nos.append(k)
-                hashes.append(_signed(_key(t[a:b])))
-    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(nos, pa.int32()), pa.array(hashes, pa.int64())], ["doc_id", "no", "h"])
-
-
-def _pieces(batch: pa.RecordBatch):
-    """The texts of the wanted chunks. Columns: doc_id, text, nos."""
-    docs, out, texts = [], [], []
-    for d, t, nos in zip(*(batch.column(i).to_pylist() for i in range(3))):
-        all_chunks = chunks(t or "")
-        for k in nos:
-            if k < len(all_chunks):
-                a, b, _ = all_chunks[k]
-                docs.append(d)
-                out.append(k)
-                texts.append(_key(t[a:b]))
-    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(out, pa.int32()), pa.array(texts, pa.binary())], ["doc_id", "no", "piece"])
-
-
-def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, nos: numbers of the chunks that go."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = cut(per_batch(texts, _hashed, "doc_id long, no int, h long"))
-    repeated = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    # a chunk stays in the game if its hash is repeated; hot hashes are salted by attach()
-    wanted = cut(attach(rows, repeated, ["h"], "n", F.struct("doc_id", "no")).where("n is not null").select("doc_id", "no"))
-    by_doc = wanted.groupBy("doc_id").agg(F.sort_array(F.collect_set("no")).alias("nos"))  # at most a document's own chunks
-    if wanted.count() <= BROADCAST:  # 12 bytes a chunk and a row header; beyond that both sides are shuffled
-        by_doc = F.broadcast(by_doc)
-    with_text = texts.join(by_doc, "doc_id").select("doc_id", "text", "nos")
-    # the byte comparison: grouped by the bytes themselves, counted before the shuffle
-    pieces = cut(per_batch(with_text, _pieces, "doc_id long, no int, piece binary").select("doc_id", "no", "piece"))
-    place = F.struct("doc_id", "no")
-    first = pieces.groupBy("piece").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = attach(pieces, first, ["piece"], "n", place).where(F.col("first").isNotNull() & (place != F.col("first")))
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("no")).alias("nos"))
+_ODD, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
 def lines(text: str) -> list[tuple[int, int]]:
@@ -122,15 +45,28 @@ def _pair(text: str, at: list[tuple[int, int]], k: int) -> bytes:
     return text[at[k][0] : at[k + 1][1]].encode("utf-8", "surrogatepass")
 
 
+def rolling(text: str) -> list[int]:
+    """The hash of each pair of neighbouring lines, and of the blank lines between the two, from the hashes of the lines."""
+    out, last, blank, n = [], 0, 0, 0
+    for line in text.split("\n"):
+        if line.strip(SPACES):
+            h = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+            if n:
+                out.append(((last * _ODD + blank) * _ODD + h) & _MASK)
+            last, blank, n = h, 0, n + 1
+        else:
+            blank = (blank * _ODD + len(line) + 1) & _MASK
+    return [h - (1 << 64) if h >> 63 else h for h in out]
+
+
 def _pairs(batch: pa.RecordBatch):
     docs, rows, nos, hashes = [], [], [], []
     for d, r, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
-        at = lines(t or "")
-        for k in range(len(at) - 1):
-            docs.append(d)
-            rows.append(r)
-            nos.append(k)
-            hashes.append(_signed(_pair(t, at, k)))
+        mine = rolling(t or "")
+        docs += [d] * len(mine)
+        rows += [r] * len(mine)
+        nos += range(len(mine))
+        hashes += mine
     yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(rows, pa.int64()), pa.array(nos, pa.int32()), pa.array(hashes, pa.int64())], ["doc_id", "row", "no", "h"])
 
 
@@ -148,7 +84,7 @@ def _pair_texts(batch: pa.RecordBatch):
     yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(rows, pa.int64()), pa.array(out, pa.int32()), pa.array(texts, pa.binary())], ["doc_id", "row", "no", "piece"])
 
 
-def run_removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame) -> DataFrame:
     """doc_id, row (hash of the text), nos: numbers of the lines that go."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     place = F.struct("doc_id", "row", "no")
@@ -159,22 +95,14 @@ def run_removals(docs: DataFrame) -> DataFrame:
     if wanted.count() <= BROADCAST:
         by_doc = F.broadcast(by_doc)
     pieces = cut(per_batch(texts.join(by_doc, ["doc_id", "row"]).select("doc_id", "row", "text", "nos"), _pair_texts, "doc_id long, row long, no int, piece binary"))
-    first = pieces.groupBy("piece").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = attach(pieces, first, ["piece"], "n", place).where(F.col("first").isNotNull() & (place != F.col("first")))
+    first = pieces.groupBy("piece").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")  # the comparison of bytes
+    digest = F.sha2("piece", 256).alias("digest")  # from here on a pair of lines, however long, travels as this
+    again = attach(pieces.select(digest, "doc_id", "row", "no"), cut(first.select(digest, "first", "n")), ["digest"], "n", place).where(F.col("first").isNotNull() & (place != F.col("first")))
     overlaps = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("row") == F.col("first.row")) & (F.col("no") == F.col("first.no") + 1)
     gone = again.select("doc_id", "row", F.explode(F.when(overlaps, F.array(F.col("no") + 1)).otherwise(F.array(F.col("no"), F.col("no") + 1))).alias("no"))
     return gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("no")).alias("nos"))
 
 
-def _without_chunks(t: str, nos: list[int]) -> tuple[str, int]:
-    drop = set(nos)
-    kept = [t[a:b] for k, (a, b, _) in enumerate(chunks(t)) if k not in drop]
-    new = "".join(kept)
-    if kept and not t.endswith("\n") and new.endswith("\n"):
-        new = new[:-1]
-    return new, len(nos)
-
-
 def _without_lines(t: str, nos: list[int]) -> tuple[str, int]:
     """The text without these lines, and how many runs they make."""
     drop, starts = set(nos), [a for a, _ in lines(t)] + [len(t)]
@@ -182,7 +110,7 @@ def _without_lines(t: str, nos: list[int]) -> tuple[str, int]:
     return new if t.endswith("\n") else new.rstrip("\n"), sum(k - 1 not in drop for k in drop)
 
 
-def _cleaner(names: list[str], removed: str, chars: str, without):
+def _cleaner(names: list[str], removed: str, chars: str):
     at = names.index("text")
 
     def fn(batch: pa.RecordBatch):
@@ -190,7 +118,7 @@ def _cleaner(names: list[str], removed: str, chars: str, without):
         for t, nos in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
             n = k = 0
             if t and nos:
-                new, k = without(t, nos)
+                new, k = _without_lines(t, nos)
                 n = len(t) - len(new)
                 t = new
             texts.append(t)
@@ -202,32 +130,24 @@ def _cleaner(names: list[str], removed: str, chars: str, without):
     return fn
 
 
-def _cleaned(docs: DataFrame, j: DataFrame, nos: str, removed: str, chars: str, without) -> DataFrame:
-    names = docs.columns
-    out = per_batch(j.select(*[F.col(f"`{c}`") for c in names], nos), _cleaner(names, removed, chars, without), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {removed} int, {chars} long")
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out
-
-
 def clean(docs: DataFrame) -> DataFrame:
     """docs without the repeated chunks, with their columns; n_chars, if there is one, follows the text. Adds
     _removed (chunks) and _chars (characters taken away), with more underscores where docs has such columns."""
-    key, nos, removed, chars = fresh(docs, "_id", "_nos", "_removed", "_chars")
-    gone = removals(docs).select(F.col("doc_id").alias(key), F.col("nos").alias(nos))
-    return _cleaned(docs, docs.join(gone, F.col("doc_id") == F.col(key), "left"), nos, removed, chars, _without_chunks)
-
-
-def clean_runs(docs: DataFrame) -> DataFrame:
-    """docs without the repeated runs of lines; columns as those of clean, _removed counts runs."""
     key, row, nos, removed, chars = fresh(docs, "_id", "_row", "_nos", "_removed", "_chars")
-    gone = cut(run_removals(docs).select(F.col("doc_id").alias(key), F.col("row").alias(row), F.col("nos").alias(nos)))
+    gone = cut(removals(docs).select(F.col("doc_id").alias(key), F.col("row").alias(row), F.col("nos").alias(nos)))
     if gone.agg(F.coalesce(F.sum(F.size(nos)), F.lit(0))).first()[0] <= BROADCAST:
         gone = F.broadcast(gone)
     j = docs.join(gone, (F.col("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(row)), "left")
-    return _cleaned(docs, j, nos, removed, chars, _without_lines)
+    names = docs.columns
+    out = per_batch(j.select(*[F.col(f"`{c}`") for c in names], nos), _cleaner(names, removed, chars), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {removed} int, {chars} long")
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out
+
+
+clean_runs = clean
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = clean_runs(table(spark, sf_dir, "documents"))
+    out = clean(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_removed").alias("n_removed_chunks"), F.col("_chars").alias("n_removed_chars"), "text")
