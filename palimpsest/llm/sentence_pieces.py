@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
-The encoder reads a text character by character and keeps, for each boundary in a window of the longest piece's
-length, the best score of a segmentation that ends there. Ids are committed, and the window moves on, as soon as
-the backpointer paths of all boundaries that a later piece may still start from go through one boundary: at once
-where no piece spans a boundary, else found by walking the paths back. Memory doesn't grow with the text.
+A stream keeps a window of its text, and for each boundary in it the best score of a segmentation that ends there.
+Only the last boundaries, as many as the longest piece has characters, can still be gone on from. Ids are committed,
+and the window moves on, as soon as the backpointer paths of all of them go through one boundary: at once
+where no piece spans a boundary, else found by walking the paths back. Every text goes this way: its words are streams
+that run side by side (`Streams`), long texts are read by blocks, and memory beyond the text itself doesn't grow with it.
 
 Scores: those of the model file if it is of unigram type. A file of BPE type has merge ranks in their place, which
 don't add up as log probabilities; for it, a piece of rank r scores -ln(r + 1) (Zipf; unigram scores above 0 count as 0), so its ids are the best
@@ -23,6 +24,7 @@ import math
 import re
 import zlib
 from array import array
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,11 @@ from .common import small_batches, table
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MEMO = 200_000
-SHORT = 64
+#: Words remembered in a generation, and the longest of them; characters of a window, of all windows of a step, and of a
+#: block that a long text is read by.
+MEMO, LONG, WINDOW, SIDE, BLOCK = 100_000, 64, 512, 500_000, 65_536
+#: Stands for a literal U+2581 inside the encoder: a lone surrogate, which no text of a table holds.
+LITERAL = "\udcff"
 #: Scores are whole numbers of 1 / UNIT, so sums are exact and ties don't depend on where a window began: the longer
 #: last piece wins.
 UNIT = 1_000_000
@@ -44,13 +49,12 @@ class Vocabulary:
     """Pieces, scores and byte pieces of a model file."""
 
     def __init__(self, path: str):
-        from sentencepiece import SentencePieceProcessor
         from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
+        self.path = path
         proto = ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
-        self.library = SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.dummy = proto.normalizer_spec.add_dummy_prefix
         self.ids: dict[str, int] = {}
         self.scores: dict[str, int] = {}
@@ -75,8 +79,6 @@ class Vocabulary:
             self.text.append(out)
         self.longest = max(map(len, self.ids), default=1)
         self.outside = min(self.scores.values(), default=0) - 10 * UNIT  # the score of a character that is no piece
-        #: every prefix of a piece -> the piece's score, or None where the prefix is no piece
-        self.trie: dict[str, int | None] = {p[:k]: None for p in self.ids for k in range(1, len(p) + 1)} | self.scores
         pairs = {(a, b) for p in self.ids for a, b in zip(p, p[1:])}
         self.word_starts = not any(b == SPACE and a != SPACE for a, b in pairs)  # then nothing spans a word's start
         alone = "\n" if not any("\n" in x for x in pairs) else ""
@@ -87,104 +89,41 @@ class Vocabulary:
         word = f"{SPACE}*[^{SPACE}{alone}{m}]+" + (f"|{SPACE}*[{m}][^{SPACE}{alone}]*" if marks else "")
         self.parts = re.compile(word + (f"|{alone}" if alone else "") + f"|{SPACE}+")
 
-    def spell(self, char: str) -> list[int]:
-        raw = char.encode("utf-8", "surrogatepass")
-        return [self.bytes[b] for b in raw] if all(b in self.bytes for b in raw) else [self.unknown]
-
+    @cached_property
+    def library(self):
+        from sentencepiece import SentencePieceProcessor
 
-class Stream:
-    """The streaming encoder over escaped text. push() and finish() return committed ids."""
+        return SentencePieceProcessor(model_file=self.path)
 
-    def __init__(self, v: Vocabulary):
-        self.v = v
-        self._reset()
-
-    def _reset(self):
-        self.buf = ""
-        self.best, self.back, self.reach, self.done = [0], [0], 0, 0
-
-    def _commit(self, upto: int) -> list[int]:
-        """The ids from the window's start to boundary upto, which every path goes through."""
-        cuts, at = [], upto
-        while at > 0:
-            cuts.append(at)
-            at = self.back[at]
-        out, start = [], 0
-        for end in reversed(cuts):
-            piece = self.buf[start:end]
-            i = self.v.ids.get(piece)
-            out.extend(self.v.spell(piece) if i is None else (i,))
-            start = end
-        base = self.best[upto]
-        self.buf = self.buf[upto:]
-        self.best = [b - base for b in self.best[upto:]]
-        self.back = [max(0, b - upto) for b in self.back[upto:]]
-        self.reach -= upto
-        self.done -= upto
-        return out
+    @cached_property
+    def streams(self) -> Streams:
+        return Streams(self)
 
-    def _converged(self) -> int:
-        """The last boundary that the paths of all live boundaries share."""
-        live = {j for j in range(max(0, self.done - self.v.longest + 1), self.done + 1) if self.best[j] > -math.inf}
-        while len(live) > 1:
-            top = max(live)
-            live.remove(top)
-            live.add(self.back[top])
-        return live.pop()
+    def escape(self, text: str) -> str:
+        return ((" " if self.dummy else "") + text.replace(SPACE, LITERAL)).replace(" ", SPACE)
 
-    def _extend(self, final: bool) -> list[int]:
-        v, out = self.v, []
-        trie = v.trie
-        while self.done < len(self.buf) and (final or len(self.buf) - self.done >= v.longest):
-            i, buf = self.done, self.buf
-            score, best, back = self.best[i], self.best, self.back
-            while len(best) <= min(len(buf), i + v.longest):
-                best.append(-math.inf)
-                back.append(0)
-            single = False
-            for end in range(i + 1, min(len(buf), i + v.longest) + 1):
-                piece = buf[i:end]
-                s = trie.get(piece, 0)
-                if s == 0:
-                    break
-                if s is not None:
-                    single |= end == i + 1
-                    self.reach = max(self.reach, end)
-                    if score + s > best[end]:
-                        best[end], back[end] = score + s, i
-            if not single:
-                self.reach = max(self.reach, i + 1)
-                if score + v.outside > best[i + 1]:
-                    best[i + 1], back[i + 1] = score + v.outside, i
-            self.done = i + 1
-            if self.reach <= self.done:  # no piece spans this boundary
-                out.extend(self._commit(self.done))
-            elif self.done % (4 * v.longest) == 0 and (at := self._converged()) > 0:
-                out.extend(self._commit(at))
-        return out
-
-    def push(self, text: str) -> list[int]:
-        self.buf += text
-        return self._extend(False)
-
-    def finish(self) -> list[int]:
-        out = self._extend(True)
-        if self.buf:
-            out.extend(self._commit(len(self.buf)))
-        self._reset()
-        return out
+    def spell(self, char: str) -> list[int]:
+        raw = (SPACE if char == LITERAL else char).encode("utf-8", "surrogatepass")
+        return [self.bytes[b] for b in raw] if all(b in self.bytes for b in raw) else [self.unknown]
 
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Lattices:
-    """The same recurrence over many short parts at once, as array steps: all parts advance by one boundary together.
-    The vocabulary's prefixes are found by 64-bit rolling hashes of at most `longest` characters."""
+class Streams:
+    """Streaming Viterbi over many escaped texts at once, as array steps.
+
+    A stream holds the window that starts at its last committed boundary. In a step all windows are searched for
+    pieces (by 64-bit rolling hashes of at most `longest` characters), and all boundaries that lie equally far
+    behind a point that no piece spans advance together. Paths that are still alive end in the window's last
+    `longest` boundaries; ids up to the boundary where they all meet are committed, and the window moves there. A
+    window in which they don't meet is doubled.
+    """
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        prefixes = sorted(v.trie)
+        scores: dict[str, int | None] = {p[:k]: None for p in v.ids for k in range(1, len(p) + 1)} | v.scores
+        prefixes = sorted(scores)
         hashes = np.zeros(len(prefixes), np.uint64)
         for k, p in enumerate(prefixes):
             h = 0
@@ -195,12 +134,13 @@ class Lattices:
         first = self._slot(hashes)
         order = np.lexsort((hashes, first))
         self.hashes = np.append(hashes[order], np.uint64(0))
-        self.score = np.array([0 if v.trie[prefixes[k]] is None else v.trie[prefixes[k]] for k in order] + [0], np.int64)
+        self.score = np.array([scores[prefixes[k]] or 0 for k in order] + [0], np.int64)
         self.piece = np.array([v.ids.get(prefixes[k], -1) for k in order] + [-1], np.int32)
         edges = np.searchsorted(first[order], np.arange((1 << self.bits) + 1))
         self.start = edges[:-1].astype(np.int32)
         self.size = np.diff(edges).astype(np.int8)
         self.deepest = int(self.size.max(initial=0))
+        self.widest = 0  # the longest window so far
 
     def _slot(self, h: np.ndarray) -> np.ndarray:
         return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -220,18 +160,12 @@ class Lattices:
                 break
         return out
 
-    def encode(self, parts: list[str]) -> list[bytes | None]:
-        """Ids of each part as bytes; None where a character is outside the vocabulary."""
-        lens = np.fromiter(map(len, parts), np.int64, len(parts))
-        chars = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-        ends = np.cumsum(lens)
-        begin = ends - lens
+    def _pieces(self, chars: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(first character, length, score, id) of every piece in the windows; a character that is no piece has the id -1."""
         total = len(chars)
-        limit = np.repeat(ends, lens)
-        local = np.arange(total) - np.repeat(begin, lens)
         idx, h = np.arange(total), np.zeros(total, np.uint64)
         single = np.zeros(total, bool)
-        froms, tos, scores, pieces = [], [], [], []
+        froms, sizes, scores, ids = [], [], [], []
         for n in range(1, self.v.longest + 1):
             ok = idx + n <= limit[idx]
             idx, h = idx[ok], h[ok]
@@ -244,149 +178,188 @@ class Lattices:
             whole = self.piece[at] >= 0
             if n == 1:
                 single[idx[whole]] = True
-            froms.append(idx[whole]), tos.append(idx[whole] + n), scores.append(self.score[at[whole]]), pieces.append(self.piece[at[whole]])
-        out: list[bytes | None] = [None] * len(parts)
-        if not froms:
-            return out
-        a, b, s, p = map(np.concatenate, (froms, tos, scores, pieces))
-        # boundaries: part k has its own from begin[k] + k to ends[k] + k
-        part = np.repeat(np.arange(len(parts)), lens)
-        a2, b2 = a + part[a], b + part[a]
-        order = np.argsort(local[a], kind="stable")
-        a2, b2, s, p, when = a2[order], b2[order], s[order], p[order], local[a][order]
-        best = np.full(total + len(parts), np.iinfo(np.int64).min // 2)
-        back, chosen = np.zeros(total + len(parts), np.int64), np.full(total + len(parts), -1, np.int32)
-        best[begin + np.arange(len(parts))] = 0
-        cuts = np.searchsorted(when, np.arange(int(lens.max()) + 1))
+            froms.append(idx[whole]), sizes.append(np.full(len(froms[-1]), n)), scores.append(self.score[at[whole]]), ids.append(self.piece[at[whole]])
+        rest = np.flatnonzero(~single)
+        froms.append(rest), sizes.append(np.ones(len(rest), np.int64)), scores.append(np.full(len(rest), self.v.outside)), ids.append(np.full(len(rest), -1, np.int32))
+        return tuple(map(np.concatenate, (froms, sizes, scores, ids)))
+
+    def advance(self, windows: list[str], final: list[bool]) -> tuple[list[bytes], list[int]]:
+        """For each window (none is empty) the ids that are committed, as bytes, and the characters they stand for: all of a final window."""
+        self.widest = max(self.widest, *map(len, windows))
+        count = len(windows)
+        lens = np.fromiter(map(len, windows), np.int64, count)
+        chars = np.frombuffer("".join(windows).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        ends = np.cumsum(lens)
+        begin = ends - lens
+        part = np.repeat(np.arange(count), lens)
+        first, size, score, ids = self._pieces(chars, np.repeat(ends, lens))
+        # boundaries: window k has its own from begin[k] + k to ends[k] + k
+        a = first + part[first]
+        b = a + size
+        n = len(chars) + count
+        over = np.zeros(n + 1, np.int64)  # pieces that span a boundary
+        np.add.at(over, a[size > 1] + 1, 1)
+        np.add.at(over, b[size > 1], -1)
+        met = np.cumsum(over)[:n] == 0
+        home, last = begin + np.arange(count), ends + np.arange(count)
+        for k in range(count):
+            if not final[k]:  # what comes may span these
+                met[max(home[k], last[k] - self.v.longest) + 1 : last[k] + 1] = False
+        behind = np.arange(n) - np.maximum.accumulate(np.where(met, np.arange(n), 0))
+        order = np.argsort(behind[a], kind="stable")
+        a, b, score, ids = a[order], b[order], score[order], ids[order]
+        steps = behind[a]
+        best, back, chosen = np.full(n, np.iinfo(np.int64).min // 2), np.zeros(n, np.int64), np.full(n, -1, np.int32)
+        cuts = np.searchsorted(steps, np.arange(int(steps[-1]) + 2))
         for k in range(len(cuts) - 1):
             x = slice(cuts[k], cuts[k + 1])
-            got = best[a2[x]] + s[x]
-            better = got > best[b2[x]]
-            to = b2[x][better]
-            best[to], back[to], chosen[to] = got[better], a2[x][better], p[x][better]
-        good = np.logical_and.reduceat(single, begin) if len(begin) else np.zeros(0, bool)
-        words = np.flatnonzero(good)
-        cur, home = (ends + np.arange(len(parts)))[words], (begin + np.arange(len(parts)))[words]
-        who, ids = [], []
-        live = words
+            got = best[a[x]] + score[x] if k else score[x]
+            better = got > best[b[x]]
+            to = b[x][better]
+            best[to], back[to], chosen[to] = got[better], a[x][better], ids[x][better]
+        upto = [int(z if f else self._converged(back, h, z)) for h, z, f in zip(home.tolist(), last.tolist(), final)]
+        return self._walk(windows, home, np.array(upto), back, chosen), [u - h for u, h in zip(upto, home.tolist())]
+
+    def _converged(self, back: np.ndarray, home: int, last: int) -> int:
+        """The last boundary that the paths of all live boundaries share."""
+        live = set(range(max(home, last - self.v.longest + 1), last + 1))
+        at = last
+        while len(live) > 1:
+            while at not in live:
+                at -= 1
+            live.remove(at)
+            live.add(int(back[at]))
+        return live.pop()
+
+    def _walk(self, windows: list[str], home: np.ndarray, upto: np.ndarray, back: np.ndarray, chosen: np.ndarray) -> list[bytes]:
+        """Ids of the paths back from upto, as bytes."""
+        who, ids, at = [], [], []
+        live = np.flatnonzero(upto > home)
+        cur = upto[live]
         while len(live):
-            who.append(live), ids.append(chosen[cur])
+            who.append(live), ids.append(chosen[cur]), at.append(cur - 1 - home[live])
             cur = back[cur]
-            more = cur > home
-            live, cur, home = live[more], cur[more], home[more]
-        if who:
-            w, i = np.concatenate(who[::-1]), np.concatenate(ids[::-1])  # last pieces first, so reversed
-            order = np.argsort(w, kind="stable")
-            flat = np.ascontiguousarray(i[order], np.int32).tobytes()
-            edges = np.concatenate([[0], np.cumsum(np.bincount(w, minlength=len(parts)))]) * 4
-            for k in words.tolist():
-                out[k] = flat[edges[k] : edges[k + 1]]
+            more = cur > home[live]
+            live, cur = live[more], cur[more]
+        if not who:
+            return [b""] * len(windows)
+        w, i, c = (np.concatenate(x[::-1]) for x in (who, ids, at))  # last pieces first, so reversed
+        order = np.argsort(w, kind="stable")
+        w, i, c = w[order], np.ascontiguousarray(i[order], np.int32), c[order]
+        edges = np.concatenate([[0], np.cumsum(np.bincount(w, minlength=len(windows)))]).tolist()
+        flat = i.tobytes()
+        out = [flat[4 * x : 4 * y] for x, y in zip(edges, edges[1:])]
+        for k in set(w[i < 0].tolist()):
+            mine = array("i")
+            for x in range(edges[k], edges[k + 1]):
+                mine.extend((int(i[x]),) if i[x] >= 0 else self.v.spell(windows[k][c[x]]))
+            out[k] = mine.tobytes()
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes: all are streams that run side by side."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        at, width = [0] * len(texts), [WINDOW] * len(texts)
+        live = [k for k, t in enumerate(texts) if t]
+        while live:
+            some, chars = [], 0
+            while live and chars < SIDE:
+                some.append(live.pop())
+                chars += min(width[some[-1]], len(texts[some[-1]]))
+            final = [at[k] + width[k] >= len(texts[k]) for k in some]
+            got = self.advance([texts[k][at[k] : at[k] + width[k]] for k in some], final)
+            for k, ids, n, end in zip(some, *got, final):
+                out[k].append(ids)
+                if not end:
+                    at[k] += n
+                    width[k] = WINDOW if n else 2 * width[k]
+                    live.append(k)
+        return [b"".join(x) for x in out]
+
+
+class Stream:
+    """One stream that is fed piecemeal. push() and finish() return committed ids."""
+
+    def __init__(self, v: Vocabulary):
+        self.streams, self.window = v.streams, ""
+
+    def push(self, text: str) -> list[int]:
+        self.window += text
+        if len(self.window) < 2 * self.streams.v.longest:
+            return []
+        (ids,), (n,) = self.streams.advance([self.window], [False])
+        self.window = self.window[n:]
+        return array("i", ids).tolist()
+
+    def finish(self) -> list[int]:
+        ids, self.window = self.streams.advance([self.window], [True])[0][0] if self.window else b"", ""
+        return array("i", ids).tolist()
+
 
 class Encoder:
-    """Encodes whole texts. Where no piece spans a word's start, every path converges there, so committed words
-    are remembered (a memo of bounded size)."""
+    """Encodes whole texts. Where no piece of the vocabulary spans a word's start every path converges there, so a
+    word is committed at its end, and the ids of committed words are remembered (two generations of MEMO words)."""
 
     def __init__(self, path: str = MODEL, merges: bool = False):
         self.v = Vocabulary(path)
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.merges = merges
-        self.lattices = Lattices(self.v)
-
-    def encode_many(self, texts: list[str | None]) -> list[array | None]:
-        """encode() of each; the parts that are new to the memo go through the lattices together."""
-        if self.merges or not self.v.word_starts:
-            return [None if t is None else self.encode(t) for t in texts]
-        lead = " " if self.v.dummy else ""
-        split = [self.v.parts.findall((lead + t).replace(" ", SPACE)) if t and SPACE not in t else None for t in texts]
-        parts = set().union(*filter(None, split))
+        self.streams = self.v.streams
+
+    def _blocks(self, text: str):
+        """The words of a text, a block of about BLOCK characters at a time."""
+        at, size = 0, BLOCK
+        while at < len(text):
+            words = self.v.parts.findall(text[at : at + size])
+            if at + size < len(text):
+                if len(words) == 1:
+                    size *= 2
+                    continue
+                words.pop()  # it may go on
+            yield words
+            at, size = at + sum(map(len, words)), BLOCK
+
+    def _words(self, blocks: list[list[str]]) -> list[bytes]:
+        """The ids of each list of words; words new to the memo run through the streams together."""
         memo = self.memo
-        new = parts.difference(memo)
-        kept = new.intersection(self.older)  # two generations: what is still in use moves on
+        new = set().union(*blocks).difference(memo)
+        kept = new.intersection(self.older)  # what is still in use moves on
         memo.update({p: self.older[p] for p in kept})
-        new -= kept
-        short = [p for p in new if len(p) <= SHORT]
-        memo.update({p: ids for p, ids in zip(short, self.lattices.encode(short)) if ids is not None} if short else {})
-        passing = [p for p in new if p not in memo]  # long parts, and parts with characters outside the vocabulary
-        for p in passing:
-            memo[p] = self._part(p)
-        out = []
-        for t, ps in zip(texts, split):
-            if ps is None:
-                out.append(None if t is None else self.encode(t))
-            else:
-                ids = array("i")
-                ids.frombytes(b"".join(map(memo.__getitem__, ps)))
-                out.append(ids)
-        for p in passing:
-            if len(p) > SHORT:
+        fresh = list(new - kept)
+        memo.update(zip(fresh, self.streams.encode(fresh)))
+        out = [b"".join(map(memo.__getitem__, ps)) for ps in blocks]
+        for p in fresh:
+            if len(p) > LONG:
                 del memo[p]
         if len(memo) >= MEMO:
             self.older, self.memo = memo, {}
         return out
 
-    def _part(self, part: str) -> bytes:
-        if len(part) > SHORT:
-            s = Stream(self.v)
-            return array("i", s.push(part) + s.finish()).tobytes()
-        return self.older.get(part) or array("i", self._short(part)).tobytes()
-
-    def _short(self, part: str) -> list[int]:
-        """The stream's recurrence for a part that fits in one window."""
-        v = self.v
-        trie, outside, n = v.trie.get, v.outside, len(part)
-        best, back = [0] + [-math.inf] * n, [0] * (n + 1)
-        for i in range(n):
-            score, single = best[i], False
-            for end in range(i + 1, n + 1):
-                piece = part[i:end]
-                s = trie(piece, 0)
-                if s == 0:
-                    break
-                if s is not None:
-                    if end == i + 1:
-                        single = True
-                    if score + s > best[end]:
-                        best[end], back[end] = score + s, i
-            if not single and score + outside > best[i + 1]:
-                best[i + 1], back[i + 1] = score + outside, i
-        out: list[int] = []
-        at, ids = n, v.ids.get
-        while at:
-            piece = part[back[at] : at]
-            i = ids(piece)
-            out.extend(reversed(v.spell(piece)) if i is None else (i,))
-            at = back[at]
-        out.reverse()
+    def encode_many(self, texts: list[str | None]) -> list[array | None]:
+        """Ids of each text."""
+        out = [None if t is None else array("i") for t in texts]
+        short, blocks = [], []
+        for k, t in enumerate(texts):
+            if not t:
+                continue
+            if self.merges:
+                out[k].extend(self.v.library.encode(t))  # the library's own merge order
+                continue
+            t = self.v.escape(t)
+            if not self.v.word_starts:
+                out[k].frombytes(self.streams.encode([t])[0])
+            elif len(t) <= BLOCK:
+                short.append(k), blocks.append(self.v.parts.findall(t))
+            else:
+                for words in self._blocks(t):
+                    out[k].frombytes(self._words([words])[0])
+        for k, ids in zip(short, self._words(blocks) if blocks else ()):
+            out[k].frombytes(ids)
         return out
 
-    def _plain(self, text: str, out: array) -> None:
-        text = text.replace(" ", SPACE)
-        if not self.v.word_starts:
-            s = Stream(self.v)
-            for at in range(0, len(text), 4096):
-                out.extend(s.push(text[at : at + 4096]))
-            out.extend(s.finish())
-            return
-        part = self._part
-        out.frombytes(b"".join([self.memo.get(p) or part(p) for p in self.v.parts.findall(text)]))
-
     def encode(self, text: str) -> array:
-        out = array("i")
-        if self.merges:
-            out.extend(self.v.library.encode(text))  # the library's own merge order
-        elif text:
-            first, *rest = text.split(SPACE)
-            if self.v.dummy:
-                first = " " + first
-            self._plain(first, out) if first else None
-            for more in rest:
-                out.extend(self.v.spell(SPACE))
-                if more:
-                    self._plain(more, out)
-        return out
+        return self.encode_many([text])[0]
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.v.text.__getitem__, ids)).decode("utf-8", "replace")
