@@ -130,7 +130,7 @@ def test_mixing_brute(spark):
     src = {i: rng.choice(["a", "b", "c", "d", None]) for i in range(400)}
     texts = ["w " * rng.randrange(0, 50) for _ in range(400)]
     d = make(spark, texts, src)
-    out = mixing.plan_mix(d)[0].toPandas().assign(src=lambda x: x.doc_id.map(src).fillna("~"))
+    out = mixing.plan_mix(d)[0].drop("src").toPandas().assign(src=lambda x: x.doc_id.map(src).fillna("~"))
     size = out.groupby("src")["size"].sum()
     names = sorted(set(size.index) - {"~"}) + ["~"]
     weight = {n: (3, 1, 2)[i % 3] for i, n in enumerate(names)}
@@ -151,7 +151,9 @@ def test_mixing_brute(spark):
         assert abs(g.k[n] - target[n]) <= 2 + 0.01 * target[n]
     assert (out.taken <= 2 * out["size"]).all()
     again = mixing.plan_mix(d.repartition(3))[0].toPandas()
-    assert rows(out.drop(columns="src")) == rows(again)
+    cols = ["doc_id", "size", "taken", "shard_words"]
+    assert rows(out[cols]) == rows(again[cols])
+    assert (out.shard_words.map(sum) == out.taken).all()
     mixed = mixing.mix_documents(d).toPandas()
     assert mixed.text.map(lambda t: len(words(t))).groupby(mixed.doc_id).sum().to_dict() == {r.doc_id: r.taken for r in out.itertuples() if r.taken}
 
@@ -166,41 +168,6 @@ def test_sainte_lague_seats(spark):
         assert {k: s[i] for k, s in got.items()} == {k: want[k] for k in t}
 
 
-def brute_chunks(texts):
-    """The cleaned texts, by looking at every chunk's bytes."""
-    seen, out = set(), []
-    for t in texts:
-        keep = []
-        for a, b, n in line_dedup.chunks(t or ""):
-            piece = t[a:b].rstrip("\n")
-            if n >= 2 and piece in seen:
-                continue
-            seen.add(piece) if n >= 2 else None
-            keep.append(t[a:b])
-        new = "".join(keep)
-        if keep and len(keep) < len(line_dedup.chunks(t)) and not t.endswith("\n") and new.endswith("\n"):
-            new = new[:-1]
-        out.append(None if t is None else new)
-    return out
-
-
-def test_line_dedup_brute(spark):
-    rng = random.Random(9)
-    line = lambda: " ".join(rng.choice(["ab", "cd", "ef", "gh"]) for _ in range(6))
-    shared = [[line() for _ in range(8)] for _ in range(4)]
-    texts = []
-    for _ in range(120):
-        ls = [line() for _ in range(rng.randrange(0, 6))] + rng.choice(shared) + [line() for _ in range(rng.randrange(0, 5))]
-        texts.append("\n".join(ls))
-    texts += [None, "", "one line only", texts[0], "\n\n\n"]
-    out = line_dedup.clean(make(spark, texts)).toPandas().sort_values("doc_id")
-    assert out.text.tolist() == brute_chunks(texts)
-    assert out._removed.sum() > 100
-    for t in texts:
-        c = line_dedup.chunks(t or "")
-        assert "".join((t or "")[a:b] for a, b, _ in c) == (t or "")
-
-
 def brute_runs(texts):
     """The texts without the lines of runs that occur earlier: every run of two lines or more is compared as it
     stands with what comes before it, line by line; no chunks, no hashes."""
@@ -241,7 +208,7 @@ def test_line_runs_brute(spark):
         texts.append(("\n" if k % 3 else "\n\n").join(ls))
     texts += [None, "", "one line only", "one line only", texts[0], "x\nx\nx\nx", "y y\nx\nx\nz", "a\nb\na\nb\na"]
     d = make(spark, texts)
-    out = line_dedup.clean_runs(d).toPandas().sort_values("doc_id")
+    out = line_dedup.clean(d).toPandas().sort_values("doc_id")
     assert out.text.tolist() == brute_runs(texts)
     assert (out.n_chars == out.text.map(lambda t: len(t or ""))).all()
     # recall: what a first place doesn't hold is gone, also runs of two lines
@@ -251,14 +218,14 @@ def test_line_runs_brute(spark):
             if "\n".join(run) in t:
                 assert not (tuple(run), t.count("\n\n") > 0) in first or run[0] not in new.split("\n")
                 first.add((tuple(run), t.count("\n\n") > 0))
-    assert rows(line_dedup.clean_runs(d.repartition(5)).toPandas()) == rows(out)
+    assert rows(line_dedup.clean(d.repartition(5)).toPandas()) == rows(out)
 
 
 def test_line_runs_rows_of_one_doc_id(spark):
     d = spark.createDataFrame([(1, "a\nb\nc"), (2, "k\na\nb"), (2, "m\nn\no"), (2, "m\nn\no")], "doc_id long, text string")
-    out = line_dedup.clean_runs(d.withColumn("_row", F.lit("x"))).toPandas()
+    out = line_dedup.clean(d.withColumn("_row", F.lit("x"))).toPandas()
     assert sorted(out.text) == ["a\nb\nc", "k", "m\nn\no", "m\nn\no"] and set(out._row) == {"x"}
-    assert line_dedup.clean_runs(d.limit(0)).count() == 0
+    assert line_dedup.clean(d.limit(0)).count() == 0
 
 
 def test_op8_removes_every_repeated_run(spark):
@@ -506,3 +473,252 @@ def test_sparse_sites_shrink(spark):
     texts = ["some words in a row here"] * 201
     out = quality_classifier.classify(make(spark, texts, {**{i: f"s{i % 4}" for i in range(200)}, 200: "tiny"}), labels).toPandas().set_index("doc_id")
     assert abs(out.p_path[200] - 0.9) < 0.05  # one bad label alone says little, and nothing about itself
+
+
+def test_ann_repeated_queries_and_lengths(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(80, 8))
+    data = [(k, x[k].tolist()) for k in range(80)] + [(50, x[50].tolist())] + [(200 + k, x[k, :3].tolist()) for k in range(10)]
+    got = ann.search(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).toPandas()
+    for q, dim, rows_ in ((50, 8, range(80)), (0, 8, range(80)), (200, 3, range(200, 210))):
+        u = {i: np.array(v) / np.linalg.norm(v) for i, v in data if len(v) == dim and i in rows_}
+        want = sorted((i for i in u if i != q), key=lambda i: (-float(u[i] @ u[q]), i))[:5]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert mine.vec_id.tolist() == want and mine["rank"].tolist() == [1, 2, 3, 4, 5]
+
+
+def test_ann_recall_at_20000(spark):
+    """Against brute force on 20,480 generated vectors; with shuffled codes the same search must lose most of it."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(400, 48))
+    x = (centres[rng.integers(0, 400, 20480)] + 0.7 * rng.normal(size=(20480, 48))).astype(np.float32)
+    import pandas as pd
+
+    d = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20480), "embedding": x.tolist()}))
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    queries = np.arange(0, 20480, 50)
+    s = unit[queries] @ unit.T
+    s[np.arange(len(queries)), queries] = -9
+    want = {int(q): set(np.argsort(-row)[:5].tolist()) for q, row in zip(queries, s)}
+    got = ann.search(d, F.col("id") % 50 == 0).toPandas().groupby("query_id").vec_id.apply(set).to_dict()
+    recall = np.mean([len(want[q] & got[q]) / 5 for q in want])
+    assert recall >= 0.9
+    books = ann.train(unit[:4000])
+    codes = ann.encode(unit[:16384], books)
+    a, b, _ = ann.search_block(x[queries[:40]].astype(float), queries[:40], x[:16384].astype(float), np.arange(16384), codes[rng.permutation(16384)], books, 5, 128)
+    lost = np.mean([len(want[int(q)] & set(b[a == i].tolist())) / 5 for i, q in enumerate(queries[:40])])
+    assert lost < 0.2
+
+
+def test_pii_mentions_take_linear_time():
+    import time
+
+    def cost(t):
+        at = time.process_time()
+        pii.mentions(t, pii.base_spans(t))
+        return time.process_time() - at
+
+    for piece in ("A" * 50, "1 ", "@ ", '= "', "1.2.3.", "(((1", "[at] "):
+        small, large = cost(piece * 2000 + " x@ "), cost(piece * 16000 + " x@ ")
+        assert large < 40 * max(small, 0.01)
+
+
+def brute_bootstrap(texts, rounds=pii.ROUNDS, min_seeds=pii.MIN_SEEDS, min_score=pii.MIN_SCORE):
+    """The accepted patterns, by plain loops over the mentions."""
+    graph = {}
+    seed = set()
+    for t in texts:
+        t = t or ""
+        for _, _, inst, kinds, pats, is_seed in pii.mentions(t, pii.base_spans(t)):
+            for k in kinds:
+                if is_seed:
+                    seed.add((k, inst))
+                for p in pats:
+                    graph.setdefault((p, k), Counter())[inst] += 1
+    known, accepted = {x: 1.0 for x in seed}, {}
+    for _ in range(rounds):
+        accepted = {}
+        for (p, k), insts in graph.items():
+            good = sum(w * known.get((k, i), 0.0) for i, w in insts.items())
+            doubt = sum(w * (1 - known[k, i] if (k, i) in known else 0.5) for i, w in insts.items())
+            support = sum((k, i) in known for i in insts)
+            if support >= min_seeds and good / (good + doubt + 0.1) >= min_score:
+                accepted[p, k] = good / (good + doubt + 0.1)
+        miss = {}
+        for (p, k), s in accepted.items():
+            for i in graph[p, k]:
+                miss[k, i] = miss.get((k, i), 1.0) * max(1e-9, 1 - s)
+        new = {x: 1 - m for x, m in miss.items() if 1 - m >= min_score} | {x: 1.0 for x in seed}
+        if len(new) == len(known):
+            break
+        known = new
+    return accepted
+
+
+def planted_pii(rng):
+    """Texts with identifiers in forms that the base expressions miss, and the spans that must be found. The second
+    context ("desk line") holds no base span at all: only what the first one teaches leads to it."""
+    texts, want = [], {}
+
+    def add(before, what, after, kind=None):
+        if kind:
+            want[len(texts)] = f"{kind}:{len(before)}:{len(before) + len(what)}"
+        texts.append(before + what + after)
+
+    numbers = [f"706 555 {1000 + 37 * k}" for k in range(12)]
+    for k in range(60):
+        add("please call me at ", f"+1 706 555 {rng.randrange(1000, 9999)}", f" after noon w{k}")
+    for n in numbers:
+        add("please call me at ", n, " after noon", "phone")
+    for n in numbers + ["706 555 9999", "706.555.8888"]:
+        add("desk line ", n, " extension open", "phone")
+    for k in range(12):
+        add("my api token = ", f'"{rng.getrandbits(160):040x}"', " stays")
+    for k in range(5):
+        add("the api token = ", f"ab{k}cd{rng.getrandbits(40):010x}9x7y", " expired", "secret")
+    for k in range(20):
+        add("we counted ", f"{rng.randrange(10**6, 10**7)}", f" apples and pears {k}")
+    return texts, want
+
+
+def test_pii_rounds_find_what_base_spans_never_touch(spark):
+    texts, want = planted_pii(random.Random(5))
+    out = pii.find(make(spark, texts)).toPandas().set_index("doc_id").sort_index()
+    hit = {i for i, s in want.items() if s in out.spans[i].split(",")}
+    wrong = [i for i in out.index if i not in want and out.n_discovered[i]]
+    assert len(hit) / len(want) >= 0.95 and not wrong
+    one = pii.find(make(spark, texts), rounds=1).toPandas().set_index("doc_id")
+    desk = [i for i, t in enumerate(texts) if t.startswith("desk line")]
+    assert not any(one.n_discovered[desk]) and all(out.n_discovered[desk])  # a second generation of patterns
+    scanned = pii.scan(make(spark, texts))
+    got = {(r.pattern, r.kind): r.score for r in pii.bootstrap(scanned).collect()}
+    brute = brute_bootstrap(texts)
+    assert got.keys() == brute.keys() and all(abs(got[k] - brute[k]) < 1e-6 for k in got)
+
+
+def test_posterior_brute(spark):
+    """Shrinkage and posterior of every document against plain loops."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
+    y = spark.read.parquet(f"{SF}/labels.parquet")
+    out = quality_classifier.classify(d, y).toPandas()
+    info = {r.doc_id: ("=" + r.source if r.source is not None else "", "=" + r.lang if r.lang is not None else "") for r in d.collect()}
+    lab = {}
+    for r in y.collect():
+        if r.quality is not None and r.doc_id in info:
+            lab[r.doc_id] = min(lab.get(r.doc_id, 1.0), float(r.quality > 0))
+    p = {r.doc_id: 1 / (1 + np.exp(-r.evidence)) for r in out.itertuples()}
+    own = {i: lab.get(i, p[i]) for i in p}
+
+    def strength(groups):
+        s = sum((k - n * m) ** 2 / (n * max(1e-9, m * (1 - m))) for k, n, m in groups)
+        n1, n2 = sum(n for _, n, _ in groups), sum(n * n for _, n, _ in groups)
+        rho = (s - (len(groups) - 1)) / max(1e-9, n1 - n2 / n1 - (len(groups) - 1))
+        rho = min(0.99, max(1e-4, rho))
+        return (1 - rho) / rho
+
+    host, path = {}, {}
+    for i, (h, lang) in info.items():
+        for table, key in ((host, h), (path, (h, lang))):
+            k, n = table.get(key, (0.0, 0))
+            table[key] = (k + own[i], n + 1)
+    p0 = min(1 - 1e-3, max(1e-3, sum(own.values()) / len(own)))
+    s1 = strength([(k, n, p0) for k, n in host.values()])
+    s2 = strength([(k, n, (host[h][0] + s1 * p0) / (host[h][1] + s1)) for (h, _), (k, n) in path.items()])
+    prior = min(1 - 1e-3, max(1e-3, np.mean([lab[i] for i in lab])))
+    for r in out.itertuples():
+        h, lang = info[r.doc_id]
+        ph = (host[h][0] - own[r.doc_id] + s1 * p0) / (host[h][1] - 1 + s1)
+        pp = (path[h, lang][0] - own[r.doc_id] + s2 * ph) / (path[h, lang][1] - 1 + s2)
+        c = min(1 - 1e-3, max(1e-3, pp))
+        post = 1 / (1 + np.exp(-(r.evidence + np.log(c / (1 - c)) - np.log(prior / (1 - prior)))))
+        assert abs(r.p_host - ph) < 1e-9 and abs(r.p_path - pp) < 1e-9 and abs(r.posterior - post) < 1e-9
+        assert r.kept == (r.posterior >= 0.5)
+
+
+def test_pack_brute():
+    """Every item goes where the dot product with what is left is highest, larger items first; against plain loops."""
+    rng = np.random.default_rng(3)
+    v = rng.integers(1, 50, (120, 3)).astype(float)
+    items = [[k] for k in range(100)] + [list(range(100, 110)), list(range(110, 120))]
+    got = sharding.pack(v, items, 8)
+    total = v.sum(0)
+    sums = [[sum(v[i][d] for i in ids) / (total[d] / 8) for d in range(3)] for ids in items]
+    left = [[1.0] * 3 for _ in range(8)]
+    want = [0] * 120
+    for k in sorted(range(len(items)), key=lambda k: (-max(sums[k]), k)):
+        fit = [sum(a * b for a, b in zip(r, sums[k])) for r in left]
+        s = max(range(8), key=lambda j: (fit[j], -j))
+        left[s] = [a - b for a, b in zip(left[s], sums[k])]
+        for i in items[k]:
+            want[i] = s
+    assert got.tolist() == want
+    loads = np.array([v[got == s].sum(0) for s in range(8)])
+    assert (loads.max(0) - loads.min(0) < 0.15 * loads.mean(0)).all()
+
+
+def test_mixing_rows_of_one_doc_id(spark):
+    """Rows that share a doc_id but not a text, equal rows, and blocks that end inside documents."""
+    rng = random.Random(12)
+    data = [(k % 7, " ".join(f"w{k}_{j}" for j in range(rng.randrange(1, 60))), f"s{k % 2}") for k in range(60)]
+    data += [(99, "same words here", "s0")] * 5 + [(3, None, "s1"), (4, "", None)]
+    d = spark.createDataFrame(data, "doc_id long, text string, source string")
+    for block_docs in (8, 0.05):
+        kw = {"seats_per_source": 40, "block_docs": block_docs}
+        plan = mixing.plan_mix(d, **kw)[0].drop("src").toPandas()
+        mixed = mixing.mix_documents(d, **kw).toPandas()
+        assert sum(len(words(t)) for t in mixed.text) == plan.taken.sum()
+        assert (plan.shard_words.map(sum) == plan.taken).all() and (plan.taken <= 2 * plan["size"]).all()
+        taken = Counter()
+        for t in mixed.text:
+            taken.update(words(t))
+        assert max(v for k, v in taken.items() if "_" in k) <= 2
+        assert rows(mixed) == rows(mixing.mix_documents(d.repartition(4), **kw).toPandas())
+
+
+def test_mixing_quotas_reach_shards(spark):
+    d = make(spark, ["w " * (5 + k % 40) for k in range(500)], {k: f"s{k % 3}" for k in range(500)})
+    docs, plan, chosen = mixing.plan_mix(d, block_docs=2)
+    docs, plan, chosen = docs.select("doc_id", "shard_words", "taken").toPandas(), plan.toPandas(), chosen.toPandas()
+    quota = {r.src["name"]: np.diff([0, *r.seats]) for r in plan.itertuples()}
+    for name, g in chosen.groupby(chosen.src.map(lambda s: s["name"])):
+        got = g.groupby("shard").size().reindex(range(8), fill_value=0).to_numpy()
+        assert np.abs(got[:7] - quota[name][:7]).max() == 0 and abs(got[7] - quota[name][7]) <= 2
+        assert g.no.value_counts().max() <= 2 and g.sort_values("pick").no.tolist() != sorted(g.no)
+    by_shard = np.sum(docs.shard_words.tolist(), 0)
+    assert by_shard.tolist() == chosen.groupby("shard").words.sum().reindex(range(8), fill_value=0).tolist()
+
+
+def test_pieces_windows_stay_small_and_memo_turns_over(monkeypatch):
+    e = sentence_pieces.Encoder()
+    rng = random.Random(3)
+    text = "".join(rng.choice("abeht insor.,\n") for _ in range(1_500_000))
+    assert e.decode(e.encode(text)) == text and e.streams.widest <= 2 * sentence_pieces.WINDOW
+    one_word = "".join(rng.choice("abehtinsor") for _ in range(200_000))  # no word ends in it
+    assert e.decode(e.encode(one_word)) == one_word and e.streams.widest <= 2 * sentence_pieces.WINDOW
+    monkeypatch.setattr(sentence_pieces, "MEMO", 50)
+    monkeypatch.setattr(sentence_pieces, "BLOCK", 300)
+    small = sentence_pieces.Encoder()
+    texts = ["".join(rng.choice("abeht in.,\n$é▁語") for _ in range(rng.randrange(2000))) for _ in range(30)] + ["語" * 700, "\U0001f600" * 400]
+    for t in texts + texts:
+        assert list(small.encode(t)) == list(e.encode(t)) and small.decode(small.encode(t)) == t
+        assert len(small.memo) < 1500
+
+
+def test_pieces_windows_equal_whole_viterbi():
+    """Streams in windows against one plain pass over the whole text."""
+    e = sentence_pieces.Encoder()
+    v, rng = e.v, random.Random(21)
+    for _ in range(25):
+        t = v.escape("".join(rng.choice("abehtin s語") for _ in range(rng.randrange(1, 3000))))
+        best, back = [0] + [-(10**15)] * len(t), [0] * (len(t) + 1)
+        for b in range(1, len(t) + 1):
+            for a in range(max(0, b - v.longest), b):
+                s = v.scores.get(t[a:b], v.outside if b == a + 1 else None)
+                if s is not None and best[a] + s > best[b]:
+                    best[b], back[b] = best[a] + s, a
+        cuts, at = [], len(t)
+        while at:
+            cuts.append((back[at], at))
+            at = back[at]
+        want = [i for a, b in reversed(cuts) for i in ([v.ids[t[a:b]]] if t[a:b] in v.ids else v.spell(t[a:b]))]
+        assert np.frombuffer(e.streams.encode([t])[0], np.int32).tolist() == want
