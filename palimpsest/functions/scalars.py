@@ -44,15 +44,15 @@ def has_bit(flags: Column, bit: int) -> Column:
 
 
 def font_flags(flags: Column) -> Column:
-    names = {"bold": 1, "italic": 2, "underline": 4, "strike": 8, "superscript": 16, "subscript": 32}
+    """The marks of a style's flag word; any of three bits underlines."""
+    names = {"bold": 1, "italic": 2, "underline": 4 | 8 | 64, "strike": 128, "superscript": 256, "subscript": 512}
     return F.struct(*[has_bit(flags, b).alias(n) for n, b in names.items()])
 
 
 def placement(flags: Column) -> Column:
-    """Where a header or footer repeats."""
-    f = flags.cast("long")
-    every, odd, even = has_bit(f, 4), has_bit(f, 8), has_bit(f, 16)
-    return F.when(every, "all").when(odd & even, "odd-even").when(odd, "odd").when(even, "even").otherwise("unknown")
+    """Which pages a header or footer is for."""
+    odd, even = has_bit(flags, 4), has_bit(flags, 8)
+    return F.when(flags.isNull(), "unknown").when(has_bit(flags, 16) | (odd & even), "odd-even").when(odd, "odd").when(even, "even").otherwise("all")
 
 
 def paper(flags: Column) -> Column:
@@ -65,17 +65,19 @@ def paper(flags: Column) -> Column:
 
 def heading_level(style: Column) -> Column:
     """1 to 6 from a style's name, else null."""
-    s = F.lower(F.trim(style))
-    n = F.regexp_extract(s, r"^heading\s*([1-6])$", 1)
-    return F.when(n != "", n.cast("int")).when(s == "title", 1).when(s == "subtitle", 2)
+    s = F.lower(F.regexp_replace(F.trim(style), r"\s+", " "))
+    n = F.regexp_extract(s, r"\b(?:heading|head|h)\s*[-_:]?\s*([1-6])\b", 1)
+    return F.when(n != "", n.cast("int")).when(s.isin("title", "document title", "chapter title", "chapter heading", "heading", "head"), 1).when(s.isin("subtitle", "sub title", "subhead", "subheading"), 2)
 
 
 def region_margins(x: Column, width: Column, container: Column, tolerance: int = 3) -> Column:
-    """Left and right margin of a region inside its container; null where it overflows, zero for the full measure."""
-    left, right = x.cast("long"), (container - x - width).cast("long")
-    full = (left <= tolerance) & (F.abs(right) <= tolerance)
-    bad = (x < 0) | (width <= 0) | (right < -tolerance)
-    return F.when(bad, F.lit(None)).otherwise(F.struct(F.when(full, 0).otherwise(left).cast("long").alias("left"), F.when(full, 0).otherwise(F.greatest(F.lit(0), right)).cast("long").alias("right")))
+    """Left, right and first-line margin of a region inside its container. A region as wide as the container states where the
+    first line begins; one that overflows can't be applied and is null."""
+    end = x + width
+    full = F.abs(width - container) <= tolerance
+    bad = (x < 0) | (width <= 0) | (container <= 0) | (~full & ((x >= container) | (end > container + tolerance)))
+    m = F.struct(F.when(full, 0).otherwise(x).cast("long").alias("left"), F.when(full, 0).otherwise(F.greatest(F.lit(0), container - end)).cast("long").alias("right"), F.when(full, x).otherwise(0).cast("long").alias("first"))
+    return F.when(~bad, m)
 
 
 def encode_escapes(text: Column) -> Column:
@@ -98,7 +100,51 @@ def escape_html(text: Column) -> Column:
 
 
 def escape_markdown(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\`*_{}\[\]()#+\-.!|<>])", r"\\$1")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return F.regexp_replace(text, r"([\\`*_\[\]{}|])", r"\\$1")
+
+
+def normalize_text(text: Column, policy: str = "exact") -> Column:
+    """Line breaks made one kind; then as it is, without trailing breaks, or with white space collapsed."""
+    t = F.regexp_replace(text, "\r\n?", "\n")
+    if policy == "exact":
+        return t
+    if policy == "trailing-newline":
+        return F.regexp_replace(t, "\n+$", "")
+    if policy == "collapse":
+        return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
+    raise ValueError(f"unknown policy {policy!r}; there are collapse, exact, trailing-newline")
+
+
+def text_digest(text: Column) -> Column:
+    """SHA-256 of the text in Unicode form C with white space collapsed."""
+    @F.pandas_udf("string")
+    def composed(s: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return s.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFC", x).split()))
+
+    return F.sha2(composed(text), 256)
+
+
+def display_size(width: Column, height: Column) -> Column:
+    """Inches of pixels at 96 an inch, scaled down to 6.5 by 8."""
+    w, h = width / 96.0, height / 96.0
+    k = F.least(F.lit(1.0), 6.5 / w, 8.0 / h)
+    return F.struct((w * k).alias("width_in"), (h * k).alias("height_in"))
+
+
+def manifest_row(line: Column) -> Column:
+    """The four numbers of a directory row, else null."""
+    rx = r"^\s*\d{1,20}\s+\.[A-Za-z0-9]{1,8}\s+(\d{1,20})\s+(\d{1,20})\s+(\d{1,20})\s+(\d{1,20})\s*$"
+    part = lambda k: F.regexp_extract(line, rx, k).cast("decimal(20,0)")
+    return F.when(line.rlike(rx), F.struct(part(1).alias("at"), part(2).alias("size"), part(3).alias("preview_at"), part(4).alias("preview_size")))
+
+
+def applies_to_page(kind: Column, page: Column) -> Column:
+    """Whether furniture for all, odd, even or both kinds of pages stands on a page."""
+    return kind.isin("all", "odd-even") | ((kind == "odd") & (page % 2 == 1)) | ((kind == "even") & (page % 2 == 0))
 
 
 def fold_family(name: Column) -> Column:
@@ -112,9 +158,8 @@ def fold_family(name: Column) -> Column:
     return fold(name)
 
 
-LOSSLESS = ("encoding-detected", "newline-normalised")
-CONTENT_LOSS = ("undecodable-bytes", "truncated-body", "unplaced-frame", "asset-unreferenced")
-
-
 def lossiness(code: Column) -> Column:
+    """What a diagnostic code loses: nothing, meaning, or content."""
+    from ..parsing.model import CONTENT_LOSS, LOSSLESS
+
     return F.when(code.isin(*LOSSLESS), "none").when(code.isin(*CONTENT_LOSS) | code.startswith("wmf-"), "content").otherwise("semantic")

@@ -45,7 +45,7 @@ def numeric_distribution(spark, d):
 
 @query("SELECT l_returnflag, min(l_discount) AS low, median(l_discount) AS median, max(l_discount) AS high FROM lineitem GROUP BY 1")
 def quantiles_by_flag(spark, d):
-    return t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.min("l_discount").alias("low"), F.median("l_discount").alias("median"), F.max("l_discount").alias("high"))
+    return g.distribution(t(spark, d, "lineitem"), "l_discount", ["l_returnflag"]).drop("n")
 
 
 @query("""SELECT l_linestatus, round(CASE WHEN count(*) >= 2 AND var_pop(l_quantity) > 0 AND var_pop(l_extendedprice) > 0 THEN corr(l_quantity, l_extendedprice) END, 6) AS r, count(*)::BIGINT AS n FROM lineitem GROUP BY 1""")
@@ -127,13 +127,9 @@ def sparse_grid_fill(spark, d):
 @query("""WITH a AS (SELECT l_orderkey, l_linenumber AS r, min(l_partkey % 4) AS f, min(l_suppkey % 3 + 1) AS span FROM lineitem GROUP BY ALL),
 p AS (SELECT a.l_orderkey, a.r, a.span, count(b.r) AS members, bool_and(b.f <> 0) AS marked FROM a LEFT JOIN a b ON a.l_orderkey = b.l_orderkey AND b.r > a.r AND b.r < a.r + a.span WHERE a.f = 0 GROUP BY ALL)
 SELECT l_orderkey, r, members::BIGINT AS members, members = span - 1 AND coalesce(marked, true) AS valid FROM p""")
-def merge_validation(spark, d):
+def merge_spans(spark, d):
     a = t(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("r")).agg(F.min(F.col("l_partkey") % 4).alias("f"), F.min(F.col("l_suppkey") % 3 + 1).alias("span"))
-    # an anchor's rectangle spans at most three rows, so a range frame finds its members without a join
-    w = Window.partitionBy("l_orderkey").orderBy("r").rangeBetween(1, 2)
-    rows = a.withColumn("next", F.collect_list(F.struct("r", "f")).over(w)).where("f = 0")
-    m = F.filter("next", lambda x: x["r"] < F.col("r") + F.col("span"))
-    return rows.select("l_orderkey", "r", F.size(m).cast("long").alias("members"), ((F.size(m) == F.col("span") - 1) & F.forall(m, lambda x: x["f"] != 0)).alias("valid"))
+    return g.merge_spans(a, ["l_orderkey"], "r", "span", F.col("f") == 0, F.col("f") != 0, 3)
 
 
 @query("""WITH w AS (SELECT p_brand, p_partkey, p_size, sum(p_size) OVER (PARTITION BY p_brand) AS s FROM part), e AS (SELECT *, (p_size * 100000::BIGINT) // s AS b, (p_size * 100000::BIGINT) % s AS r FROM w),
@@ -148,21 +144,26 @@ CASE WHEN a.n_name IS NOT NULL THEN 'installed' WHEN b.r_name IS NOT NULL THEN '
 LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 3 = 0) a ON a.n_nationkey = s_nationkey LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) b ON b.r_regionkey = f""")
 def priority_resolve(spark, d):
     s = t(spark, d, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_nationkey") % 5).alias("f"))
-    a = t(spark, d, "nation").where("n_nationkey % 3 = 0").select("n_nationkey", "n_name")
-    b = t(spark, d, "region").where("r_regionkey < 3").select("r_regionkey", "r_name")
-    j = s.join(a, F.col("n_nationkey") == F.col("s_nationkey"), "left").join(b, F.col("r_regionkey") == F.col("f"), "left")
-    return j.select("s_suppkey", F.coalesce("n_name", "r_name", F.lit("unresolved")).alias("resolved"), F.when(F.col("n_name").isNotNull(), "installed").when(F.col("r_name").isNotNull(), "alias").otherwise("unresolved").alias("rank"))
+    a = t(spark, d, "nation").where("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("value"))
+    b = t(spark, d, "region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("value"))
+    return g.first_found(s, [("installed", a, F.col("s_nationkey")), ("alias", b, F.col("f"))]).drop("s_nationkey", "f")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT n_name AS value, n_nationkey AS k FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_regionkey < 3)".replace("n_name AS value", "n_regionkey AS value"))
+def usable_aliases(spark, d):
+    a = t(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("value"))
+    return g.usable_aliases(a, t(spark, d, "region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("k")))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)")
 def anchor_anti_join(spark, d):
-    c, o = t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").select("o_custkey")
+    c, o = t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").where("o_orderkey % 3 = 0").select("o_custkey")
     return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("""SELECT s_suppkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM supplier JOIN orders ON o_custkey = s_suppkey GROUP BY 1""")
 def latest_match(spark, d):
-    o = t(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
+    o = g.latest(t(spark, d, "orders").withColumn("latest", F.col("o_orderkey")), ["o_custkey"], "latest", ["o_orderdate", "o_orderkey"])
     return t(spark, d, "supplier").join(o, F.col("o_custkey") == F.col("s_suppkey")).select("s_suppkey", "latest")
 
 
@@ -170,26 +171,21 @@ def latest_match(spark, d):
 SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, isle ORDER BY turn)::INT AS number FROM r WHERE role = 'assistant'""")
 def list_numbering(spark, d):
     c = t(spark, d, "conversations").select("conv_id", "turn", "role")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    isle = F.sum(F.when(F.col("role") != "assistant", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = c.withColumn("isle", isle).where("role = 'assistant'")
-    return rows.select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id", "isle").orderBy("turn")).alias("number"))
+    return g.numbered(c, ["conv_id"], "turn", F.col("role") == "assistant").select("conv_id", "turn", "number")
 
 
 @query("""WITH r AS (SELECT *, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS new FROM conversations),
 i AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS isle FROM r)
 SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn, any_value(role) AS role, count(*)::BIGINT AS items FROM i GROUP BY conv_id, isle""")
 def list_islands(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = t(spark, d, "conversations").select("conv_id", "turn", "role").withColumn("new", F.when(F.col("role").eqNullSafe(F.lag("role").over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1))
-    c = c.withColumn("isle", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return c.groupBy("conv_id", "isle").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.first("role").alias("role"), F.count("*").alias("items")).drop("isle")
+    r = g.runs_of(t(spark, d, "conversations"), ["conv_id"], "turn", "role")
+    return r.select("conv_id", F.col("first").alias("first_turn"), F.col("last").alias("last_turn"), "role", "items")
 
 
 @query("""SELECT CASE WHEN lower(event_type) LIKE '%pur%' THEN 'conversion' WHEN lower(event_type) LIKE '%cl%' THEN 'interaction' WHEN lower(event_type) LIKE '%v%' THEN 'view' ELSE 'other' END AS failure_class, count(*)::BIGINT AS n FROM events GROUP BY 1""")
 def failure_class(spark, d):
-    e = F.lower("event_type")
-    return t(spark, d, "events").groupBy(F.when(e.like("%pur%"), "conversion").when(e.like("%cl%"), "interaction").when(e.like("%v%"), "view").otherwise("other").alias("failure_class")).agg(F.count("*").alias("n"))
+    c = g.classify(F.col("event_type"), [("pur", "conversion"), ("cl", "interaction"), ("v", "view")])
+    return t(spark, d, "events").groupBy(c.alias("failure_class")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH e AS (SELECT user_id, event_type || (event_id % 7)::VARCHAR AS c FROM events), g AS (SELECT c, count(DISTINCT user_id) AS units, count(*) AS occurrences FROM e GROUP BY 1)
@@ -218,15 +214,12 @@ def greedy_text_budget(spark, d):
 
 @query("""SELECT l_orderkey, count(DISTINCT l_linenumber) = max(l_linenumber) AND min(l_linenumber) = 1 AS complete, (count(*) - count(DISTINCT l_linenumber))::BIGINT AS duplicates FROM lineitem GROUP BY 1""")
 def index_completeness(spark, d):
-    n = F.countDistinct("l_linenumber")
-    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(((n == F.max("l_linenumber")) & (F.min("l_linenumber") == 1)).alias("complete"), (F.count("*") - n).alias("duplicates"))
+    return g.completeness(t(spark, d, "lineitem"), ["l_orderkey"], "l_linenumber")
 
 
 @query("""WITH n AS (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation) SELECT n_regionkey, max(n_name) FILTER (k = 1) AS kept, string_agg(n_name, ' | ' ORDER BY k) FILTER (k > 1) AS appended FROM n GROUP BY 1""")
 def duplicate_coordinates(spark, d):
-    n = t(spark, d, "nation").withColumn("k", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
-    rest = F.transform(F.array_sort(F.collect_list(F.when(F.col("k") > 1, F.struct("k", "n_name")))), lambda x: x["n_name"])
-    return n.groupBy("n_regionkey").agg(F.max(F.when(F.col("k") == 1, F.col("n_name"))).alias("kept"), F.array_join(rest, " | ").alias("appended"))
+    return g.first_and_rest(t(spark, d, "nation"), ["n_regionkey"], "n_nationkey", "n_name")
 
 
 @query("""SELECT '#' || lower(lpad(to_hex(p_partkey * 7919 & 255), 2, '0') || lpad(to_hex((p_partkey * 7919 >> 8) & 255), 2, '0') || lpad(to_hex((p_partkey * 7919 >> 16) & 255), 2, '0')) AS colour, p_partkey, p_size / 20.0::DOUBLE AS size_pt, p_size / 1440.0::DOUBLE AS size_in, (p_size & 1) <> 0 AS bold, (p_size & 2) <> 0 AS italic FROM part""")
@@ -237,7 +230,7 @@ def style_record_fields(spark, d):
 
 
 @query("""SELECT p_partkey, CASE WHEN v BETWEEN 1 AND 7 THEN v END AS paper_code, CASE WHEN f & 256 <> 0 THEN 'landscape' ELSE 'portrait' END AS orientation, f & 512 = 0 AS alternating, f & 1024 <> 0 AS mirrored,
-CASE WHEN f & 4 <> 0 THEN 'all' WHEN f & 8 <> 0 AND f & 16 <> 0 THEN 'odd-even' WHEN f & 8 <> 0 THEN 'odd' WHEN f & 16 <> 0 THEN 'even' ELSE 'unknown' END AS placement
+CASE WHEN f & 16 <> 0 OR f & 12 = 12 THEN 'odd-even' WHEN f & 4 <> 0 THEN 'odd' WHEN f & 8 <> 0 THEN 'even' ELSE 'all' END AS placement
 FROM (SELECT p_partkey, p_partkey * 131 AS f, (p_partkey * 131) & 255 AS v FROM part)""")
 def layout_flags(spark, d):
     f = F.col("p_partkey") * 131
@@ -245,11 +238,11 @@ def layout_flags(spark, d):
     return t(spark, d, "part").select("p_partkey", p["paper_code"].alias("paper_code"), p["orientation"].alias("orientation"), p["alternating"].alias("alternating"), p["mirrored"].alias("mirrored"), scalars.placement(f).alias("placement"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN w <= 0 OR 100 - x - w < -3 THEN NULL WHEN x <= 3 AND abs(100 - x - w) <= 3 THEN 0 ELSE x END::BIGINT AS lft, CASE WHEN w <= 0 OR 100 - x - w < -3 THEN NULL WHEN x <= 3 AND abs(100 - x - w) <= 3 THEN 0 ELSE greatest(0, 100 - x - w) END::BIGINT AS rgt
-FROM (SELECT l_orderkey, l_linenumber, l_suppkey % 60 AS x, l_quantity::BIGINT AS w FROM lineitem)""")
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN full_ THEN 0 WHEN NOT bad THEN x END::BIGINT AS lft, CASE WHEN full_ THEN 0 WHEN NOT bad THEN greatest(0, 40 - x - w) END::BIGINT AS rgt, CASE WHEN full_ THEN x WHEN NOT bad THEN 0 END::BIGINT AS first
+FROM (SELECT *, abs(w - 40) <= 3 AS full_, x >= 40 OR x + w > 43 AS bad FROM (SELECT l_orderkey, l_linenumber, l_suppkey % 60 AS x, l_quantity::BIGINT AS w FROM lineitem))""")
 def region_margins(spark, d):
-    m = scalars.region_margins(F.col("l_suppkey") % 60, F.col("l_quantity").cast("long"), F.lit(100))
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", m["left"].alias("lft"), m["right"].alias("rgt"))
+    m = scalars.region_margins(F.col("l_suppkey") % 60, F.col("l_quantity").cast("long"), F.lit(40))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", m["left"].alias("lft"), m["right"].alias("rgt"), m["first"].alias("first"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN regexp_full_match(s, '[+-]?[0-9]{1,20}') AND abs(s::HUGEINT) <= 2147483647 THEN s::BIGINT END AS value FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_custkey::VARCHAR WHEN 1 THEN '-' || o_custkey::VARCHAR WHEN 2 THEN o_custkey::VARCHAR || '0000000000' ELSE o_orderpriority END AS s FROM orders)""")
@@ -261,10 +254,8 @@ def bounded_integers(spark, d):
 
 @query("SELECT label::INT AS label, round(sqrt(avg((a - b) * (a - b))), 6) AS rmse, count(*)::BIGINT AS n FROM (SELECT label, unnest(embedding)::DOUBLE AS a, unnest(list_concat(embedding[2:], embedding[1:1]))::DOUBLE AS b FROM embeddings) GROUP BY 1")
 def raster_rmse(spark, d):
-    e = F.col("embedding")
-    turned = F.concat(F.slice(e, 2, 100000), F.slice(e, 1, 1))
-    sq = F.aggregate(F.zip_with(e, turned, lambda a, b: F.pow(a.cast("double") - b.cast("double"), F.lit(2.0))), F.lit(0.0), lambda a, x: a + x)
-    return t(spark, d, "embeddings").groupBy("label").agg(F.round(F.sqrt(F.sum(sq) / F.sum(F.size("embedding"))), 6).alias("rmse"), F.sum(F.size("embedding")).alias("n"))
+    e = t(spark, d, "embeddings").withColumn("turned", F.concat(F.expr("slice(embedding, 2, size(embedding))"), F.slice("embedding", 1, 1)))
+    return g.rmse(e, ["label"], "embedding", "turned")
 
 
 @query("SELECT doc_id, octet_length(encode(text))::BIGINT AS size, sha256(text) AS sha256 FROM documents")
@@ -288,10 +279,7 @@ def resume_plan(spark, d):
 @query("""WITH RECURSIVE p AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_suppkey // 2 END AS parent FROM supplier), c AS (SELECT s_suppkey, parent, 0 AS depth FROM p UNION ALL SELECT c.s_suppkey, p.parent, c.depth + 1 FROM c JOIN p ON p.s_suppkey = c.parent WHERE c.depth < 64)
 SELECT s_suppkey, max(depth)::INT AS depth FROM c GROUP BY 1""")
 def style_chain_depth(spark, d):
-    t(spark, d, "supplier").selectExpr("s_suppkey", "CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_suppkey div 2 END AS parent").createOrReplaceTempView("style_parents")
-    return spark.sql("""WITH RECURSIVE c(s_suppkey, parent, depth) MAX RECURSION LEVEL 65 AS (SELECT s_suppkey, parent, 0 FROM style_parents
- UNION ALL SELECT c.s_suppkey, p.parent, c.depth + 1 FROM c JOIN style_parents p ON p.s_suppkey = c.parent WHERE c.depth < 64)
-SELECT s_suppkey, max(depth) AS depth FROM c GROUP BY s_suppkey""")
+    return g.chain_depth(t(spark, d, "supplier").selectExpr("s_suppkey", "CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_suppkey div 2 END AS parent"), "s_suppkey", "parent")
 
 
 @query("""SELECT sha256('{"count":' || count(*)::VARCHAR || ',"keys":' || sum(n_nationkey)::VARCHAR || '}') AS identity FROM nation""")
@@ -320,3 +308,55 @@ def incremental_counts(spark, d):
     from ..streaming.incremental import counts
 
     return counts(spark, f"{d}/events.parquet")
+
+
+@query("""WITH m AS (SELECT DISTINCT user_id, date_trunc('hour', ts) AS mark FROM events WHERE event_id % 3 = 0)
+SELECT e.event_id, (SELECT max(mark) FROM m WHERE m.user_id = e.user_id AND m.mark <= e.ts) AS before, (SELECT min(mark) FROM m WHERE m.user_id = e.user_id AND m.mark >= e.ts) AS after FROM events e""")
+def asof_both_sides(spark, d):
+    e = t(spark, d, "events").select("event_id", "user_id", "ts")
+    marks = e.where("event_id % 3 = 0").select("user_id", F.date_trunc("hour", "ts").alias("mark")).distinct()
+    return g.asof_both(e, marks, ["user_id"], "ts", "mark").select("event_id", "before", "after")
+
+
+@query(f"WITH s AS ({_SPANS}) SELECT x.o_orderkey, exists(SELECT 1 FROM s WHERE s.o_custkey = x.o_custkey AND s.lo <= x.a AND s.hi >= x.b) AS inside FROM (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) + 30 AS a, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) + 75 AS b FROM orders) x")
+def interval_in_one_range(spark, d):
+    lo = F.unix_date(F.to_date("o_orderdate")).cast("long")
+    items = t(spark, d, "orders").select("o_orderkey", "o_custkey", (lo + 30).alias("lo"), (lo + 75).alias("hi"))
+    return g.contained_in_one(items, _spans(spark, d), ["o_custkey"], "lo", "hi").select("o_orderkey", "inside")
+
+
+@query("""SELECT page_id, md5(trim(regexp_replace(html, '\\s+', ' ', 'g'))) AS collapsed, md5(regexp_replace(html, '\\n+$', '')) AS trimmed FROM pages""")
+def normalized_text(spark, d):
+    p = t(spark, d, "pages")
+    return p.select("page_id", F.md5(scalars.normalize_text(F.col("html"), "collapse")).alias("collapsed"), F.md5(scalars.normalize_text(F.col("html"), "trailing-newline")).alias("trimmed"))
+
+
+@query()
+def text_digests(spark, d):
+    return t(spark, d, "pages").select("page_id", scalars.text_digest(F.col("html")).alias("digest"))
+
+
+@query("SELECT p_partkey, round((w / 96.0) * least(1.0, 6.5 / (w / 96.0), 8.0 / (h / 96.0)), 6)::DOUBLE AS width_in, round((h / 96.0) * least(1.0, 6.5 / (w / 96.0), 8.0 / (h / 96.0)), 6)::DOUBLE AS height_in FROM (SELECT p_partkey, (p_size * 40 + 1)::DOUBLE AS w, (p_partkey % 1000 + 1)::DOUBLE AS h FROM part)")
+def display_sizes(spark, d):
+    s = scalars.display_size(F.col("p_size") * 40 + 1, F.col("p_partkey") % 1000 + 1)
+    return t(spark, d, "part").select("p_partkey", F.round(s["width_in"], 6).alias("width_in"), F.round(s["height_in"], 6).alias("height_in"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END::BIGINT AS at, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END::BIGINT AS size FROM orders")
+def manifest_rows(spark, d):
+    line = F.concat(F.lit(" 1 "), F.when(F.col("o_orderkey") % 3 == 0, "bmp").otherwise(".bmp"), F.lit(" "), F.col("o_custkey").cast("string"), F.lit(" "), F.col("o_orderkey").cast("string"), F.lit(" 0 0"))
+    m = scalars.manifest_row(line)
+    return t(spark, d, "orders").select("o_orderkey", m["at"].cast("long").alias("at"), m["size"].cast("long").alias("size"))
+
+
+@query("SELECT p, k AS placement, k IN ('all', 'odd-even') OR (k = 'odd' AND p % 2 = 1) OR (k = 'even' AND p % 2 = 0) AS applies FROM (SELECT DISTINCT l_linenumber AS p FROM lineitem), (VALUES ('all'), ('odd'), ('even'), ('odd-even'), ('unknown')) v(k)")
+def page_furniture(spark, d):
+    p = t(spark, d, "lineitem").select(F.col("l_linenumber").alias("p")).distinct().withColumn("placement", F.explode(F.array(*map(F.lit, ("all", "odd", "even", "odd-even", "unknown")))))
+    return p.select("p", "placement", scalars.applies_to_page(F.col("placement"), F.col("p")).alias("applies"))
+
+
+@query("SELECT s AS style, CASE WHEN s IN ('Heading 3', 'my h-3') THEN 3 WHEN s IN ('Title', 'Chapter  Title') THEN 1 WHEN s = 'Subhead' THEN 2 WHEN s LIKE 'Head%' THEN n % 6 + 1 END::INT AS level FROM (SELECT n_nationkey AS n, CASE n_nationkey % 7 WHEN 0 THEN 'Heading 3' WHEN 1 THEN 'my h-3' WHEN 2 THEN 'Title' WHEN 3 THEN 'Chapter  Title' WHEN 4 THEN 'Subhead' WHEN 5 THEN 'Body' ELSE 'Head:' || (n_nationkey % 6 + 1) END AS s FROM nation)")
+def heading_styles(spark, d):
+    k = F.col("n_nationkey") % 7
+    s = F.when(k == 0, "Heading 3").when(k == 1, "my h-3").when(k == 2, "Title").when(k == 3, "Chapter  Title").when(k == 4, "Subhead").when(k == 5, "Body").otherwise(F.concat(F.lit("Head:"), (F.col("n_nationkey") % 6 + 1).cast("string")))
+    return t(spark, d, "nation").select(s.alias("style")).withColumn("level", scalars.heading_level(F.col("style")))

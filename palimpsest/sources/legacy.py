@@ -1,116 +1,129 @@
-"""Reading and writing legacy document bytes: discovery, bounded scan, code pages, envelopes."""
+"""Finding, reading and making legacy document files."""
 
 from __future__ import annotations
 
+import struct
+
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import encode_escapes
 
 MAX_BYTES = 64 * 1024 * 1024
-DECODED = "text string, encoding string, undecodable int, payload_bytes long"
-
-
-def scan(spark: SparkSession, paths: list[str], max_bytes: int = MAX_BYTES) -> DataFrame:
-    """doc_id (the path), content, length, status. Only files within the bound are read: length is pushed down."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[sS][aA][mM]").load(paths).dropDuplicates(["path"])
+GLOB = "*.[sS][aA][mM]"
+CRLF = "\r\n"
+
+
+def split_inputs(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str]]:
+    """(files, folders) of the inputs, each once; what lies in a listed folder goes with the folder."""
+    conf = spark._jsc.hadoopConfiguration()
+    files, folders = [], []
+    for p in dict.fromkeys(paths):
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        status = fs.getFileStatus(path)
+        (folders if status.isDirectory() else files).append(status.getPath().toString())
+    folders = [d for d in dict.fromkeys(folders) if not any(d != e and d.startswith(e.rstrip("/") + "/") for e in folders)]
+    inside = lambda f: f.lower().endswith(".sam") and any(f.startswith(d.rstrip("/") + "/") for d in folders)
+    return [f for f in dict.fromkeys(files) if not inside(f)], folders
+
+
+def listing(spark: SparkSession, paths: list[str], recursive: bool = True, glob: str | None = GLOB) -> DataFrame:
+    """path, length, modificationTime, content of explicit files (of any suffix) and of the folders' matching files. content is
+    only read where a query uses it."""
+    files, folders = split_inputs(spark, paths)
+    read = lambda: spark.read.format("binaryFile")
+    parts = [read().load(files)] if files else []
+    if folders:
+        r = read().option("recursiveFileLookup", str(recursive).lower())
+        parts.append((r.option("pathGlobFilter", glob) if glob else r).load(folders))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def scan(spark: SparkSession, paths: list[str], max_bytes: int = MAX_BYTES, recursive: bool = True) -> DataFrame:
+    """doc_id (the path), content, length, status. The bound on length is pushed into the scan, so larger files aren't
+    read; they are rows with status 'error'. Nothing is shuffled."""
+    raw = listing(spark, paths, recursive)
     ok = raw.where(F.col("length") <= max_bytes).select(F.col("path").alias("doc_id"), "content", "length", F.lit("ok").alias("status"))
     over = raw.where(F.col("length") > max_bytes).select(F.col("path").alias("doc_id"), F.lit(None).cast("binary").alias("content"), "length", F.lit("error").alias("status"))
     return ok.unionByName(over)
 
 
-def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", styles: list[tuple[str, int, int, int]] = (("Body Text", 240, 0, 0),)) -> DataFrame:
-    """Document bytes (Windows code page) of plain texts: each line becomes a paragraph. For tests and demos."""
-    crlf = "\r\n"
-    tags = "".join(f"[tag]{crlf}\t{n}{crlf}\t2{crlf}\t[fnt]{crlf}\t\tArial{crlf}\t\t{size}{crlf}\t\t{col}{crlf}\t\t{flags}{crlf}" for n, size, col, flags in styles)
-    head = f"[ver]{crlf}\t4{crlf}[sty]{crlf}\t{crlf}[charset]{crlf}\t82{crlf}\tANSI (Windows, IBM CP 1252){crlf}{tags}[edoc]{crlf}"
-    body = F.replace(encode_escapes(F.coalesce(F.col(text), F.lit(""))), F.lit("\n"), F.lit(crlf + crlf))
-    return docs.withColumn("content", F.encode(F.concat(F.lit(head), body, F.lit(f"{crlf}>{crlf}")), "ISO-8859-1"))
-
-
-def decode_bytes(data: bytes | None) -> tuple[str | None, str | None, int, int]:
-    """Text up to the body's close, the codec's name, undecodable bytes, bytes after the close.
-
-    Codec: a byte order mark; else a code page named in the charset section; else UTF-8 where it is valid and not
-    plain ASCII; else Windows 1252."""
-    import codecs
-    import re
-
-    if data is None:
-        return None, None, 0, 0
-    for mark, name in ((codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be"), (codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")):
-        if data.startswith(mark):
-            text = data[len(mark) :].decode(name, "replace")
-            return text, name, text.count("�"), 0
-    start = re.search(rb"(?:^|\n)\[edoc\]", data)  # a > before the body closes something else
-    close = re.compile(rb"\n>\r?\n").search(data, start.end()) if start else None
-    end = close.end() if close else len(data)
-    text_bytes = data[:end]
-    m = re.search(rb"\[charset\][^\[]*?CP ?(\d{3,5})", text_bytes[:65536])
-    name = f"cp{m[1].decode()}" if m else None
-    if name is None:
-        try:
-            text_bytes.decode("utf-8")
-            name = "cp1252" if text_bytes.isascii() else "utf-8"
-        except UnicodeDecodeError:
-            name = "cp1252"
-    try:
-        codecs.lookup(name)
-    except LookupError:
-        name = "cp1252"
-    text = text_bytes.decode(name, "replace")
-    return text, name, text.count("�"), len(data) - end
-
-
-def decode(docs: DataFrame) -> DataFrame:
-    """Adds decoded struct<text, encoding, undecodable, payload_bytes>; Spark has no Windows code pages, so this is
-    an Arrow UDF."""
-
-    @F.pandas_udf(DECODED)
-    def run(content: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([decode_bytes(c) for c in content], columns=["text", "encoding", "undecodable", "payload_bytes"])
-
-    return docs.withColumn("decoded", run("content"))
+def discover(spark: SparkSession, paths: list[str], recursive: bool = True) -> DataFrame:
+    """path, length of the inputs, ordered by path without regard to case."""
+    return listing(spark, paths, recursive).select("path", "length").orderBy(F.lower("path"), "path")
+
+
+def tag(name, size=240, colour=0, flags=0, family="Arial", alignment: int | None = None, shortcut=2) -> Column:
+    """A style section in its usual form; values may be columns."""
+    col = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("string")
+    lines = [F.lit("[tag]"), F.concat(F.lit("\t"), col(name)), F.concat(F.lit("\t"), col(shortcut)), F.lit("\t[fnt]"), *[F.concat(F.lit("\t\t"), col(x)) for x in (family, size, colour, flags)]]
+    if alignment is not None:
+        lines += [F.lit("\t[algn]"), *[F.concat(F.lit("\t\t"), col(x)) for x in (alignment, 1, 0, 0, 0)]]
+    lines += [F.concat(F.lit("\t"), col(name)), F.lit("\t0"), F.lit("\t0")]
+    return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF))
+
+
+def document_text(body: Column, head: Column | str = "", styles: list[Column] | None = None, version="4") -> Column:
+    """The text of a document with this body (whose own text is escaped) and these further header sections."""
+    v = version if isinstance(version, Column) else F.lit(version)
+    start = F.concat(F.lit(f"[ver]{CRLF}\t"), v, F.lit(f"{CRLF}[sty]{CRLF}\t{CRLF}[charset]{CRLF}\t82{CRLF}\tANSI (Windows, IBM CP 1252){CRLF}"))
+    head = head if isinstance(head, Column) else F.lit(head)
+    return F.concat(start, *(styles if styles is not None else [tag("Body Text")]), head, F.lit(f"[edoc]{CRLF}"), body, F.lit(f"{CRLF}>{CRLF}"))
+
+
+def to_bytes(text: Column) -> Column:
+    """Western bytes of a text; for code points up to U+00FF, Latin-1 and the Windows page agree but for 0x80 to 0x9F."""
+    return F.encode(text, "ISO-8859-1")
+
+
+def encode_documents(docs: DataFrame, text: str = "text", head: Column | str = "", styles: list[Column] | None = None) -> DataFrame:
+    """Document bytes of plain texts: each line becomes a paragraph. For tests and demos."""
+    body = F.replace(encode_escapes(F.coalesce(F.col(text), F.lit(""))), F.lit("\n"), F.lit(CRLF + CRLF))
+    return docs.withColumn("content", to_bytes(document_text(body, head, styles)))
 
 
 def inventory(files: DataFrame, key: str, content: str) -> DataFrame:
+    """key, size, sha256."""
     return files.select(key, F.length(content).cast("long").alias("size"), F.sha2(F.col(content), 256).alias("sha256"))
 
 
-def write_odt(rendered: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, odt binary: one zip a document with fixed member order and times, from a `paragraphs` array."""
+def inventory_digest(inv: DataFrame, key: str) -> DataFrame:
+    """file_count, total_bytes and a digest of the whole set that the order of the files doesn't change. Rows become digests of
+    fixed size, and these are hashed by 65,536 ranges before the ranges are, so no task holds all of them."""
+    row = inv.select(F.sha2(F.to_json(F.struct(F.col(key).cast("string").alias("path"), "size", "sha256")), 256).alias("d"), "size")
+    part = row.groupBy(F.substring("d", 1, 4).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"), F.count("*").alias("n"), F.sum("size").alias("b"))
+    return part.agg(F.sum("n").alias("file_count"), F.sum("b").alias("total_bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
 
-    def run(batches):
-        import io
-        import zipfile
-        from xml.sax.saxutils import escape
 
-        for b in batches:
-            out = []
-            for ps in b.column(1).to_pylist():
-                buf = io.BytesIO()
-                with zipfile.ZipFile(buf, "w") as z:
-                    body = "".join(f"<text:p>{escape(p)}</text:p>" for p in ps or [])
-                    ns = 'xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0"'
-                    for name, data in (("mimetype", "application/vnd.oasis.opendocument.text"), ("content.xml", f'<?xml version="1.0" encoding="UTF-8"?><office:document-content {ns} office:version="1.2"><office:body><office:text>{body}</office:text></office:body></office:document-content>'), ("META-INF/manifest.xml", '<?xml version="1.0" encoding="UTF-8"?><manifest:manifest xmlns:manifest="urn:oasis:names:tc:opendocument:xmlns:manifest:1.0"><manifest:file-entry manifest:full-path="/" manifest:media-type="application/vnd.oasis.opendocument.text"/><manifest:file-entry manifest:full-path="content.xml" manifest:media-type="text/xml"/></manifest:manifest>')):
-                        info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
-                        z.writestr(info, data)
-                out.append(buf.getvalue())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], [key, "odt"])
+def changed(before: DataFrame, after: DataFrame, key: str, facts: list[str]) -> DataFrame:
+    """Files that aren't the same in a second listing: changed, gone or new."""
+    b, a = before.select(key, F.struct(*facts).alias("b")), after.select(key, F.struct(*facts).alias("a"))
+    j = b.join(a, key, "full")
+    return j.where(~F.col("a").eqNullSafe(F.col("b"))).select(key, F.when(F.col("a").isNull(), "gone").when(F.col("b").isNull(), "new").otherwise("changed").alias("change"))
 
-    return rendered.select(F.col(key).cast("long").alias(key), "paragraphs").mapInArrow(run, f"{key} long, odt binary")
 
+def enumeration(files: DataFrame, path: str = "path", cap: int = 99_999) -> DataFrame:
+    """One row: files by whether they count as documents, names that differ only in case, and whether the set may be run."""
+    low = F.lower(F.col(path))
+    kind = F.when(low.endswith(".sam"), "document").when(low.rlike(r"\.[a-z0-9]+$"), "other").otherwise("bare")
+    names = files.groupBy(low.alias("low")).agg(F.count("*").alias("n"), F.first(kind).alias("kind"))
+    s = names.agg(F.coalesce(F.sum(F.when(F.col("kind") == "document", F.col("n"))), F.lit(0)).alias("documents"), F.coalesce(F.sum(F.when(F.col("kind") == "other", F.col("n"))), F.lit(0)).alias("other"), F.coalesce(F.sum(F.when(F.col("kind") == "bare", F.col("n"))), F.lit(0)).alias("bare"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("collisions"))
+    return s.withColumn("accepted", (F.col("documents") <= cap) & (F.col("collisions") == 0))
 
-def bitmap(content: pd.Series) -> pd.Series:
+
+def valid_bitmap(b: bytes | None) -> bool:
     """Whether bytes are a structurally valid uncompressed Windows bitmap."""
-    import struct
+    if b is None or len(b) < 54 or b[:2] != b"BM":
+        return False
+    size, _, offset, header, w, h, planes, depth, packing = struct.unpack("<IIIIiiHHI", b[2:34])
+    palette = (4 << depth) if depth <= 8 else 0
+    return size == len(b) and header in (40, 52, 56, 108, 124) and planes == 1 and depth in (1, 4, 8, 24) and packing == 0 and w > 0 and h != 0 and offset >= 14 + header + palette * (depth <= 8 and offset > 14 + header) and offset + (w * depth + 31) // 32 * 4 * abs(h) <= len(b)
 
-    def ok(b):
-        if b is None or len(b) < 54 or b[:2] != b"BM":
-            return False
-        size, _, offset, header, w, h, planes, depth, packing = struct.unpack("<IIIIiiHHI", b[2:34])
-        return size == len(b) and header == 40 and planes == 1 and depth in (1, 4, 8, 24) and packing == 0 and w > 0 and h != 0 and offset + (w * depth + 31) // 32 * 4 * abs(h) <= len(b)
 
-    return content.map(ok)
+def bitmap(content: pd.Series) -> pd.Series:
+    return content.map(valid_bitmap)

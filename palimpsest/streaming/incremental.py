@@ -15,7 +15,11 @@ def counts(spark: SparkSession, path: str) -> DataFrame:
     folder."""
     schema = spark.read.parquet(path).schema
     name = "counts_" + uuid.uuid4().hex
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="palimpsest-")
     parent, leaf = os.path.split(path)
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet" if os.path.isdir(path) else leaf).parquet(path if os.path.isdir(path) else parent)
     out = stream.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").isNotNull().alias("has_value"))

@@ -24,17 +24,31 @@ def test_query(spark, duck, name):
         assert len(got)
 
 
-@pytest.mark.parametrize("parts", [1, 7])
+PLACED = ("interval_merge", "asof_units", "apportion_widths", "list_islands", "inline_runs", "body_containers", "table_text", "table_extents", "coordinate_report", "region_report", "anchor_resolution", "style_references", "diagnostic_counts", "numeric_distribution", "greedy_text_budget")
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7])
 def test_partition_count_does_not_matter(spark, duck, parts):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
-        for name in ("interval_merge", "asof_units", "apportion_widths", "list_islands"):
+        for name in PLACED:
             assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(duck.sql(catalog.ORACLE_SQL[name]).df())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
+def test_parsing_and_rendering_shuffle_nothing(spark):
+    """But for dealing out the rows of a file of one row group."""
+    from palimpsest.plans import corpus_queries as c
+    from palimpsest.plans import engine as e
+
+    docs = c.corpus(spark, SF).repartition(4)
+    for df in (e.inspect(docs), e.relation(docs, "runs"), e.renderer("html")(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("MapInArrow") == 1 and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
 def test_entry_works_without_the_training_data_operators(spark):
     import __spark_entry__ as e
 
