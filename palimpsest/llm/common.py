@@ -112,21 +112,27 @@ def attach(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, iden
     return j.select(*rows.columns, *[both[c].alias(c) for c in cols])
 
 
-def ordinals(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Gapless numbers from 0 in a global order, without a single-task window: a range partitioning, then
-    one offset per partition."""
+def running(df: DataFrame, order: list[Column], weight: Column, name: str) -> DataFrame:
+    """Adds the sum of the weights before each row in a global order, without a single-task window: a range partitioning,
+    then one offset per partition."""
     spark = df.sparkSession
-    parts = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    parts = cut(df.withColumn("_w", weight.cast("long")).repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     from pyspark.sql import Window
 
-    counts = sorted((r["_p"], r["count"]) for r in parts.groupBy("_p").count().collect())  # a row per partition
+    sums = sorted((r["_p"], r["s"]) for r in parts.groupBy("_p").agg(F.sum("_w").alias("s")).collect())  # a row per partition
     offsets, at = [], 0
-    for p, n in counts:
+    for p, n in sums:
         offsets.append((p, at))
         at += n
     offs = spark.createDataFrame(offsets or [(0, 0)], "_p int, _off long")
-    w = Window.partitionBy("_p").orderBy(*order)
-    return parts.withColumn("_n", F.row_number().over(w)).join(F.broadcast(offs), "_p").withColumn(name, (F.col("_off") + F.col("_n") - 1).cast("long")).drop("_p", "_n", "_off")
+    w = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.withColumn("_n", F.coalesce(F.sum("_w").over(w), F.lit(0)))
+    return before.join(F.broadcast(offs), "_p").withColumn(name, (F.col("_off") + F.col("_n")).cast("long")).drop("_p", "_n", "_off", "_w")
+
+
+def ordinals(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Gapless numbers from 0 in a global order."""
+    return running(df, order, F.lit(1), name)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ Two documents link when 100 * |A and B| >= 70 * |A or B| for their sets of 3-wor
    loaded into an R-tree (leaves by size, then by the widest coordinate). The overlap of two points, or of two
    boxes, is at most the sum of their coordinate minima; where that is under what a link needs, the pair of
    leaves or points is dropped. What is left is verified on the shingle sets.
-   Families over TILE members are split into tiles and joined tile by tile, in separate tasks.
+   A family over TILE members becomes an R-tree over many tasks: its members, in order of size class and first
+   occupied coordinate, are cut into tiles of at most TILE members and about TILE_HASHES shingles, and only pairs of tiles whose boxes
+   (over FINE groups) can hold a link are joined, each in a task of its own.
 5. Links are summed per class, weighted by the copies of the partner; components come from star contraction.
 
 Results are exact up to collisions of 64-bit hashes; nothing is capped or sampled.
@@ -34,9 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, components, cut, fresh, per_batch, small_batches, table
+from .common import attach, components, cut, fresh, per_batch, running, small_batches, table
 
-GROUPS, LEAF, TILE, FLUSH, PART, MAX_PARTS, MEMO, BROADCAST, MANY = 64, 32, 1024, 1_000_000, 1_500_000, 20_000, 150_000, 1_000_000, 0xFFFF
+GROUPS, FINE, LEAF, TILE, TILE_HASHES, MEMO, BROADCAST, MANY = 64, 4096, 32, 1024, 2_000_000, 150_000, 1_000_000, 0xFFFF
+#: Shingles of a payload and of a part, from a small corpus to a large one, and the number of parts from which parts grow.
+FLUSH, PART, PARTS = (1_000_000, 8_000_000), (1_500_000, 16_000_000), 20_000
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _S = [np.uint64(s) for s in (30, 27, 31)]
 
@@ -81,7 +85,15 @@ def need(a, b):
 # --- shingles that another class has -------------------------------------------------------------------------
 
 
-def _payloads(parts: int):
+def shape(hashes: int) -> tuple[int, int]:
+    """(parts, shingles of a payload) for a corpus of so many shingles: parts have a bounded size at every volume, and payloads
+    grow with them so that a row still carries several shingles."""
+    size = min(PART[1], max(PART[0], hashes // PARTS))
+    parts = max(4, hashes // size)
+    return parts, min(FLUSH[1], max(FLUSH[0], 8 * parts))
+
+
+def _payloads(parts: int, flush: int):
     """Rows (part, pid, blob). part >= 0: hashes of that part, one entry each; part < 0: a payload's own table."""
 
     def pack(pid: int, ids, sets: list[np.ndarray], sigs):
@@ -99,16 +111,12 @@ def _payloads(parts: int):
         key, entry = h[start], np.where(size > 1, MANY, e[start]).astype(np.uint16)
         part = (((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)  # sorted, as keys are
         low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        edges = np.searchsorted(part, np.arange(parts + 1))
-        out = []
-        for p in range(parts):
-            a, b = edges[p], edges[p + 1]
-            if b > a:
-                out.append((p, pid, low[a:b].tobytes() + entry[a:b].tobytes()))
+        edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+        out = [(int(part[a]), pid, low[a:b].tobytes() + entry[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
         sig = np.array(sigs, np.int64).reshape(-1, 2)
         n = np.array([len(x) for x in sets], np.int64)
         body = np.array([len(sets), len(own)], np.uint32).tobytes() + np.array(ids, np.int64).tobytes() + np.ascontiguousarray(sig).tobytes() + n.tobytes() + np.array(rows, np.uint32).tobytes() + local.tobytes()
-        out.append((-1 - pid % 997, pid, body))
+        out.append((-1 - pid % parts, pid, body))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["part", "pid", "blob"])
 
     def run(batches):
@@ -122,7 +130,7 @@ def _payloads(parts: int):
                     h = shingles(t, memo)
                     ids.append(d), sets.append(h), sigs.append(signature(h))
                     total += len(h)
-                if total >= FLUSH or len(ids) > MANY - 512:
+                if total >= flush or len(ids) > MANY - 512:
                     yield pack(pid, ids, sets, sigs)
                     pid, total, ids, sets, sigs = pid + 1, 0, [], [], []
         if ids:
@@ -284,6 +292,64 @@ def _join_block(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
+# --- the R-tree of a large family --------------------------------------------------------------------------------
+
+
+def _summaries(b: pa.RecordBatch):
+    """cls, family, n, slab (size class), first (first occupied coordinate of the finest grid, which is the smallest hash)."""
+    sets = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
+    n = np.array([len(x) for x in sets], np.int64)
+    slab = np.floor(np.log(n) / np.log(1 / 0.7)).astype(np.int32)
+    first = np.array([int(x[0]) >> 1 for x in sets], np.int64)
+    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(slab), pa.array(first)], ["cls", "family", "n", "slab", "first"])
+
+
+def tiles(member: DataFrame, stored: DataFrame) -> DataFrame:
+    """cls, family, tile, n of the members of large families. Tiles are the tree's nodes: neighbours in size and in their first
+    occupied coordinate, so near copies come together."""
+    s = per_batch(member.join(stored, "cls").select("cls", "family", "hashes"), _summaries, "cls long, family long, n long, slab int, first long")
+    order = [F.col(c) for c in ("family", "slab", "first", "n", "cls")]
+    weight = F.greatest(F.lit(TILE_HASHES // TILE).cast("long"), F.col("n"))  # so a tile is bounded in members and in shingles
+    return running(s, order, weight, "_at").withColumn("tile", F.expr(f"_at div {TILE_HASHES}")).drop("_at", "slab", "first")
+
+
+def _box(rows: pd.DataFrame) -> pd.DataFrame:
+    """A tile's box: the largest count of any member in each of FINE groups, the smallest and the largest member."""
+    box = np.zeros(FINE, np.int32)
+    sizes = []
+    for b in rows["hashes"]:
+        h = np.frombuffer(b, np.uint64)
+        sizes.append(len(h))
+        np.maximum(box, np.bincount((h % np.uint64(FINE)).astype(np.int64), minlength=FINE), out=box, casting="unsafe")
+    return pd.DataFrame({"family": rows["family"].iloc[:1], "tile": rows["tile"].iloc[:1], "low": min(sizes), "high": max(sizes), "box": [box.tolist()]})
+
+
+def tile_pairs(tiled: DataFrame, stored: DataFrame) -> DataFrame:
+    """family, a, b: the pairs of tiles (a <= b) of one family whose boxes can hold a link: summed coordinate minima of
+    the boxes and the largest sizes must reach what their smallest members need."""
+    box = cut(tiled.join(stored, "cls").select("family", "tile", "hashes").groupBy("family", "tile").applyInPandas(_box, "family long, tile long, low long, high long, box array<int>"))
+    side = lambda t: box.select("family", *[F.col(c).alias(f"{c}_{t}") for c in ("tile", "low", "high", "box")])
+    j = side("a").join(side("b"), "family").where("tile_a <= tile_b")
+    least = F.expr("(7 * (low_a + low_b) + 16) div 17")
+    over = F.aggregate(F.zip_with("box_a", "box_b", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    sized = (F.least("high_a", "high_b") >= least) & (10 * F.col("high_a") >= 7 * F.col("low_b")) & (10 * F.col("high_b") >= 7 * F.col("low_a"))
+    keep = (F.col("tile_a") == F.col("tile_b")) | (sized & (over >= least))
+    return j.where(keep).select("family", F.col("tile_a").alias("a"), F.col("tile_b").alias("b"))
+
+
+def tree_blocks(member: DataFrame, stored: DataFrame) -> DataFrame:
+    """cls, family, block, left, tiled of the members of large families: a block is a pair of tiles."""
+    if member.isEmpty():
+        return member.select("cls", "family", F.lit("").alias("block"), F.lit(True).alias("left"), F.lit(True).alias("tiled"))
+    tiled = cut(tiles(member, stored))
+    pairs = cut(tile_pairs(tiled, stored))
+    name = F.concat_ws("/", "family", "a", "b").alias("block")
+    own = tiled.select("cls", "family", "tile")
+    left = own.join(pairs.withColumnRenamed("a", "tile").withColumn("a", F.col("tile")), ["family", "tile"]).select("cls", "family", name, F.lit(True).alias("left"), F.lit(True).alias("tiled"))
+    right = own.join(pairs.where("a < b").withColumnRenamed("b", "tile").withColumn("b", F.col("tile")), ["family", "tile"]).select("cls", "family", name, F.lit(False).alias("left"), F.lit(True).alias("tiled"))
+    return left.unionByName(right)
+
+
 # --- the join ------------------------------------------------------------------------------------------------
 
 
@@ -291,9 +357,8 @@ def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, n_similar, component_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     volume = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = int(min(MAX_PARTS, max(4, volume // 6 // PART)))
     small_batches(docs.sparkSession)
-    sent = texts.mapInArrow(_payloads(parts), "part long, pid long, blob binary")
+    sent = texts.mapInArrow(_payloads(*shape(volume // 6)), "part long, pid long, blob binary")
     shared = sent.groupBy("part").applyInPandas(_shared, "pid long, own boolean, blob binary")
     meta = cut(shared.groupBy("pid").applyInPandas(_totals, "doc_id long, n long, s1 long, s2 long, shared long"))
     classes = cut(meta.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.max("shared").alias("shared")).withColumn("cls", F.xxhash64("s1", "s2", "n")))
@@ -337,10 +402,8 @@ def link(docs: DataFrame) -> DataFrame:
     sizes = cut(family.groupBy("root").agg(F.count("*").alias("size")))
     bins = max(1, (family.count() + TILE - 1) // TILE)
     member = attach(family.select(F.col("v").alias("cls"), F.col("root").alias("family")), sizes.withColumnRenamed("root", "family"), ["family"], "size", F.struct("cls"))
-    member = member.withColumn("tiles", F.ceil(F.col("size") / TILE)).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")))
-    big = member.where("tiles > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    big = big.select("cls", "family", F.concat_ws("/", F.col("family"), F.least("tile", "other"), F.greatest("tile", "other")).alias("block"), (F.col("tile") <= F.col("other")).alias("left"), F.lit(True).alias("tiled"))
-    small = member.where("tiles = 1").select("cls", "family", F.concat_ws("/", F.lit("b"), F.pmod(F.xxhash64("family"), F.lit(bins))).alias("block"), F.lit(True).alias("left"), F.lit(False).alias("tiled"))
+    big = tree_blocks(member.where(F.col("size") > TILE).select("cls", "family"), stored)
+    small = member.where(F.col("size") <= TILE).select("cls", "family", F.concat_ws("/", F.lit("b"), F.pmod(F.xxhash64("family"), F.lit(bins))).alias("block"), F.lit(True).alias("left"), F.lit(False).alias("tiled"))
     blocks = small.unionByName(big).join(stored, "cls")
     linked = cut(blocks.groupBy("block").applyInPandas(_join_block, "cls long, links long, root long, tiled boolean"))
     roots = linked.where("not tiled").select("cls", "root")

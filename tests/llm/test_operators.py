@@ -276,6 +276,7 @@ def test_jaccard_counts_repeated_rows_once(spark):
 
 def test_large_families_go_by_tiles(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE", 8)
+    monkeypatch.setattr(jaccard_join, "TILE_HASHES", 640)
     rng = random.Random(6)
     w = [str(i) for i in range(80)]
     texts = []
@@ -722,3 +723,33 @@ def test_pieces_windows_equal_whole_viterbi():
             at = back[at]
         want = [i for a, b in reversed(cuts) for i in ([v.ids[t[a:b]]] if t[a:b] in v.ids else v.spell(t[a:b]))]
         assert np.frombuffer(e.streams.encode([t])[0], np.int32).tolist() == want
+
+
+def test_tree_prunes_tiles_of_a_giant_family(spark, monkeypatch):
+    """One family whose members drift through the vocabulary: all links are found, and most pairs of tiles are never joined."""
+    monkeypatch.setattr(jaccard_join, "TILE", 8)
+    monkeypatch.setattr(jaccard_join, "TILE_HASHES", 640)
+    words_ = [f"w{k}" for k in range(900)]
+    texts = [" ".join(words_[5 * k : 5 * k + 80]) for k in range(160)]
+    made = []
+    pairs = jaccard_join.tile_pairs
+
+    def seen(tiled, stored):
+        out = pairs(tiled, stored)
+        made.append((tiled.select("family", "tile").distinct().groupBy("family").count().toPandas()["count"].tolist(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "tile_pairs", seen)
+    got = {r.doc_id: (r.n_similar, r.component_id) for r in jaccard_join.link(make(spark, texts)).collect()}
+    sets = [{tuple(v[i : i + 3]) for i in range(len(v) - 2)} for v in map(str.split, texts)]
+    want = {i: sum(j != i and 100 * len(sets[i] & sets[j]) >= 70 * len(sets[i] | sets[j]) for j in range(160)) for i in range(160)}
+    assert {k: v[0] for k, v in got.items()} == want and {v[1] for v in got.values()} == {0}
+    (counts, joined), = made
+    every = sum(n * (n + 1) // 2 for n in counts)
+    assert max(counts) >= 10 and joined < 0.7 * every
+
+
+def test_parts_stay_bounded_at_every_volume():
+    for hashes in (0, 10**6, 10**9, 10**11, 10**13, 2 * 10**13):
+        parts, flush = jaccard_join.shape(hashes)
+        assert hashes / parts <= 2 * jaccard_join.PART[1] and flush <= jaccard_join.FLUSH[1]
