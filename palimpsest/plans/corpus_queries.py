@@ -160,16 +160,17 @@ _WORDS = """w AS (SELECT doc_id, l, unnest(ws) AS w, generate_subscripts(ws, 1)
 
 
 def _marked(spark, d) -> DataFrame:
-    """Every second word of a line in one of five marks."""
-    mark = lambda i, k: F.element_at(F.array(*[F.lit(m[k]) for m in _MARKS]), (F.pmod(i, F.lit(len(_MARKS))) + 1).cast("int"))
+    """The words of a line in turn plain or in one of five marks; as a paragraph takes 4,095 commands at most, words after
+    the 2,000th of a line are plain."""
+    mark = lambda i, k: F.when(i < 2000, F.element_at(F.array(*[F.lit(m[k]) for m in _MARKS]), (F.pmod(i, F.lit(len(_MARKS))) + 1).cast("int"))).otherwise("")
     line = lambda x: F.array_join(F.transform(F.filter(F.split(x, " "), lambda w: w != ""), lambda w, i: F.concat(mark(i, 0), encode_escapes(w), mark(i, 1))), " ")
     body = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line), CRLF * 2)
     return t(spark, d, "documents").select("doc_id", to_bytes(document_text(body)).alias("content"))
 
 
 @query(f"""WITH {_WORDS}, l AS (SELECT doc_id, l, string_agg(w, ' ' ORDER BY i) AS line FROM w GROUP BY ALL), x AS (SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY l)) AS text_md5 FROM l GROUP BY 1)
-SELECT doc_id, x.text_md5, count(*) FILTER ((i - 1) % 6 = 1)::BIGINT AS bold_runs, sum(CASE WHEN (i - 1) % 6 = 1 THEN len(w) ELSE 0 END)::BIGINT AS bold_chars, count(*) FILTER ((i - 1) % 6 = 2)::BIGINT AS italic_runs, count(*) FILTER ((i - 1) % 6 = 3)::BIGINT AS underline_runs,
-count(*) FILTER ((i - 1) % 6 = 4)::BIGINT AS superscript_runs, count(*) FILTER ((i - 1) % 6 = 5)::BIGINT AS courier_runs, max(CASE WHEN (i - 1) % 6 = 5 THEN 20.0 END)::DOUBLE AS courier_size FROM w JOIN x USING (doc_id) GROUP BY ALL""")
+SELECT doc_id, x.text_md5, count(*) FILTER (m = 1)::BIGINT AS bold_runs, sum(CASE WHEN m = 1 THEN len(w) ELSE 0 END)::BIGINT AS bold_chars, count(*) FILTER (m = 2)::BIGINT AS italic_runs, count(*) FILTER (m = 3)::BIGINT AS underline_runs,
+count(*) FILTER (m = 4)::BIGINT AS superscript_runs, count(*) FILTER (m = 5)::BIGINT AS courier_runs, max(CASE WHEN m = 5 THEN 20.0 END)::DOUBLE AS courier_size FROM (SELECT *, CASE WHEN i <= 2000 THEN (i - 1) % 6 ELSE 0 END AS m FROM w) JOIN x USING (doc_id) GROUP BY ALL""")
 def inline_runs(spark, d):
     r = E.relation(_marked(spark, d), "runs")
     texts = F.array_sort(F.collect_list(F.struct("node", "run_no", "text")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -360,3 +361,152 @@ def heading_styles(spark, d):
     k = F.col("n_nationkey") % 7
     s = F.when(k == 0, "Heading 3").when(k == 1, "my h-3").when(k == 2, "Title").when(k == 3, "Chapter  Title").when(k == 4, "Subhead").when(k == 5, "Body").otherwise(F.concat(F.lit("Head:"), (F.col("n_nationkey") % 6 + 1).cast("string")))
     return t(spark, d, "nation").select(s.alias("style")).withColumn("level", scalars.heading_level(F.col("style")))
+
+
+# --- comparison and batches ------------------------------------------------------------------------------------
+
+
+def _analyses(spark, d, shift=False) -> DataFrame:
+    """A job per order, a page per line (in order of its columns), a box per page; the shifted ones are moved, renamed or
+    missing by l_partkey."""
+    li = t(spark, d, "lineitem")
+    k = F.col("l_partkey") % 7
+    price = F.col("l_extendedprice") / 1000
+    moved = price + F.when((k == 1) & F.lit(shift), 2.0).when((k == 2) & F.lit(shift), 0.25).otherwise(0.0)
+    word = F.when((k == 3) & F.lit(shift), "other").otherwise(F.col("l_returnflag"))
+    boxes = F.array(F.struct(word.alias("text"), moved.alias("x0"), F.lit(1.0).alias("y0"), (price + 50).alias("x1"), F.lit(9.0).alias("y1")))
+    boxes = F.when((k == 4) & F.lit(shift), F.concat(boxes, boxes)).otherwise(boxes)
+    page = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", (F.lit(600.0) + F.when((k == 5) & F.lit(shift), 3).otherwise(0)).alias("width_pt"), F.lit(800.0).alias("height_pt"), F.when((k == 6) & F.lit(shift), "else").otherwise(F.col("l_linestatus")).alias("text"), boxes.alias("text_boxes"))
+    g_ = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    return g_.withColumn("pages", F.when((F.col("l_orderkey") % 5 == 0) & F.lit(shift) & (F.size("pages") > 1), F.expr("slice(pages, 1, size(pages) - 1)")).otherwise(F.col("pages")))
+
+
+_ISSUES = """WITH p AS (SELECT l_orderkey, l_partkey % 7 AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS page, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+q AS (SELECT *, l_orderkey % 5 = 0 AND n > 1 AS short FROM p), i AS (SELECT l_orderkey, page, CASE k WHEN 1 THEN 'box-moved' WHEN 3 THEN 'box-text' WHEN 4 THEN 'box-count' WHEN 5 THEN 'page-size' WHEN 6 THEN 'page-text' END AS code FROM q WHERE k IN (1, 3, 4, 5, 6) AND NOT (short AND page = n - 1) UNION ALL SELECT DISTINCT l_orderkey, NULL, 'page-count' FROM q WHERE short) """
+
+
+def _issues(spark, d) -> DataFrame:
+    from . import comparison as c
+
+    return c.compare_pages(_analyses(spark, d), _analyses(spark, d, True), "l_orderkey")
+
+
+@query(_ISSUES + "SELECT l_orderkey, page::INT AS page, code FROM i")
+def page_compare(spark, d):
+    return _issues(spark, d).select("l_orderkey", "page", "code")
+
+
+@query(_ISSUES + "SELECT l_orderkey, code, count(*)::BIGINT AS occurrences, count(DISTINCT page)::BIGINT AS pages FROM i GROUP BY ALL")
+def comparison_metrics(spark, d):
+    from . import comparison as c
+
+    return c.comparison_metrics(_issues(spark, d), "l_orderkey")
+
+
+_AGG = _ISSUES + ", g AS (SELECT code, count(DISTINCT l_orderkey) AS documents, count(*) AS occurrences FROM i GROUP BY 1), a AS (SELECT code, documents, occurrences, round(100.0 * documents / (SELECT count(DISTINCT l_orderkey) FROM lineitem)::DOUBLE, 1) AS percent, row_number() OVER (ORDER BY documents DESC, occurrences DESC, code) AS rank FROM g WHERE documents >= 5) "
+
+
+@query(_AGG + "SELECT code, documents::BIGINT AS documents, occurrences::BIGINT AS occurrences, percent, rank::INT AS rank FROM a UNION ALL SELECT '(suppressed)', count(*)::BIGINT, coalesce(sum(occurrences), 0)::BIGINT, NULL, NULL FROM g WHERE documents < 5")
+def mismatch_aggregate(spark, d):
+    from . import comparison as c
+
+    a = c.mismatch_aggregate(_issues(spark, d), t(spark, d, "lineitem").select("l_orderkey").distinct(), "l_orderkey")
+    c.audit_aggregate(a)
+    return a
+
+
+@query(_AGG + "SELECT code, 'fix ' || code AS target, row_number() OVER (ORDER BY rank)::INT AS priority FROM (SELECT * FROM a ORDER BY rank LIMIT 3) WHERE code LIKE '%box%' OR code LIKE 'page-t%'")
+def mismatch_priorities(spark, d):
+    from . import comparison as c
+
+    a = c.mismatch_aggregate(_issues(spark, d), t(spark, d, "lineitem").select("l_orderkey").distinct(), "l_orderkey")
+    targets = spark.createDataFrame([(x, f"fix {x}") for x in ("box-moved", "box-text", "box-count", "page-text")], "code string, target string")
+    return c.priorities(a, targets, 3)
+
+
+@query("""SELECT 'c/' || c_name || CASE WHEN c_custkey % 4 = 0 THEN '.txt' ELSE '.sam' END AS path, 'c/' || c_name || '.txt' AS destination, CASE WHEN c_custkey % 4 = 0 THEN 'overwrites-input' WHEN c_custkey % 3 = 0 THEN 'exists' ELSE 'ok' END AS verdict FROM customer""")
+def output_plan(spark, d):
+    from . import comparison as c
+
+    x = t(spark, d, "customer")
+    inputs = x.select(F.concat(F.lit("c/"), F.col("c_name"), F.when(F.col("c_custkey") % 4 == 0, ".txt").otherwise(".sam")).alias("path"))
+    return c.plan_outputs(inputs, x.where("c_custkey % 3 = 0").select(F.concat(F.lit("C/"), F.col("c_name"), F.lit(".TXT")).alias("path")), ".txt")
+
+
+@query("""SELECT o_orderkey AS index, CASE WHEN o_orderkey % 5 = 0 THEN 'run' WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN 'mismatch' WHEN o_orderkey % 3 = 0 THEN 'retry' ELSE 'keep' END AS action FROM orders""")
+def resume_verified(spark, d):
+    from . import comparison as c
+
+    o = t(spark, d, "orders")
+    sha = F.sha2(F.col("o_orderkey").cast("string"), 256)
+    plan = o.select(F.col("o_orderkey").alias("index"), sha.alias("sha256"))
+    results = o.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("index"), F.when(F.col("o_orderkey") % 7 == 0, "x").otherwise(sha).alias("sha256"), F.when(F.col("o_orderkey") % 11 == 0, "old").otherwise("now").alias("run_digest"), F.when(F.col("o_orderkey") % 3 == 0, "analysis-failure").when(F.col("o_orderkey") % 2 == 0, "compared").otherwise("conversion-failure").alias("status"))
+    return c.resume(plan, results, "now")
+
+
+@query("""SELECT count(*)::BIGINT AS planned, count(*) FILTER (o_orderstatus = 'F')::BIGINT AS successes, count(*) FILTER (o_orderstatus = 'O')::BIGINT AS failures, count(*) FILTER (o_orderstatus NOT IN ('F', 'O'))::BIGINT AS pending, coalesce(sum(o_custkey % 3) FILTER (o_orderstatus IN ('F', 'O')), 0)::BIGINT AS warnings,
+CASE WHEN count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) > 0 THEN 'incomplete' WHEN count(*) FILTER (o_orderstatus = 'O') > 0 THEN 'completed-with-failures' ELSE 'completed' END AS state FROM orders""")
+def batch_summary(spark, d):
+    from . import comparison as c
+
+    o = t(spark, d, "orders")
+    jobs = o.where("o_orderstatus in ('F', 'O')").select(F.col("o_orderkey").alias("index"), F.when(F.col("o_orderstatus") == "F", "success").otherwise("failure").alias("status"), (F.col("o_custkey") % 3).alias("warnings"))
+    return c.batch_summary(o.select(F.col("o_orderkey").alias("index")), jobs)
+
+
+@query("""WITH r AS (SELECT s_suppkey AS index, CASE WHEN s_suppkey % 4 = 3 THEN 'failure' ELSE 'success' END AS status, CASE WHEN s_suppkey % 9 = 8 THEN 'b' ELSE 'a' END AS profile, s_suppkey % 5 = 4 AS other FROM supplier)
+SELECT index, status, profile, CASE WHEN other THEN 'identity' WHEN status = 'success' AND profile <> (SELECT arg_min(profile, index) FROM r WHERE status = 'success') THEN 'profile' END AS reason FROM r""")
+def native_selection(spark, d):
+    from . import comparison as c
+
+    s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("index"), F.sha2(F.col("s_suppkey").cast("string"), 256).alias("sha256"))
+    journal = s.withColumn("sha256", F.when(F.col("index") % 5 == 4, "x").otherwise(F.col("sha256")))
+    results = s.withColumn("status", F.when(F.col("index") % 4 == 3, "failure").otherwise("success")).withColumn("profile", F.when(F.col("index") % 9 == 8, "b").otherwise("a"))
+    return c.select_native(s, journal, results)
+
+
+@query("""SELECT doc_id, p::INT AS page, x AS text, len(string_split(text, chr(10))) % 2 = 1 AS matches FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents)""")
+def form_feed_pages(spark, d):
+    from . import comparison as c
+
+    x = t(spark, d, "documents").select("doc_id", F.concat(F.replace("text", F.lit("\n"), F.lit("\f")), F.when(F.contains("text", F.lit("\n")), "\f").otherwise("")).alias("feed"), (F.size(F.split("text", "\n")) % 2 == 1).alias("odd"))
+    return c.text_pages(x, "doc_id", "feed", F.when(F.col("odd"), F.size("_p")).otherwise(-1))
+
+
+@query("SELECT c_custkey, 'ok' AS status, 2::INT AS width, 1::INT AS height, lower(lpad(to_hex(c_custkey % 256), 2, '0') || lpad(to_hex(c_custkey // 256 % 256), 2, '0') || '07' || 'ff' || '010203ff') AS rgba FROM customer")
+def png_decode(spark, d):
+    """A PNG of two pixels per customer, written by the engine's own writer and decoded again."""
+    from ..parsing.render import png
+    from . import comparison as c
+
+    @F.pandas_udf("binary")
+    def make(k: pd.Series) -> pd.Series:
+        return k.map(lambda x: png(2, 1, bytes((x % 256, x // 256 % 256, 7, 1, 2, 3))))
+
+    p = t(spark, d, "customer").select("c_custkey", c.read_png(make("c_custkey")).alias("p"))
+    return p.select("c_custkey", "p.status", "p.width", "p.height", F.lower(F.hex("p.rgba")).alias("rgba"))
+
+
+@query("SELECT c_custkey, round(sqrt((pow(c_custkey % 50, 2) * 3) / 3 / 2) / 255, 9) AS rmse, CASE WHEN c_custkey % 50 > 12.75 THEN 0.5 ELSE 0.0 END AS ratio FROM customer")
+def raster_difference(spark, d):
+    """Two pictures of two pixels that differ in one by c_custkey % 50 in every channel."""
+    from . import comparison as c
+
+    h = F.lpad(F.hex(F.col("c_custkey") % 50), 2, "0")
+    x = t(spark, d, "customer").select("c_custkey", F.unhex(F.lit("000000FF000000FF")).alias("a"), F.unhex(F.concat(F.lit("000000FF"), h, h, h, F.lit("00"))).alias("b"))
+    return c.raster_difference(x, "a", "b").select("c_custkey", "rmse", "ratio")
+
+
+@query("SELECT count(*) FILTER (c_custkey % 3 = 0)::BIGINT AS documents, count(*) FILTER (c_custkey % 3 = 1)::BIGINT AS other, count(*) FILTER (c_custkey % 3 = 2)::BIGINT AS bare, 0::BIGINT AS collisions, true AS accepted FROM customer")
+def enumeration(spark, d):
+    from ..sources.legacy import enumeration as run
+
+    k = F.col("c_custkey") % 3
+    return run(t(spark, d, "customer").select(F.concat("c_name", F.when(k == 0, ".SAM").when(k == 1, ".txt").otherwise("")).alias("path")))
+
+
+@query()
+def set_digest(spark, d):
+    from ..sources.legacy import inventory, inventory_digest
+
+    return inventory_digest(inventory(t(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("b")), "doc_id", "b"), "doc_id")
