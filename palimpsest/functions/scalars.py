@@ -128,6 +128,50 @@ def text_digest(text: Column) -> Column:
     return F.sha2(composed(text), 256)
 
 
+def sanitize(text: Column, longest: int = 1024, combining: int = 64) -> Column:
+    """Text that standard fonts can set: other planes, non-characters, controls and format controls become U+FFFD, runs of
+    combining marks and of characters without white space are bounded, with a mark where something is left out."""
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        import unicodedata
+
+        bidi = {0x200E, 0x200F, *range(0x202A, 0x202F), *range(0x2066, 0x206A)}
+
+        def one(x):
+            out, marks, token = [], 0, 0
+            for c in x.replace("\r\n", "\n").replace("\r", "\n"):
+                n, kind = ord(c), unicodedata.category(c)
+                if c not in "\n\t" and (n > 0xFFFF or 0xFDD0 <= n <= 0xFDEF or n in (0xFFFE, 0xFFFF) or kind == "Cc" or (kind == "Cf" and n not in bidi)):
+                    c = "\ufffd"
+                marks = marks + 1 if unicodedata.combining(c) else 0
+                if marks > combining:
+                    if marks > combining + 1:
+                        continue
+                    c = "\ufffd"
+                token = 0 if c.isspace() else token + 1
+                if token <= longest:
+                    out.append(c)
+                elif token == longest + 1:
+                    out.append("[...]")
+            return "".join(out)
+
+        return s.map(lambda x: None if x is None else one(x) if not (x.isascii() and x.isprintable() and len(x) <= longest) else x)
+
+    return run(text)
+
+
+def direction(text: Column) -> Column:
+    """rtl where the first strong character of a text is written from right to left, else ltr."""
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        import unicodedata
+
+        strong = lambda x: next((b for c in x if (b := unicodedata.bidirectional(c)) in ("L", "R", "AL")), "L")
+        return s.map(lambda x: None if x is None else "ltr" if x.isascii() or strong(x) == "L" else "rtl")
+
+    return run(text)
+
+
 def display_size(width: Column, height: Column) -> Column:
     """Inches of pixels at 96 an inch, scaled down to 6.5 by 8."""
     w, h = width / 96.0, height / 96.0

@@ -848,12 +848,13 @@ def directory(doc: Document, s: Section, data: bytes, src: Source, base: int, ex
         elif ext == ".bmp" and content is not None and content[:2] == b"BM":
             b = Block("image", s.line, data=content, media="image/bmp", alt=f"Embedded bitmap {m['id']}")
         elif ext == ".wmf" and content is not None:
-            status, w, h, _ = payloads.metafile(content)
+            m = payloads.decode_metafile(content, max_pixels=lim.wmf_pixels)
+            status, w, h = m["code"], m["width"], m["height"]
             wmf_pixels += (w or 0) * (h or 0)
             if status == "ok" and wmf_pixels > lim.total_wmf_pixels:
                 status = "total-pixel-limit"
             if status == "ok":
-                b = Block("metafile", s.line, data=content, width=w or 0, height=h or 0, alt=f"Embedded WMF preview {m['id']}")
+                b = Block("metafile", s.line, rgb=m["rgb"], width=w, height=h, width_in=m["width_in"], height_in=m["height_in"], alt=f"Embedded WMF preview {m['id']}")
             else:
                 b = doc.placeholder("embedded wmf", f"{n} bytes; SHA-256 {sha}; no safe preview: {status}", s.line)
                 doc.warn(f"wmf-{status}", s.line, m["id"])

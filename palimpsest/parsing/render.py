@@ -375,9 +375,9 @@ def png(width: int, height: int, rgb: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 9)) + chunk(b"IEND", b"")
 
 
-def display_inches(width: int, height: int) -> tuple[float, float]:
-    """Size at 96 pixels an inch, scaled down to 6.5 by 8 inches."""
-    w, h = width / 96, height / 96
+def display_inches(width: int, height: int, wide: float | None = None, high: float | None = None) -> tuple[float, float]:
+    """The stated size, else that at 96 pixels an inch, scaled down to 6.5 by 8 inches."""
+    w, h = (wide, high) if wide and high else (width / 96, height / 96)
     k = min(1.0, 6.5 / w, 8.0 / h)
     return w * k, h * k
 
@@ -472,12 +472,15 @@ class Html(Markdown):
         return f'<figure><img src="data:{media};base64,{base64.b64encode(data).decode()}" alt="{self.attribute(alt)}"{size}><figcaption>{self.escape(caption)}</figcaption></figure>\n'
 
     def leaf(self, b: Block) -> str:
-        from ..sources.legacy import valid_bitmap
+        from ..sources.payloads import image_kind
 
         if b.kind == "image":
-            if valid_bitmap(b.data):
-                return self.figure(b.media, b.data, b.alt, b.alt)
+            if kind := image_kind(b.data):
+                return self.figure(kind, b.data, b.alt, b.alt)
             return self.placeholder(f"[Image: {b.alt} (embedded data was not a validated image)]")
+        if b.kind == "metafile":
+            w, h = display_inches(b.width, b.height, b.width_in, b.height_in)
+            return self.figure("image/png", png(b.width, b.height, b.rgb), b.alt, b.alt, f' style="width:{w:g}in;height:{h:g}in"')
         if b.kind == "drawing" and b.grey is not None:
             w, h = display_inches(b.width, b.height)
             rgb = bytes(x for g in b.grey for x in (g, g, g))

@@ -671,3 +671,96 @@ def positional_compare(spark, d):
     cut_one = F.when(F.size("items") > 1, F.slice("items", 1, F.size("items") - 1)).otherwise(F.col("items"))
     a = e.select("doc_id", F.transform(cut_one, lambda x, i: F.when(i == 0, F.lit("")).otherwise(x)).alias("items"))
     return g.positional_compare(e, a, "doc_id", "items")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 1 THEN 'unsafe-escape' WHEN c_custkey % 4 = 2 THEN 'missing-eof' ELSE 'ok' END AS code, CASE WHEN c_custkey % 4 NOT IN (1, 2) THEN '07ff80' || lower(lpad(to_hex(c_custkey % 256), 2, '0')) || '0102' END AS rgb FROM customer")
+def metafile_decode(spark, d):
+    """A metafile of two 24-bit pixels per customer; some have an escape record, some no end."""
+    from ..sources import payloads
+
+    dib = F.concat(F.lit("28000000" + "02000000" + "01000000" + "0100" + "1800" + "00000000" * 4 + "00000000" * 2 + "80FF07" + "0201"), F.lpad(F.hex(F.col("c_custkey") % 256), 2, "0"), F.lit("0000"))
+    blit = F.concat(F.lit("25000000" + "410B" + "2000CC00" + "0100" + "0200" + "0000" * 2 + "0100" + "0200" + "0000" * 2), dib)
+    extra = F.when(F.col("c_custkey") % 4 == 1, "0400000026060000").otherwise("")
+    end = F.when(F.col("c_custkey") % 4 == 2, "").otherwise("030000000000")
+    body = F.concat(F.lit("05000000" + "0B02" + "00000000" + "05000000" + "0C02" + "0100" + "0200"), blit, extra, end)
+    words = F.length(body) / 4 + 9
+    le = lambda x: F.concat(*[F.substring(F.lpad(F.hex(x.cast("int")), 8, "0"), k, 2) for k in (7, 5, 3, 1)])
+    b = F.unhex(F.concat(F.lit("0100" + "0900" + "0003"), le(words), F.lit("0000" + "25000000" + "0000"), body))
+    x = t(spark, d, "customer").select("c_custkey", payloads.read_metafile(b).alias("m"))
+    return x.select("c_custkey", "m.code", F.lower(F.hex("m.rgb")).alias("rgb"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/gif' WHEN 2 THEN 'image/jpeg' WHEN 3 THEN 'image/bmp' END AS kind FROM customer")
+def image_kinds(spark, d):
+    from ..sources import payloads
+
+    png = "89504E470D0A1A0A0000000D49484452000000010000000108060000001F15C4890000000A49444154789C6300010000050001" + "0D0A2DB4" + "0000000049454E44AE426082"
+    gif = "474946383961010001008000000000000000002C00000000010001000002024401003B"
+    jpeg = "FFD8" + "FFC0000B080001000101011100" + "FFDA0008010100003F00" + "7F" + "FFD9"
+    k = F.col("c_custkey") % 5
+    b = F.unhex(F.when(k == 0, png).when(k == 1, gif).when(k == 2, jpeg).when(k == 3, _BMP + "01020300").otherwise(F.concat(F.lit(png), F.lit("00"))))
+    return t(spark, d, "customer").select("c_custkey", payloads.read_image_kind(b).alias("kind"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN ['16-bit executable'] WHEN 1 THEN ['CAB archive', 'suffix .exe'] WHEN 2 THEN ['executable, second header out of range'] ELSE [] END AS findings FROM customer")
+def file_findings(spark, d):
+    from ..sources import payloads
+
+    k = F.col("c_custkey") % 4
+    mz = lambda at: "4D5A" + "00" * 58 + at
+    b = F.unhex(F.when(k == 0, mz("40000000") + "4E450000").when(k == 1, "4D534346" + "00" * 60).when(k == 2, mz("FFFF0000")).otherwise("00" * 70))
+    x = t(spark, d, "customer").select("c_custkey", b.alias("content"), F.concat("c_name", F.when(k == 1, ".EXE").otherwise(".bin")).alias("path"))
+    return x.select("c_custkey", payloads.findings(F.col("content"), F.col("path")).alias("findings"))
+
+
+@query("SELECT family, count(DISTINCT doc_id)::BIGINT AS documents, list_sort(list(DISTINCT source)) AS sources FROM (SELECT doc_id, 'arial' AS family, unnest(['style', 'run']) AS source FROM documents WHERE text <> '' UNION ALL SELECT doc_id, 'arial', 'style' FROM documents UNION ALL SELECT doc_id, 'courier', 'run' FROM (SELECT doc_id, max(len(list_filter(string_split(line, ' '), lambda x: x <> ''))) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1) WHERE n >= 6) GROUP BY 1")
+def requested_fonts(spark, d):
+    """Font families that styles and runs ask for, by their normalised name."""
+    from ..functions.scalars import fold_family
+
+    f = E.relation(_marked(spark, d), "fonts")
+    return f.groupBy(fold_family(F.col("family")).alias("family")).agg(F.countDistinct("doc_id").alias("documents"), F.array_sort(F.collect_set("source")).alias("sources"))
+
+
+def _furnished(spark, d) -> DataFrame:
+    """A document per part: a page layout with a header for odd pages, and one for even pages whose p_size lines decide whether
+    it fits; every fourth part has two of them."""
+    p = t(spark, d, "part")
+    side = lines("\t[rght]", *[f"\t\t{x}" for x in (15840, 12240, 0, 1440, 1440, 1, 1440, 1440, 0)])
+    head = lambda m, text: F.concat(lines(f"\t[{m}]", "\t\t[lyfrm]", "\t\t\t1", "\t\t\t2048", "\t\t\t0", "\t\t\t0", "\t\t\t900", "\t\t\t900", "\t\t[txt]"), text, lines("", ">"))
+    many = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda k: F.concat(F.lit("l"), k.cast("string"))), CRLF * 2)
+    lay = F.concat(lines("[lay]", "\tMain", "\t1"), side, head("hrght", F.lit("top")), head("hlft", many), F.when(F.expr("p_partkey % 4 = 0"), head("hlft", F.lit("again"))).otherwise(""))
+    return p.select("p_partkey", to_bytes(document_text(F.lit("x"), lay)).alias("content"))
+
+
+@query("SELECT p_partkey, unnest(list_filter(['odd', CASE WHEN p_partkey % 4 <> 0 AND p_size * 9 <= 68 THEN 'even' END], lambda x: x IS NOT NULL)) AS slot FROM part")
+def promoted_furniture(spark, d):
+    docs = _furnished(spark, d)
+    return E.promoted(E.relation(docs, "blocks", "p_partkey"), E.relation(docs, "layouts", "p_partkey"), "p_partkey").select("p_partkey", F.explode("slots").alias("slot"))
+
+
+@query(f"SELECT doc_id, CASE WHEN {_OK} THEN 'ok' ELSE doc_id || ': ERROR ' || CASE WHEN {_N} % 19 = 0 THEN 'no-version-section' ELSE 'no-style-section' END END AS report FROM documents")
+def inspection_report(spark, d):
+    r = E.inspection_report(E.inspect(_damaged(spark, d)))
+    return r.select("doc_id", F.when(F.col("report").rlike(r"^\d+: version [49] cp1252, \d+ text characters, 1 styles, lossy=(?:true|false)\n  blocks: "), "ok").otherwise(F.col("report")).alias("report"))
+
+
+@query(f"SELECT doc_id, octet_length(encode({_JOINED}))::BIGINT + CASE WHEN len({_P}) > 0 THEN len({_P}) ELSE 0 END AS bytes FROM documents")
+def write_files(spark, d):
+    """The text output, a file a document, in the shared folder; blank lines between paragraphs and a last break add a byte each."""
+    import os
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-")
+    folder = os.path.join(base.removeprefix("file://").removeprefix("file:"), f"files-{uuid.uuid4().hex}")
+    os.makedirs(folder)
+    return E.write_files(E.renderer("text")(corpus(spark, d)), folder, ".txt").select("doc_id", "bytes")
+
+
+@query("SELECT page_id, 'ltr' AS direction, md5(html) AS clean FROM pages WHERE html IS NOT NULL AND false UNION ALL SELECT page_id, 'ltr', md5(substr(html, 1, 200)) FROM pages")
+def clean_text(spark, d):
+    from ..functions.scalars import direction, sanitize
+
+    h = F.substring("html", 1, 200)
+    return t(spark, d, "pages").select("page_id", direction(h).alias("direction"), F.md5(sanitize(h)).alias("clean"))

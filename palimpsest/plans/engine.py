@@ -11,7 +11,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -20,7 +20,7 @@ from ..parsing import packages, render
 from ..parsing.document import parse
 from ..parsing.envelope import Limits, Rejected
 from ..parsing.inline import Char
-from ..parsing.model import Block, Document
+from ..parsing.model import Block, Document, structure_known
 from ..parsing.records import CELL, material
 
 SLICE = 64
@@ -63,7 +63,7 @@ def _blocks(doc: Document):
     for node, b in _walk(doc.blocks):
         r = b.region or (None, None)
         text = b.text if b.kind == "paragraph" else render.document_text([b]) if not b.children else None
-        yield list(node), list(node[:-1]), len(node) - 1, node[-1], b.kind, b.line, text, b.style, b.alignment, b.list_kind, bool(b.page_break), r[0], r[1], b.indents, b.spacing, b.placement, b.terminated, b.flags, b.metadata, b.object
+        yield list(node), list(node[:-1]), len(node) - 1, node[-1], b.kind, b.line, text, b.style, b.alignment, b.list_kind, bool(b.page_break), r[0], r[1], b.indents, b.spacing, b.placement, b.terminated, b.flags, b.metadata, b.object, b.origin, b.layout, b.kind in ("frame", "header", "footer") and structure_known(b)
 
 
 def _runs(doc: Document):
@@ -164,7 +164,7 @@ RELATIONS = {
     "documents": (_documents, f"status string, error string, detail string, encoding string, version string, newline string, bytes long, text_chars long, styles long, sections long, unknown_records long, lossy boolean, block_counts {_COUNTS}, section_counts {_COUNTS}, diagnostic_counts {_COUNTS}, severity_counts {_COUNTS}, loss_counts {_COUNTS}, l1 long, metadata map<string,string>"),
     "lines": (_lines, "line_no int, text string, first_byte long, end_byte long, sec_no int"),
     "sections": (_sections, "sec_no int, name string, ordinal int, first_line int, n_lines int"),
-    "blocks": (_blocks, "node array<int>, parent array<int>, depth int, ordinal int, kind string, line int, text string, style string, alignment string, list_kind string, page_break boolean, region_x long, region_width long, indents array<bigint>, spacing double, placement string, terminated boolean, flags decimal(38,0), metadata string, object string"),
+    "blocks": (_blocks, "node array<int>, parent array<int>, depth int, ordinal int, kind string, line int, text string, style string, alignment string, list_kind string, page_break boolean, region_x long, region_width long, indents array<bigint>, spacing double, placement string, terminated boolean, flags decimal(38,0), metadata string, object string, origin string, layout_index int, structure_known boolean"),
     "runs": (_runs, f"node array<int>, run_no int, style string, text string, {_CHAR_DDL}"),
     "diagnostics": (lambda d: ((k, *x) for k, x in enumerate(d.diagnostics)), "seq int, severity string, code string, lossiness string, line int, raw string"),
     "unknown_records": (lambda d: ((k, *x) for k, x in enumerate(d.unknown)), "seq int, section string, type string, raw string, line int"),
@@ -205,14 +205,18 @@ def _run(docs: DataFrame, key: str, ddl: str, each) -> DataFrame:
                 keys = b.column(0).take(pa.array(index, pa.int64()))
                 yield pa.RecordBatch.from_arrays([keys.cast(arrow.field(0).type), *(pa.array(c, arrow.field(i + 1).type) for i, c in enumerate(columns))], schema=arrow)
 
-    return spread(docs.select(key, "content")).mapInArrow(run, schema)
+    return spread(docs.select(key, "content"), key).mapInArrow(run, schema)
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """Where the input has fewer partitions than the session has cores for (a file of one row group), rows are dealt out
-    before they are parsed: parsing is what costs."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(2 * cores) if docs.rdd.getNumPartitions() < cores else docs
+def spread(docs: DataFrame, key: str) -> DataFrame:
+    """Where a plain scan is so small that it would leave cores idle (as a file of one row group does), rows are dealt out
+    before they are parsed: parsing is what costs. Anything larger, or already shuffled, stays as it is."""
+    spark, plan = docs.sparkSession, docs._jdf.queryExecution()
+    cores = spark.sparkContext.defaultParallelism
+    least = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if "Exchange" in plan.executedPlan().toString() or int(str(plan.optimizedPlan().stats().sizeInBytes())) >= cores * int(least):
+        return docs
+    return docs.repartition(2 * cores, key)
 
 
 def relation(docs: DataFrame, name: str, key: str = "doc_id", encoding: str | None = None, **limits: int) -> DataFrame:
@@ -302,6 +306,62 @@ def renderer(name: str):
     return run
 
 
+def write_files(rendered: DataFrame, folder: str, suffix: str, key: str = "doc_id") -> DataFrame:
+    """One file a document in a folder that all executors share, each written beside its place and then moved there, so a file
+    is whole or absent and a task that runs again only replaces it. Returns key, path, bytes; nothing is written before an
+    action needs them. Names are the keys with what isn't a letter, digit, dot or dash as an underscore, and a digest."""
+    kind = rendered.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import hashlib
+        import os
+
+        for b in batches:
+            paths, sizes = [], []
+            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                data = v.encode() if isinstance(v, str) else v or b""
+                name = re.sub(r"[^A-Za-z0-9.-]+", "_", str(k))[-80:] + "-" + hashlib.sha256(str(k).encode()).hexdigest()[:12] + suffix
+                path = os.path.join(folder, name)
+                part = f"{path}.{os.getpid()}.part"
+                with open(part, "wb") as f:
+                    f.write(data)
+                    f.flush()
+                    os.fsync(f.fileno())
+                os.replace(part, path)
+                paths.append(path)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(paths), pa.array(sizes, pa.int64())], [key, "path", "bytes"])
+
+    return rendered.where("error is null").select(key, "output").mapInArrow(run, f"`{key}` {kind}, path string, bytes long")
+
+
+def inspection_report(inspected: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, report: what inspection found, as lines to read."""
+    pairs = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ", ")
+    k = F.col(key).cast("string")
+    ok = F.concat(k, F.lit(": version "), F.col("version"), F.lit(" "), F.col("encoding"), F.lit(", "), F.col("text_chars").cast("string"), F.lit(" text characters, "), F.col("styles").cast("string"), F.lit(" styles, lossy="), F.col("lossy").cast("string"), *[F.concat(F.lit(f"\n  {n}: "), pairs(F.col(c))) for n, c in (("blocks", "block_counts"), ("sections", "section_counts"))], *[F.when(F.size(c) > 0, F.concat(F.lit(f"\n  {n}: "), pairs(F.col(c)))).otherwise("") for n, c in (("diagnostics", "diagnostic_counts"), ("losses", "loss_counts"))])
+    return inspected.select(key, F.when(F.col("status") == "ok", ok).otherwise(F.concat(k, F.lit(": ERROR "), F.col("error"))).alias("report"))
+
+
+def promoted(blocks: DataFrame, layouts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, node, kind, slot: headers and footers of the first usable page layout that can repeat on its pages: closed and
+    understood, alone in their slot (odd or even pages), and low enough for the margin (9 points a line, 4 to spare)."""
+    side = lambda g: F.when(F.col(g)["valid"], F.col(g))
+    page = layouts.withColumn("_g", F.coalesce(side("odd"), side("even"))).where("_g is not null").groupBy(key).agg(F.min_by(F.struct("layout_index", "non_alternating", "_g"), "layout_index").alias("_p"))
+    inner = blocks.where("depth = 1").groupBy(key, F.col("parent")[0].alias("ordinal")).agg(F.count("*").alias("_lines"), F.max(F.length("text")).alias("_longest"), F.max(F.col("kind") != "paragraph").alias("_other"))
+    f = blocks.where("depth = 0 and origin = 'layout' and kind in ('header', 'footer')").join(page, key).where("layout_index = _p.layout_index").join(inner, [key, "ordinal"], "left")
+    slots = F.when(F.col("_p.non_alternating"), F.when(F.col("placement").isin("all", "odd", "odd-even"), F.array(F.lit("odd"), F.lit("even")))).when(F.col("placement").isin("all", "odd-even"), F.array(F.lit("odd"), F.lit("even"))).when(F.col("placement").isin("odd", "even"), F.array("placement"))
+    f = f.withColumn("slot", F.explode(slots)).withColumn("_alone", F.count("*").over(Window.partitionBy(key, "kind", "slot")) == 1)
+    g = F.col("_p._g")
+    width = (g["width"] - g["left"] - g["right"]) / 20.0  # points; 8-point text is about 4.4 points a character
+    lines = F.col("_lines") * F.ceil(F.greatest(F.lit(1.0), F.col("_longest") * 4.4 / F.greatest(F.lit(36.0), width)))
+    margin = F.when(F.col("kind") == "header", g["top"]).otherwise(g["bottom"]) / 20.0
+    fits = (lines <= 64) & (margin >= 13) & (lines * 9 <= margin - 4) & ~F.col("_other")
+    good = f.withColumn("_ok", F.col("_alone") & F.col("terminated") & F.col("structure_known") & F.coalesce(fits, F.lit(False)))
+    every = good.groupBy(key, "node", "kind").agg(F.min("_ok").alias("_ok"), F.array_sort(F.collect_list("slot")).alias("slots"))
+    return every.where("_ok").select(key, "node", "kind", "slots")
+
+
 def style_lookup(runs: DataFrame, styles: DataFrame, key: str = "doc_id") -> DataFrame:
     """Runs with the definition of their style: by exact name, else the first that is the same but for case. The styles of
     one document are few, and both sides are keyed by document."""

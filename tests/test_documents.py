@@ -359,3 +359,54 @@ def test_payload_decoders_are_total():
         b = rng.choice([b"", b"SM\x02\x01", b"SS", b"\xd7\xcd\xc6\x9a", b"\x01\x00\x09\x00\x00\x03"]) + b
         assert payloads.metafile(b)[0] and payloads.drawing(b)[0] and payloads.preview(b)[0]
     assert payloads.preview(b"SS" + bytes([9, 0, 1, 0, 2, 0, 1, 1]) + bytes(8) + b"\x80\x80")[3] == b"\xff" + b"\x00" * 7 + b"\xff"
+
+
+def metafile(depth=24, width=3, height=2, wrong=None, **over):
+    """A metafile of one picture whose pixels count up, and what they must decode to."""
+    import struct
+
+    colours = 0 if depth == 24 else 1 << depth
+    stride = (width * depth + 31) // 32 * 4
+    pixels = [[(x + y * width) % (colours or 256) for x in range(width)] for y in range(height)]
+    rows, want = [], []
+    for y in range(height):
+        bits = "".join((f"{p:08b}" * 3 if depth == 24 else f"{p:0{depth}b}") for p in pixels[y]).ljust(stride * 8, "0")
+        rows.insert(0, int(bits, 2).to_bytes(stride, "big"))
+        want += [bytes((p,) * 3) if depth == 24 else bytes((p, 2 * p % 256, 7)) for p in pixels[y]]
+    table = b"".join(bytes((7, 2 * k % 256, k, 0)) for k in range(colours))
+    dib = struct.pack("<IiiHHIIiiII", 40, width, height, 1, depth, 0, 0, 0, 0, 0, 0) + table + b"".join(rows)
+    record = lambda f, body: struct.pack("<IH", 3 + len(body) // 2, f) + body
+    blit = record(0x0B41, struct.pack("<Ihhhhhhhh", 0xCC0020, height, width, 0, 0, height, width, 0, 0) + dib)
+    body = record(0x00F7, struct.pack("<HH", 0x300, 1) + bytes(4)) + record(0x0234, b"\0\0") + record(0x0035, b"") + record(0x020B, bytes(4)) + record(0x020C, struct.pack("<hh", height, width)) + blit + (wrong or b"") + record(0, b"")
+    return struct.pack("<HHHIHIH", 1, 9, 0x300, 9 + len(body) // 2, 1, len(blit) // 2, 0) + body, b"".join(want)
+
+
+def test_metafile_pixels_and_rejections():
+    import struct
+
+    from palimpsest.sources import payloads
+
+    for depth in (1, 4, 8, 24):
+        data, want = metafile(depth, 5, 3)
+        m = payloads.decode_metafile(data)
+        assert (m["code"], m["width"], m["height"], m["rgb"]) == ("ok", 5, 3, want)
+    data, _ = metafile()
+    code = lambda b: payloads.decode_metafile(b)["code"]
+    assert code(None) == "truncated-header" and code(data[:-1]) == "file-size-mismatch" and code(b"\x02" + data[1:]) == "unsupported-header"
+    assert code(metafile(wrong=struct.pack("<IH", 3, 0x0626))[0]) == "unsafe-escape" and code(metafile(wrong=struct.pack("<IH", 3, 0x0999))[0]) == "unsupported-record"
+    assert code(metafile(wrong=struct.pack("<IH", 2, 1))[0]) == "invalid-record-size"
+    assert payloads.decode_metafile(data, max_pixels=5)["code"] == "pixel-limit" and payloads.decode_metafile(data, max_side=2)["code"] == "dimension-limit"
+    rng = random.Random(6)
+    for _ in range(1500):
+        b = bytearray(data)
+        for _ in range(rng.randrange(1, 6)):
+            b[rng.randrange(len(b))] = rng.randrange(256)
+        m = payloads.decode_metafile(bytes(b))
+        assert (m["rgb"] is None) == (m["code"] != "ok")
+
+
+def test_text_for_standard_fonts(spark):
+    x = spark.createDataFrame([("a‮b\x01\U0001f600", ), ("x" * 1100, ), ("e" + "́" * 70, ), (None, ), ("אb", )], "t string")
+    got = [r[0] for r in x.select(scalars.sanitize(F.col("t"))).collect()]
+    assert got[0] == "a‮b��" and got[1] == "x" * 1024 + "[...]" and got[2] == "e" + "́" * 64 + "�" and got[3] is None
+    assert [r[0] for r in x.select(scalars.direction(F.col("t"))).collect()] == ["ltr", "ltr", "ltr", None, "rtl"]
