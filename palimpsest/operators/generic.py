@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,21 +130,22 @@ def kanon_groups(df: DataFrame, unit: str, cls: str, k: int = 5) -> DataFrame:
 
 def greedy_budget(df: DataFrame, by: list[str], order: str, size: str, cap: int) -> DataFrame:
     """Which rows of a group fit a budget if each that doesn't is skipped and the rest go on. Groups are one document's
-    blocks; a group is one Arrow-sized frame and one linear pass."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in (*by, order)) + ", kept boolean"
-
-    def run(rows):
-        rows = rows.sort_values(order, kind="stable")
-        used, kept = 0, []
-        for s in rows[size].tolist():
-            fits = used + s <= cap
-            used += s if fits else 0
-            kept.append(fits)
-        out = rows[[*by, order]].copy()
-        out["kept"] = kept
-        return out
-
-    return df.select(*by, order, size).groupBy(*by).applyInPandas(run, schema)
+    blocks: their sizes go through one linear pass, many groups an Arrow batch."""
+    @F.pandas_udf("array<boolean>")
+    def fits(sizes: pd.Series) -> pd.Series:
+        def one(xs):
+            used, out = 0, []
+            for x in xs:
+                ok = used + x <= cap
+                used += x if ok else 0
+                out.append(ok)
+            return out
+
+        return sizes.map(one)
+
+    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("a"))
+    kept = rows.select(*by, F.transform("a", lambda x: x["o"]).alias("o"), fits(F.transform("a", lambda x: x["s"])).alias("kept"))
+    return kept.select(*by, F.explode(F.arrays_zip("o", "kept")).alias("x")).select(*by, F.col("x.o").alias(order), F.col("x.kept").alias("kept"))
 
 
 def asof_both(events: DataFrame, marks: DataFrame, by: list[str], at: str, mark: str) -> DataFrame:

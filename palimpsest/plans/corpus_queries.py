@@ -429,13 +429,13 @@ def span_pairs(spark, d):
 def _region_documents(spark, d) -> DataFrame:
     """A document per customer with a page layout, and a paragraph per order with a region, indents and a font size."""
     o = t(spark, d, "orders")
-    p = F.concat(F.lit("<:#"), (F.col("o_orderkey") % 9 * 283).cast("string"), F.lit(","), (9000 + F.col("o_orderkey") % 15 - 7 - F.when(F.col("o_orderkey") % 4 == 0, 500).otherwise(0)).cast("string"), F.lit(">"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("<:f"), (F.col("o_orderkey") % 7 * 20).cast("string"), F.lit(",1Arial>"))).otherwise(""), F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("<:I"), (F.col("o_orderkey") % 2 * 10).cast("string"), F.lit(",5,"), (F.col("o_orderkey") % 3).cast("string"), F.lit(",0>"))).otherwise(""), F.lit("order "), F.col("o_orderstatus"), F.lit(CRLF * 2))
+    p = F.concat(F.lit("<:#"), ((F.col("o_orderkey") % 9 + 1) * 283).cast("string"), F.lit(","), (9000 + F.col("o_orderkey") % 15 - 7 - F.when(F.col("o_orderkey") % 4 == 0, 500).otherwise(0)).cast("string"), F.lit(">"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("<:f"), (F.col("o_orderkey") % 7 * 20).cast("string"), F.lit(",1Arial>"))).otherwise(""), F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("<:I"), (F.col("o_orderkey") % 2 * 10).cast("string"), F.lit(",5,"), (F.col("o_orderkey") % 3).cast("string"), F.lit(",0>"))).otherwise(""), F.lit("order "), F.col("o_orderstatus"), F.lit(CRLF * 2))
     body = joined(o, "o_custkey", ["o_orderkey"], p)
     lay = lines("[lay]", "\tMain", "\t1", "\t[rght]", *[f"\t\t{x}" for x in (15840, 12000, 0, 1500, 1500, 1, 1500, 1500, 0)])
     return body.select("o_custkey", to_bytes(document_text(F.col("pieces"), lay)).alias("content"))
 
 
-_R = """WITH r AS (SELECT o_custkey, o_orderkey, o_orderkey % 9 * 283 AS x, 9000 + o_orderkey % 15 - 7 - CASE WHEN o_orderkey % 4 = 0 THEN 500 ELSE 0 END AS w, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 * 20 END AS f, len('order' || o_orderstatus) AS m FROM orders),
+_R = """WITH r AS (SELECT o_custkey, o_orderkey, (o_orderkey % 9 + 1) * 283 AS x, 9000 + o_orderkey % 15 - 7 - CASE WHEN o_orderkey % 4 = 0 THEN 500 ELSE 0 END AS w, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 * 20 END AS f, len('order' || o_orderstatus) AS m FROM orders),
 q AS (SELECT x AS mode FROM r GROUP BY x ORDER BY count(*) DESC, x LIMIT 1) """
 
 
@@ -460,9 +460,9 @@ def indent_report(spark, d):
 @query()
 def corpus_report(spark, d):
     """The whole report over tables, regions and indents, a struct per part."""
-    r = {n: x.withColumnRenamed("l_orderkey", "key") for n, x in table_relations(spark, d).items()}
+    r = {n: E.stored(x.withColumnRenamed("l_orderkey", "key")) for n, x in table_relations(spark, d).items()}
     docs = _region_documents(spark, d)
-    r |= {n: E.relation(docs, n, "o_custkey").withColumnRenamed("o_custkey", "key") for n in ("commands", "layouts")}
+    r |= {n: E.stored(E.relation(docs, n, "o_custkey").withColumnRenamed("o_custkey", "key")) for n in ("commands", "layouts")}
     return S.corpus_report(r, "key")
 
 

@@ -241,6 +241,11 @@ def relation(docs: DataFrame, name: str, key: str = "doc_id", encoding: str | No
     return _run(docs, key, ddl, each)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written to the session's checkpoint folder, where it has one, for a relation that several plans read."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+
+
 def inspect(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """A row per document: status, sizes, counts by kind of block, section, diagnostic, severity and loss."""
     return relation(docs, "documents", key, **options)

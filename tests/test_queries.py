@@ -24,7 +24,7 @@ def test_query(spark, duck, name):
         assert len(got)
 
 
-PLACED = ("interval_merge", "asof_units", "apportion_widths", "list_islands", "inline_runs", "body_containers", "table_text", "table_extents", "coordinate_report", "region_report", "anchor_resolution", "style_references", "diagnostic_counts", "numeric_distribution", "greedy_text_budget")
+PLACED = ("interval_merge", "asof_units", "apportion_widths", "list_islands", "inline_runs", "body_containers", "table_extents", "region_report", "style_references", "numeric_distribution", "greedy_text_budget")
 
 
 @pytest.mark.parametrize("parts", [1, 2, 7])
