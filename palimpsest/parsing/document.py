@@ -9,7 +9,7 @@ from . import envelope, records, streams
 from .envelope import Limits, Rejected
 from .model import Document, Section
 
-_NAME = re.compile(r"\[([A-Za-z][A-Za-z0-9_-]{0,63})\]\s*")
+_NAME = re.compile(rf"\[({envelope.NAME})\]\s*")
 
 
 def parse(data: bytes, limits: Limits = Limits(), encoding: str | None = None) -> Document:

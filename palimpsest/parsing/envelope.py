@@ -11,6 +11,10 @@ from functools import lru_cache
 MB = 1024 * 1024
 
 
+#: The name of a section or sub-record.
+NAME = r"(?a:[A-Za-z][\w-]{0,63})"
+
+
 class Rejected(Exception):
     """A document that can't be parsed; its code becomes the row's error."""
 
@@ -186,7 +190,9 @@ def body_end(data: bytes) -> tuple[int, list[str] | None]:
 
 # --- appended payloads ---------------------------------------------------------------------------------------
 
-ROW = re.compile(r"\s*(?P<id>\d{1,20})\s+(?P<ext>\.[A-Za-z0-9]{1,8})\s+(?P<at>\d{1,20})\s+(?P<size>\d{1,20})\s+(?P<preview_at>\d{1,20})\s+(?P<preview_size>\d{1,20})\s*")
+_DIGITS = r"\d{1,20}"
+#: A directory row: number, suffix, place and size of the asset and of its companion.
+ROW = re.compile(r"\s*" + r"\s+".join(f"(?P<{n}>{p})" for n, p in (("id", _DIGITS), ("ext", r"\.[A-Za-z0-9]{1,8}"), ("at", _DIGITS), ("size", _DIGITS), ("preview_at", _DIGITS), ("preview_size", _DIGITS))) + r"\s*")
 DIRECTORIES = 8
 
 

@@ -7,7 +7,7 @@ import re
 from bisect import bisect_left, bisect_right
 
 from ..sources import payloads
-from .envelope import ROW, Containers, Rejected, Source, closing_line, inside_one
+from .envelope import NAME, ROW, Containers, Rejected, Source, closing_line, inside_one
 from .inline import Char, integer, unescape
 from .model import Block, Document, Section, Style, usable
 from .streams import Anchors, paragraph, paragraphs, stream
@@ -16,10 +16,10 @@ from .streams import Anchors, paragraph, paragraphs, stream
 OPAQUE = frozenset("toc recfile prn port paranum master lnopts gramstyle fldnames files ehint docvars docopts chint book".split())
 ACTIVE = frozenset(("macro", "newmac", "frmmac"))
 KNOWN = OPAQUE | ACTIVE | frozenset("tag sty ver edoc frm lay pg embedded charset lang desc revisions fopts".split())
-_SUB = re.compile(r"\s+\[([A-Za-z][A-Za-z0-9_-]{0,63})\]\s*")
-_TABBED = re.compile(r"(\t*)\[([A-Za-z][A-Za-z0-9_-]{0,63})\]\s*")
+_SUB = re.compile(rf"\s+\[({NAME})\]\s*")
+_TABBED = re.compile(rf"(\t*)\[({NAME})\]\s*")
 _BRANCH = re.compile(r"[ \t]*\[(hrght|hlft|frght|flft)\]\s*", re.I)
-_HEADER = re.compile(r"\[[A-Za-z][A-Za-z0-9_-]{0,63}\]")
+_HEADER = re.compile(rf"\[{NAME}\]")
 FIELDS = 1024
 WIDE = 10**20
 PAPER = {1: "letter", 2: "legal", 3: "a3", 4: "a4", 5: "a5", 6: "b5", 7: "custom"}
@@ -872,7 +872,7 @@ def directory(doc: Document, s: Section, data: bytes, src: Source, base: int, ex
 
 
 def _drawing(doc: Document, s: Section, key: str, content: bytes | None, companion: bytes | None, sha: str | None, pixels: int) -> tuple[Block, int, str]:
-    b = Block("drawing", s.line, alt=f"Ami Draw object {key}", sha256=sha, size=len(content or b""))
+    b = Block("drawing", s.line, alt=f"Drawing object {key}", sha256=sha, size=len(content or b""))
     status = "unavailable"
     if content is None:
         doc.warn("sdw-asset-unavailable", s.line, key)

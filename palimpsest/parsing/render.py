@@ -16,7 +16,10 @@ DEPTH, BLOCKS, ROWS, CELLS, RUNS, UNIT, TOTAL, RESERVE, SMALL = 32, 100_000, 390
 DIAGNOSTICS, DIAGNOSTIC_TEXT, DIAGNOSTIC_FIELD, CHAIN = 256, 65_536, 4_096, 64
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0e-\x1f\x7f]")
 _HTML_CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\x9f\ud800-\udfff]")
-_PREFIX = re.compile(r"(?m)^\s*(?:#{1,6}|>|[-+]|\d+\.)\s")
+#: What would start a block at the beginning of a line: a mark, or a number with its dot.
+_PREFIX = re.compile(r"^(?P<lead>\s*)(?:(?P<mark>[-+>]|#{1,6})|(?P<number>\d+)\.)(?=\s)", re.M)
+_ENTITIES = {ord(c): f"&{name};" for c, name in zip("&<>", ("amp", "lt", "gt"))}
+_MARKDOWN = _ENTITIES | {ord(c): "\\" + c for c in "|{}[]_*`\\"}
 _HEADING = re.compile(r"\b(?:heading|head|h)\s*[-_:]?\s*([1-6])\b", re.I)
 _PLACES = {"all": "all pages", "odd": "odd/right pages", "even": "even/left pages", "odd-even": "odd and even variants"}
 
@@ -182,10 +185,10 @@ class Text:
         if b.kind == "metafile":
             return self.escape(f"[WMF preview: {label(b.alt, 'Embedded WMF preview', 256)} ({b.width} x {b.height} pixels)]")
         if b.kind == "drawing":
-            alt = label(b.alt, "Ami Draw object", 256)
+            alt = label(b.alt, "Drawing object", 256)
             if b.grey is not None:
-                return self.escape(f"[Ami Draw companion preview, vector status={b.status}: {alt}]")
-            return self.escape(f"[Ami Draw object: {alt}; no valid companion preview; status={b.status}; declared length={b.size} bytes" + (f"; SHA-256={b.sha256}]" if b.sha256 else "]"))
+                return self.escape(f"[Drawing, companion preview, vector status={b.status}: {alt}]")
+            return self.escape(f"[Drawing object: {alt}; no valid companion preview; status={b.status}; declared length={b.size} bytes" + (f"; SHA-256={b.sha256}]" if b.sha256 else "]"))
         return self.escape(f"[Unsupported {label(b.object, 'unknown object kind', 128)}: {label(b.description, 'description unavailable', 256)}]")
 
     def wrap(self, mark: str, content: str) -> str:
@@ -234,7 +237,7 @@ class Markdown(Text):
         self.styles: dict = {}
 
     def escape(self, s: str) -> str:
-        return re.sub(r"([\\`*_[\]{}|])", r"\\\1", s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
+        return s.translate(_MARKDOWN)
 
     def run(self, text: str, c: Char) -> str:
         v = self.escape(self.clean(text)).replace("\n", "  \n")
@@ -269,10 +272,7 @@ class Markdown(Text):
         n.reset()
         if level := heading_level(b.style):
             return "#" * level + " " + text
-        if not _PREFIX.search(text):
-            return text
-        text = re.sub(r"(?m)^(\s*)(#{1,6}|>|[-+])(?=\s)", r"\1\\\2", text)
-        return re.sub(r"(?m)^(\s*)(\d+)\.(?=\s)", r"\1\2\\.", text)
+        return _PREFIX.sub(lambda m: f"{m['lead']}\\{m['mark']}" if m["mark"] else f"{m['lead']}{m['number']}\\.", text)
 
     def page_break(self) -> str:
         self.last_list = False
@@ -395,7 +395,7 @@ class Html(Markdown):
         return s if s.isprintable() else _HTML_CONTROL.sub("�", s)
 
     def escape(self, s: str) -> str:
-        return self.clean(s).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+        return self.clean(s).translate(_ENTITIES)
 
     def attribute(self, s: str) -> str:
         return html_lib.escape(self.clean(s))
@@ -484,7 +484,7 @@ class Html(Markdown):
         if b.kind == "drawing" and b.grey is not None:
             w, h = display_inches(b.width, b.height)
             rgb = bytes(x for g in b.grey for x in (g, g, g))
-            return self.figure("image/png", png(b.width, b.height, rgb), b.alt, f"Ami Draw companion preview, vector status={b.status}", f' style="width:{w:g}in;height:{h:g}in"')
+            return self.figure("image/png", png(b.width, b.height, rgb), b.alt, f"Drawing, companion preview, vector status={b.status}", f' style="width:{w:g}in;height:{h:g}in"')
         return f'<div class="placeholder">{super().leaf(b)}</div>\n'
 
     def container(self, b: Block, depth: int, width: int | None = None) -> str:
@@ -616,7 +616,7 @@ def document_text(blocks: list[Block], budget: Budget | None = None, depth: int
         elif b.kind == "metafile":
             out.append(f"[WMF preview: {b.width} x {b.height} pixels]")
         elif b.kind == "drawing":
-            out.append(f"[Ami Draw companion preview: {b.width} x {b.height} pixels; status={b.status}]" if b.grey is not None else "[Ami Draw object: rendering unavailable]")
+            out.append(f"[Drawing, companion preview: {b.width} x {b.height} pixels; status={b.status}]" if b.grey is not None else "[Drawing object: rendering unavailable]")
         else:
             inner = document_text(b.children, budget, depth + 1)
             known = b.kind not in ("annotation", "footnote") and structure_known(b)
