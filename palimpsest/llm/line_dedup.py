@@ -145,9 +145,6 @@ def clean(docs: DataFrame) -> DataFrame:
     return out
 
 
-clean_runs = clean
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     out = clean(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_removed").alias("n_removed_chunks"), F.col("_chars").alias("n_removed_chars"), "text")
