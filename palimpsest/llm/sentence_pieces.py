@@ -21,6 +21,7 @@ rows; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 from array import array
@@ -36,8 +37,8 @@ from .common import small_batches, table
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words remembered in a generation, and the longest of them; characters of a window, of all windows of a step, and of a
-#: block that a long text is read by.
-MEMO, LONG, WINDOW, SIDE, BLOCK = 100_000, 64, 512, 500_000, 65_536
+#: block that a long text is read by; characters of a step of words.
+MEMO, LONG, WINDOW, SIDE, BLOCK, STEP = 100_000, 64, 512, 500_000, 65_536, 65_536
 #: Stands for a literal U+2581 inside the encoder: a lone surrogate, which no text of a table holds.
 LITERAL = "\udcff"
 #: Scores are whole numbers of 1 / UNIT, so sums are exact and ties don't depend on where a window began: the longer
@@ -110,6 +111,11 @@ class Vocabulary:
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _narrow(keys: np.ndarray) -> np.ndarray:
+    """Keys of 16 bits where they fit, which a stable sort takes in linear time."""
+    return keys.astype(np.uint16) if len(keys) and keys.max() <= 0xFFFF else keys
+
+
 class Streams:
     """Streaming Viterbi over many escaped texts at once, as array steps.
 
@@ -197,18 +203,17 @@ class Streams:
         a = first + part[first]
         b = a + size
         n = len(chars) + count
-        over = np.zeros(n + 1, np.int64)  # pieces that span a boundary
-        np.add.at(over, a[size > 1] + 1, 1)
-        np.add.at(over, b[size > 1], -1)
+        wide = size > 1
+        over = np.bincount(a[wide] + 1, minlength=n + 1) - np.bincount(b[wide], minlength=n + 1)  # pieces that span a boundary
         met = np.cumsum(over)[:n] == 0
         home, last = begin + np.arange(count), ends + np.arange(count)
-        for k in range(count):
-            if not final[k]:  # what comes may span these
-                met[max(home[k], last[k] - self.v.longest) + 1 : last[k] + 1] = False
+        open_ends = [k for k, f in enumerate(final) if not f]
+        for k in open_ends:  # what comes may span these
+            met[max(home[k], last[k] - self.v.longest) + 1 : last[k] + 1] = False
         behind = np.arange(n) - np.maximum.accumulate(np.where(met, np.arange(n), 0))
-        order = np.argsort(behind[a], kind="stable")
-        a, b, score, ids = a[order], b[order], score[order], ids[order]
         steps = behind[a]
+        order = np.argsort(_narrow(steps), kind="stable")
+        a, b, score, ids, steps = a[order], b[order], score[order], ids[order], steps[order]
         best, back, chosen = np.full(n, np.iinfo(np.int64).min // 2), np.zeros(n, np.int64), np.full(n, -1, np.int32)
         cuts = np.searchsorted(steps, np.arange(int(steps[-1]) + 2))
         for k in range(len(cuts) - 1):
@@ -217,8 +222,10 @@ class Streams:
             better = got > best[b[x]]
             to = b[x][better]
             best[to], back[to], chosen[to] = got[better], a[x][better], ids[x][better]
-        upto = [int(z if f else self._converged(back, h, z)) for h, z, f in zip(home.tolist(), last.tolist(), final)]
-        return self._walk(windows, home, np.array(upto), back, chosen), [u - h for u, h in zip(upto, home.tolist())]
+        upto = last.copy()
+        for k in open_ends:
+            upto[k] = self._converged(back, int(home[k]), int(last[k]))
+        return self._walk(windows, home, upto, back, chosen), (upto - home).tolist()
 
     def _converged(self, back: np.ndarray, home: int, last: int) -> int:
         """The last boundary that the paths of all live boundaries share."""
@@ -244,7 +251,7 @@ class Streams:
         if not who:
             return [b""] * len(windows)
         w, i, c = (np.concatenate(x[::-1]) for x in (who, ids, at))  # last pieces first, so reversed
-        order = np.argsort(w, kind="stable")
+        order = np.argsort(_narrow(w), kind="stable")
         w, i, c = w[order], np.ascontiguousarray(i[order], np.int32), c[order]
         edges = np.concatenate([[0], np.cumsum(np.bincount(w, minlength=len(windows)))]).tolist()
         flat = i.tobytes()
@@ -258,6 +265,10 @@ class Streams:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes: all are streams that run side by side."""
+        lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        if len(texts) and 0 < lens.min() and lens.max() <= WINDOW:  # words: a window each, and no stream goes on
+            edges = [*np.flatnonzero(np.diff(np.cumsum(lens) // STEP, prepend=-1)).tolist(), len(texts)]
+            return [ids for x, y in zip(edges, edges[1:]) for ids in self.advance(texts[x:y], [True] * (y - x))[0]]
         out: list[list[bytes]] = [[] for _ in texts]
         at, width = [0] * len(texts), [WINDOW] * len(texts)
         live = [k for k, t in enumerate(texts) if t]
@@ -366,11 +377,24 @@ class Encoder:
         return raw[1:] if self.v.dummy and raw[:1] == " " else raw
 
 
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(model: str = MODEL, merges: bool = False) -> Encoder:
+    """The encoder that this process keeps for a model file as it is now, with its remembered words: a worker runs many tasks."""
+    now = os.stat(model)
+    key = (model, merges, now.st_mtime_ns, now.st_size)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(model, merges)
+    return _encoders[key]
+
+
 def encode_documents(docs: DataFrame, model: str = MODEL, merges: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids, decoded_crc32 (of the text that the ids decode to), lossless."""
 
     def run(batches):
-        enc = Encoder(model, merges)
+        enc = encoder(model, merges)
         for big in batches:
             for at in range(0, big.num_rows, 256):
                 b = big.slice(at, 256)
@@ -395,7 +419,7 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, text from doc_id, ids."""
 
     def run(batches):
-        enc = Encoder(model)
+        enc = encoder(model)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else enc.decode(x) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 

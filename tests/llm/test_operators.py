@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small invented tables and on the smallest supplied ones."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -705,6 +706,26 @@ def test_pieces_windows_stay_small_and_memo_turns_over(monkeypatch):
         assert len(small.memo) < 1500
 
 
+def test_pieces_words_go_in_small_steps_and_a_worker_keeps_its_encoder(monkeypatch, tmp_path):
+    """Many new words take steps of bounded size, each with the ids it has alone; a process loads a model file once, until it changes."""
+    e, rng, steps = sentence_pieces.Encoder(), random.Random(4), []
+    some = ["▁" + "".join(rng.choice("abehtin$語") for _ in range(rng.randrange(1, 14))) for _ in range(30_000)] + ["a" * sentence_pieces.WINDOW]
+    advance = e.streams.advance
+    monkeypatch.setattr(e.streams, "advance", lambda windows, final: steps.append(sum(map(len, windows))) or advance(windows, final))
+    got = e.streams.encode(some)
+    assert sum(steps) == sum(map(len, some)) and max(steps) < sentence_pieces.STEP + sentence_pieces.WINDOW
+    for k in [*range(0, len(some), 500), len(some) - 1]:
+        assert advance([some[k]], [True])[0] == [got[k]]
+    assert e.streams.encode(["", *some[:3], ""]) == [b"", *got[:3], b""] and e.streams.encode([]) == []
+    model = tmp_path / "m.model"
+    raw = open(sentence_pieces.MODEL, "rb").read()
+    model.write_bytes(raw)
+    first = sentence_pieces.encoder(str(model))
+    assert sentence_pieces.encoder(str(model)) is first and sentence_pieces.encoder(str(model), True).merges
+    os.utime(model, ns=(1, 1))
+    assert sentence_pieces.encoder(str(model)) is not first
+
+
 def test_pieces_windows_equal_whole_viterbi():
     """Streams in windows against one plain pass over the whole text."""
     e = sentence_pieces.Encoder()
