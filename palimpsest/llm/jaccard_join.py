@@ -7,7 +7,7 @@ Two documents link when 100 * |A and B| >= 70 * |A or B| for their sets of 3-wor
    hash to a part, packed: a worker sums what it sees first, so a shingle sends at most one entry a payload
    however many documents have it. Most documents end here.
 3. Of the rest, the rarest shingles that a link must touch (prefix filter in order of document frequency) tie
-   classes into candidate families. No pairs are made: every class is tied to the smallest of a shingle's.
+   classes into candidate families. Frequencies are asked for and told in the same packed way. No pairs are made: every class is tied to the smallest of a shingle's.
 4. In a family, shingles are hashed into GROUPS groups; the group counts of a class are a point. Points are bulk
    loaded into an R-tree (leaves by size, then by the widest coordinate). The overlap of two points, or of two
    boxes, is at most the sum of their coordinate minima; where that is under what a link needs, the pair of
@@ -33,10 +33,10 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, components, cut, fresh, per_batch, running, small_batches, table
+from .common import attach, components, cut, fresh, per_batch, release, running, small_batches, table
 
 GROUPS, FINE, LEAF, TILE, TILE_HASHES, MEMO, BROADCAST, MANY = 64, 4096, 32, 1024, 2_000_000, 150_000, 1_000_000, 0xFFFF
 #: Shingles of a payload and of a part, from a small corpus to a large one, and the number of parts from which parts grow.
@@ -93,6 +93,13 @@ def shape(hashes: int) -> tuple[int, int]:
     return parts, min(FLUSH[1], max(FLUSH[0], 8 * parts))
 
 
+def _spread(key: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, from, to) of sorted hashes: a part is a range of them, inside which the lower 32 bits tell them apart."""
+    part = (((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+    edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part)).tolist()
+    return [(int(part[a]), a, b) for a, b in zip(edges, edges[1:])]
+
+
 def _payloads(parts: int, flush: int):
     """Rows (part, pid, blob). part >= 0: hashes of that part, one entry each; part < 0: a payload's own table."""
 
@@ -109,10 +116,8 @@ def _payloads(parts: int, flush: int):
         size = np.diff(np.append(start, len(h)))
         local = np.bincount(e[np.repeat(size > 1, size)], minlength=len(own)).astype(np.uint32)
         key, entry = h[start], np.where(size > 1, MANY, e[start]).astype(np.uint16)
-        part = (((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)  # sorted, as keys are
-        low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-        out = [(int(part[a]), pid, low[a:b].tobytes() + entry[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
+        low = key.astype(np.uint32)
+        out = [(part, pid, low[a:b].tobytes() + entry[a:b].tobytes()) for part, a, b in _spread(key, parts)]
         sig = np.array(sigs, np.int64).reshape(-1, 2)
         n = np.array([len(x) for x in sets], np.int64)
         body = np.array([len(sets), len(own)], np.uint32).tobytes() + np.array(ids, np.int64).tobytes() + np.ascontiguousarray(sig).tobytes() + n.tobytes() + np.array(rows, np.uint32).tobytes() + local.tobytes()
@@ -186,6 +191,80 @@ def _totals(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": ids, "n": size, "s1": sig[:, 0], "s2": sig[:, 1], "shared": total[entry]})
 
 
+# --- the prefix filter -----------------------------------------------------------------------------------------
+
+
+def _asked(parts: int, flush: int):
+    """Rows (part, pid, blob) from cls, hashes: each hash of a part once a payload, with the classes there that have it. With
+    no parts, a payload's own classes and sets as part -1; both passes read the same stored partitions, so payloads agree;
+    a payload's name is its first class."""
+
+    def pack(pid: int, cls: list[int], sets: list[bytes]):
+        if not parts:
+            return batch([(-1, pid, np.array([len(cls), *cls, *[len(x) // 8 for x in sets]], np.int64).tobytes() + b"".join(sets))])
+        key, count = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_counts=True)
+        low, count = key.astype(np.uint32), count.astype(np.uint32)
+        return batch([(part, pid, low[a:b].tobytes() + count[a:b].tobytes()) for part, a, b in _spread(key, parts)])
+
+    def batch(out: list[tuple]):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["part", "pid", "blob"])
+
+    def run(batches):
+        total, cls, sets = 0, [], []
+        for b in batches:
+            for c, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                cls.append(c), sets.append(h)
+                total += len(h) // 8
+                if total >= flush:
+                    yield pack(cls[0], cls, sets)
+                    total, cls, sets = 0, [], []
+        if cls:
+            yield pack(cls[0], cls, sets)
+
+    return run
+
+
+def _frequencies(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each payload's hashes of this part, in their order, how many classes of all have them. Two hashes with the same
+    lower bits count together, which moves both in the order and is the same for every class."""
+    n = [len(b) // 8 for b in rows["blob"]]
+    low = np.concatenate([np.frombuffer(b, np.uint32, k) for b, k in zip(rows["blob"], n)])
+    count = np.concatenate([np.frombuffer(b, np.uint32, k, 4 * k) for b, k in zip(rows["blob"], n)]).astype(np.int64)
+    order = np.argsort(low, kind="stable")
+    start = np.flatnonzero(np.diff(low[order].astype(np.int64), prepend=-1))
+    total = np.minimum(np.add.reduceat(count[order], start), 0xFFFFFFFF)
+    df = np.empty(len(low), np.uint32)
+    df[order] = np.repeat(total, np.diff(np.append(start, len(low))))
+    at = np.cumsum([0, *n])
+    each = [df[a:b] for a, b in zip(at, at[1:])]
+    return pd.DataFrame({"pid": rows["pid"], "part": rows["part"], "blob": [(x.astype(np.uint8) if x.max() < 256 else x).tobytes() for x in each]})
+
+
+def _prefixes(parts: int):
+    """h, cls: of each class of a payload the rarest shingles of those that another class has, as many as a link must touch."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        body = rows.loc[rows["part"] < 0, "blob"].iloc[0]
+        (k,) = np.frombuffer(body, np.int64, 1).tolist()
+        cls, size = np.frombuffer(body, np.int64, 2 * k, 8).reshape(2, -1)
+        h = np.frombuffer(body, np.uint64, -1, 8 + 16 * k)
+        key, where = np.unique(h, return_inverse=True)
+        df = np.empty(len(key), np.uint32)
+        got = dict(zip(rows["part"].tolist(), rows["blob"]))
+        for part, a, b in _spread(key, parts):
+            df[a:b] = np.frombuffer(got[part], np.uint8 if len(got[part]) == b - a else np.uint32)
+        df, who = df[where], np.repeat(np.arange(k), size)
+        common = df > 1
+        h, df, who = h[common], df[common], who[common]
+        order = np.lexsort((h, df, who))
+        m = np.bincount(who, minlength=k)
+        rank = np.arange(len(who)) - np.repeat(np.cumsum(m) - m, m) + 1
+        keep = order[rank <= (m - -(-7 * size // 10) + 1)[who]]
+        return pd.DataFrame({"h": h[keep].view(np.int64), "cls": cls[who[keep]]})
+
+    return run
+
+
 # --- the R-tree ----------------------------------------------------------------------------------------------
 
 
@@ -358,9 +437,14 @@ def link(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     volume = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     small_batches(docs.sparkSession)
-    sent = texts.mapInArrow(_payloads(*shape(volume // 6)), "part long, pid long, blob binary")
-    shared = sent.groupBy("part").applyInPandas(_shared, "pid long, own boolean, blob binary")
-    meta = cut(shared.groupBy("pid").applyInPandas(_totals, "doc_id long, n long, s1 long, s2 long, shared long"))
+
+    def summed() -> DataFrame:  # nothing outlives these calls that refers to their shuffles, so the files can go
+        sent = texts.mapInArrow(_payloads(*shape(volume // 6)), "part long, pid long, blob binary")
+        shared = sent.groupBy("part").applyInPandas(_shared, "pid long, own boolean, blob binary")
+        return cut(shared.groupBy("pid").applyInPandas(_totals, "doc_id long, n long, s1 long, s2 long, shared long"))
+
+    meta = summed()
+    release(docs.sparkSession)
     classes = cut(meta.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.max("shared").alias("shared")).withColumn("cls", F.xxhash64("s1", "s2", "n")))
     live = cut(classes.where("10 * shared >= 7 * n").select("cls", "copies", "doc", "s1", "s2"))
     if live.count() <= BROADCAST:  # else both sides are shuffled
@@ -385,20 +469,20 @@ def link(docs: DataFrame) -> DataFrame:
     else:
         stored = cut(hashed(chosen))
 
-    def explode(b: pa.RecordBatch):
-        s = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
-        n = np.array([len(x) for x in s], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(s))], ["cls", "n", "h"])
-
-    posts = per_batch(stored.select("cls", "hashes"), explode, "cls long, n long, h long")
-    freq = cut(posts.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
-    common = attach(posts, freq, ["h"], "df", F.struct("cls")).where("df is not null")
-    w = Window.partitionBy("cls")  # one class's own shingles
-    ranked = common.withColumn("m", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("df", "h")))
-    prefix = cut(ranked.where("r <= n - ceil(7 * n / 10) + 1 - (n - m)").select("h", "cls"))
+    parts, flush = shape(stored.agg(F.coalesce(F.sum(F.octet_length("hashes")), F.lit(0))).first()[0] // 8)
+
+    def prefixes() -> DataFrame:
+        asked, own = (stored.select("cls", "hashes").mapInArrow(_asked(k, flush), "part long, pid long, blob binary") for k in (parts, 0))
+        told = asked.groupBy("part").applyInPandas(_frequencies, "pid long, part long, blob binary")
+        return cut(told.unionByName(own).groupBy("pid").applyInPandas(_prefixes(parts), "h long, cls long"))
+
+    prefix = prefixes()
+    release(docs.sparkSession)
     hub = prefix.groupBy("h").agg(F.min("cls").alias("v"), F.count("*").alias("k")).where("k > 1")
     ties = attach(prefix, hub, ["h"], "k", F.struct("cls")).where("v is not null and v <> cls").select(F.col("cls").alias("u"), "v").distinct()
     family = cut(components(ties))
+    del hub, ties
+    release(docs.sparkSession)
     sizes = cut(family.groupBy("root").agg(F.count("*").alias("size")))
     bins = max(1, (family.count() + TILE - 1) // TILE)
     member = attach(family.select(F.col("v").alias("cls"), F.col("root").alias("family")), sizes.withColumnRenamed("root", "family"), ["family"], "size", F.struct("cls"))

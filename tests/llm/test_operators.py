@@ -774,3 +774,27 @@ def test_parts_stay_bounded_at_every_volume():
     for hashes in (0, 10**6, 10**9, 10**11, 10**13, 2 * 10**13):
         parts, flush = jaccard_join.shape(hashes)
         assert hashes / parts <= 2 * jaccard_join.PART[1] and flush <= jaccard_join.FLUSH[1]
+
+
+def test_prefix_filter_brute_and_packed(spark):
+    """Frequencies told in packed rows, over many payloads and parts, give the prefixes that whole counts give; what is sent stays
+    under 8 bytes a shingle, one that all classes have goes once a payload, and rows grow with payloads, not with shingles."""
+    rng = np.random.default_rng(5)
+    pool = np.unique(rng.integers(0, 2**64, 900, dtype=np.uint64))
+    sets = [np.unique(np.append(rng.choice(pool[1:], rng.integers(1, 60)), pool[:1])) for _ in range(400)] + [np.unique(rng.integers(0, 2**64, 50, dtype=np.uint64))]
+    stored = common.cut(spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(sets)], "cls long, hashes binary").repartition(3))
+    asked = stored.mapInArrow(jaccard_join._asked(7, 1500), "part long, pid long, blob binary").cache()
+    own = stored.mapInArrow(jaccard_join._asked(0, 1500), "part long, pid long, blob binary")
+    told = asked.groupBy("part").applyInPandas(jaccard_join._frequencies, "pid long, part long, blob binary").unionByName(own)
+    got: dict = {}
+    for r in told.groupBy("pid").applyInPandas(jaccard_join._prefixes(7), "h long, cls long").collect():
+        got.setdefault(r.cls, set()).add(r.h % 2**64)
+    df = Counter(int(h) for x in sets for h in x)
+    for k, x in enumerate(sets):
+        n, order = len(x), sorted(map(int, x), key=lambda h: (df[h], h))
+        first = order[: n - -(-7 * n // 10) + 1]
+        assert got.get(k, set()) == {h for h in first if df[h] > 1}
+    sent = asked.toPandas()
+    payloads, total = sent.pid.nunique(), sum(map(len, sets))
+    assert payloads > 5 and len(sent) <= 7 * payloads and sent.blob.map(len).sum() < 8 * total
+    asked.unpersist()
