@@ -15,6 +15,7 @@ Two documents link when 100 * |A and B| >= 70 * |A or B| for their sets of 3-wor
    A family over TILE members becomes an R-tree over many tasks: its members, in order of size class and first
    occupied coordinate, are cut into tiles of at most TILE members and about TILE_HASHES shingles, and only pairs of tiles whose boxes
    (over FINE groups) can hold a link are joined, each in a task of its own.
+   The sets go to families and tiles in one shuffle; only those of large families are sent again.
 5. Links are summed per class, weighted by the copies of the partner; components come from star contraction.
 
 Results are exact up to collisions of 64-bit hashes; nothing is capped or sampled.
@@ -171,7 +172,10 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     for k in range(len(rows)):
         if at[k + 1] > at[k]:
             e, c = np.unique(entry[at[k] : at[k + 1]], return_counts=True)
-            out.append((rows["pid"].iloc[k], False, e.astype(np.uint32).tobytes() + c.astype(np.uint32).tobytes()))
+            times = (c + 254) // 255  # a count that a byte can't hold is told in several
+            told = np.full(times.sum(), 255)
+            told[np.cumsum(times) - 1] = c - 255 * (times - 1)
+            out.append((rows["pid"].iloc[k], False, np.repeat(e, times).astype(np.uint16).tobytes() + told.astype(np.uint8).tobytes()))
     return pd.DataFrame(out, columns=["pid", "own", "blob"])
 
 
@@ -186,8 +190,8 @@ def _totals(rows: pd.DataFrame) -> pd.DataFrame:
     entry = np.frombuffer(body, np.uint32, n, at + 32 * n)
     total = np.frombuffer(body, np.uint32, m, at + 36 * n).astype(np.int64)
     for blob in rows.loc[~rows["own"], "blob"]:
-        k = len(blob) // 8
-        np.add.at(total, np.frombuffer(blob, np.uint32, k), np.frombuffer(blob, np.uint32, k, 4 * k).astype(np.int64))
+        k = len(blob) // 3
+        np.add.at(total, np.frombuffer(blob, np.uint16, k), np.frombuffer(blob, np.uint8, k, 2 * k).astype(np.int64))
     return pd.DataFrame({"doc_id": ids, "n": size, "s1": sig[:, 0], "s2": sig[:, 1], "shared": total[entry]})
 
 
@@ -374,24 +378,32 @@ def _join_block(rows: pd.DataFrame) -> pd.DataFrame:
 # --- the R-tree of a large family --------------------------------------------------------------------------------
 
 
-def _summaries(b: pa.RecordBatch):
-    """cls, family, n, slab (size class), first (first occupied coordinate of the finest grid, which is the smallest hash)."""
-    sets = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
+def _summaries(sets: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """n, slab (size class), first (first occupied coordinate of the finest grid, which is the smallest hash)."""
     n = np.array([len(x) for x in sets], np.int64)
     slab = np.floor(np.log(n) / np.log(1 / 0.7)).astype(np.int32)
-    first = np.array([int(x[0]) >> 1 for x in sets], np.int64)
-    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(slab), pa.array(first)], ["cls", "family", "n", "slab", "first"])
+    return {"n": n, "slab": slab, "first": np.array([int(x[0]) >> 1 for x in sets], np.int64)}
 
 
 def tiles(member: DataFrame, stored: DataFrame) -> DataFrame:
-    """cls, family, tile, n of the members of large families. Tiles are the tree's nodes: neighbours in size and in their first
-    occupied coordinate, so near copies come together."""
-    s = per_batch(member.join(stored, "cls").select("cls", "family", "hashes"), _summaries, "cls long, family long, n long, slab int, first long")
+    """cls, family, n, tile of the members of large families. Tiles are the tree's nodes: neighbours in size and in their first
+    occupied coordinate, so near copies come together. The sets stay where they are: their summaries are stored beside them."""
+    s = member.join(stored.select("cls", "n", "slab", "first"), "cls")
     order = [F.col(c) for c in ("family", "slab", "first", "n", "cls")]
     weight = F.greatest(F.lit(TILE_HASHES // TILE).cast("long"), F.col("n"))  # so a tile is bounded in members and in shingles
     return running(s, order, weight, "_at").withColumn("tile", F.expr(f"_at div {TILE_HASHES}")).drop("_at", "slab", "first")
 
 
+def place(member: DataFrame, stored: DataFrame) -> DataFrame:
+    """cls, copies, hashes, family, tile of the members of families, tile null in families up to TILE. The sets are brought
+    to their family and tile by one shuffle, whether there are large families or not."""
+    at = member.where(F.col("size") <= TILE).select("cls", "family", F.lit(None).cast("long").alias("tile"))
+    large = member.where(F.col("size") > TILE).select("cls", "family")
+    if not large.isEmpty():
+        at = at.unionByName(tiles(large, stored).select("cls", "family", "tile"))
+    return cut(at.join(stored.select("cls", "copies", "hashes"), "cls"))
+
+
 def _box(rows: pd.DataFrame) -> pd.DataFrame:
     """A tile's box: the largest count of any member in each of FINE groups, the smallest and the largest member."""
     box = np.zeros(FINE, np.int32)
@@ -403,12 +415,11 @@ def _box(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"family": rows["family"].iloc[:1], "tile": rows["tile"].iloc[:1], "low": min(sizes), "high": max(sizes), "box": [box.tolist()]})
 
 
-def tile_pairs(tiled: DataFrame, stored: DataFrame) -> DataFrame:
+def tile_pairs(boxes: DataFrame, others: DataFrame) -> DataFrame:
     """family, a, b: the pairs of tiles (a <= b) of one family whose boxes can hold a link: summed coordinate minima of
     the boxes and the largest sizes must reach what their smallest members need."""
-    box = cut(tiled.join(stored, "cls").select("family", "tile", "hashes").groupBy("family", "tile").applyInPandas(_box, "family long, tile long, low long, high long, box array<int>"))
-    side = lambda t: box.select("family", *[F.col(c).alias(f"{c}_{t}") for c in ("tile", "low", "high", "box")])
-    j = side("a").join(side("b"), "family").where("tile_a <= tile_b")
+    side = lambda box, t: box.select("family", *[F.col(c).alias(f"{c}_{t}") for c in ("tile", "low", "high", "box")])
+    j = side(boxes, "a").join(side(others, "b"), "family").where("tile_a <= tile_b")
     least = F.expr("(7 * (low_a + low_b) + 16) div 17")
     over = F.aggregate(F.zip_with("box_a", "box_b", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda acc, x: acc + x)
     sized = (F.least("high_a", "high_b") >= least) & (10 * F.col("high_a") >= 7 * F.col("low_b")) & (10 * F.col("high_b") >= 7 * F.col("low_a"))
@@ -416,17 +427,12 @@ def tile_pairs(tiled: DataFrame, stored: DataFrame) -> DataFrame:
     return j.where(keep).select("family", F.col("tile_a").alias("a"), F.col("tile_b").alias("b"))
 
 
-def tree_blocks(member: DataFrame, stored: DataFrame) -> DataFrame:
-    """cls, family, block, left, tiled of the members of large families: a block is a pair of tiles."""
-    if member.isEmpty():
-        return member.select("cls", "family", F.lit("").alias("block"), F.lit(True).alias("left"), F.lit(True).alias("tiled"))
-    tiled = cut(tiles(member, stored))
-    pairs = cut(tile_pairs(tiled, stored))
-    name = F.concat_ws("/", "family", "a", "b").alias("block")
-    own = tiled.select("cls", "family", "tile")
-    left = own.join(pairs.withColumnRenamed("a", "tile").withColumn("a", F.col("tile")), ["family", "tile"]).select("cls", "family", name, F.lit(True).alias("left"), F.lit(True).alias("tiled"))
-    right = own.join(pairs.where("a < b").withColumnRenamed("b", "tile").withColumn("b", F.col("tile")), ["family", "tile"]).select("cls", "family", name, F.lit(False).alias("left"), F.lit(True).alias("tiled"))
-    return left.unionByName(right)
+def tree_blocks(placed: DataFrame) -> DataFrame:
+    """cls, copies, hashes, family, block, left, tiled of the placed members of large families: a block is a pair of tiles."""
+    boxes = cut(placed.select("family", "tile", "hashes").groupBy("family", "tile").applyInPandas(_box, "family long, tile long, low long, high long, box array<int>"))
+    pairs = cut(tile_pairs(boxes, boxes))
+    side = lambda p, t, left: p.select("family", F.col(t).alias("tile"), F.concat_ws("/", "family", "a", "b").alias("block"), F.lit(left).alias("left"), F.lit(True).alias("tiled"))
+    return placed.join(side(pairs, "a", True).unionByName(side(pairs.where("a < b"), "b", False)), ["family", "tile"]).drop("tile")
 
 
 # --- the join ------------------------------------------------------------------------------------------------
@@ -453,11 +459,13 @@ def link(docs: DataFrame) -> DataFrame:
     def sets(b: pa.RecordBatch, memo={}):  # noqa: B006
         # rows of one doc_id may have several texts: a class takes those with its own set
         hs = [shingles(t, memo) for t in b.column(1).to_pylist()]
-        own = pa.array([signature(h) == s for h, s in zip(hs, zip(b.column(3).to_pylist(), b.column(4).to_pylist()))], pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column(5), b.column(2), pa.array([h.tobytes() for h in hs], pa.binary())], ["cls", "copies", "hashes"]).filter(own)
+        own = [signature(h) == s for h, s in zip(hs, zip(b.column(3).to_pylist(), b.column(4).to_pylist()))]
+        hs, kept = [h for h, o in zip(hs, own) if o], b.filter(pa.array(own, pa.bool_()))
+        facts = {"cls": kept.column(5), "copies": kept.column(2), "hashes": pa.array([h.tobytes() for h in hs], pa.binary())}
+        yield pa.RecordBatch.from_pydict(facts | {k: pa.array(v) for k, v in _summaries(hs).items()})
 
     def hashed(rows: DataFrame) -> DataFrame:
-        return per_batch(rows.select("doc_id", "text", "copies", "s1", "s2", "cls"), sets, "cls long, copies long, hashes binary")
+        return per_batch(rows.select("doc_id", "text", "copies", "s1", "s2", "cls"), sets, "cls long, copies long, hashes binary, n long, slab int, first long")
 
     chosen = texts.join(live, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "copies", "s1", "s2", "cls")
     repeated = cut(chosen.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"))
@@ -486,9 +494,13 @@ def link(docs: DataFrame) -> DataFrame:
     sizes = cut(family.groupBy("root").agg(F.count("*").alias("size")))
     bins = max(1, (family.count() + TILE - 1) // TILE)
     member = attach(family.select(F.col("v").alias("cls"), F.col("root").alias("family")), sizes.withColumnRenamed("root", "family"), ["family"], "size", F.struct("cls"))
-    big = tree_blocks(member.where(F.col("size") > TILE).select("cls", "family"), stored)
-    small = member.where(F.col("size") <= TILE).select("cls", "family", F.concat_ws("/", F.lit("b"), F.pmod(F.xxhash64("family"), F.lit(bins))).alias("block"), F.lit(True).alias("left"), F.lit(False).alias("tiled"))
-    blocks = small.unionByName(big).join(stored, "cls")
+    placed = place(member, stored)
+    del family, member, prefix, sizes, stored  # their checkpoints can go, too
+    release(docs.sparkSession)
+    blocks = placed.where("tile is null").select("cls", "copies", "hashes", "family", F.concat_ws("/", F.lit("b"), F.pmod(F.xxhash64("family"), F.lit(bins))).alias("block"), F.lit(True).alias("left"), F.lit(False).alias("tiled"))
+    large = placed.where("tile is not null")
+    if not large.isEmpty():
+        blocks = blocks.unionByName(tree_blocks(large))
     linked = cut(blocks.groupBy("block").applyInPandas(_join_block, "cls long, links long, root long, tiled boolean"))
     roots = linked.where("not tiled").select("cls", "root")
     tiled = linked.where("tiled").select(F.col("cls").alias("u"), F.col("root").alias("v"))

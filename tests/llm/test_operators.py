@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from compare import connect, rows
 from pyspark.sql import functions as F
@@ -770,6 +771,65 @@ def test_tree_prunes_tiles_of_a_giant_family(spark, monkeypatch):
     assert max(counts) >= 10 and joined < 0.7 * every
 
 
+def shuffled(spark, work):
+    """Bytes that work() writes to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(60_000)
+        found = sc.statusStore().stageList(None, False, False, spark._jvm.PythonUtils.toSeq([]).toArray(spark._jvm.scala.reflect.ClassTag.Double()), None)
+        return [found.apply(k) for k in range(found.size())]
+
+    last = max([-1, *(s.stageId() for s in stages())])
+    work()
+    return sum(s.shuffleWriteBytes() for s in stages() if s.stageId() > last)
+
+
+def test_large_family_moves_no_sets_of_others(spark, monkeypatch):
+    """Boxes and tiles of a large family of short texts are made without sending the long sets of small families again."""
+    rng = random.Random(8)
+    w = [str(i) for i in range(80)]
+    texts = [" ".join(w[:k] + [f"n{k}"] + w[k + 1 :]) for k in range(60)]
+    for k in range(40):
+        long = [f"{k}_{rng.randrange(10**6)}" for _ in range(5000)]
+        texts += [" ".join(long), " ".join(long[:-1] + ["end"])]
+    docs = make(spark, texts)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    got = []
+    try:
+        plain = shuffled(spark, lambda: got.append(sorted(map(tuple, jaccard_join.link(docs).collect()))))
+        monkeypatch.setattr(jaccard_join, "TILE", 8)
+        monkeypatch.setattr(jaccard_join, "TILE_HASHES", 640)
+        tiled = shuffled(spark, lambda: got.append(sorted(map(tuple, jaccard_join.link(docs).collect()))))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    sets = 80 * 4998 * 8
+    assert got[0] == got[1] and [r[2] for r in got[0]] == [59] * 60 + [1] * 80
+    assert plain > 3 * sets and tiled - plain < 0.5 * sets
+
+
+def test_shared_counts_take_three_bytes():
+    """What a part tells a payload has three bytes a class, and more only for counts over 255; sums are whole."""
+    rng = np.random.default_rng(3)
+    own = [Counter({e: int(c) for e, c in enumerate(rng.integers(1, 4, 50))} | {7: 1000, 9: 255, 11: 256, 65000: 2}), Counter({0: 2000})]
+    n = sum(own[0].values())
+    low = [rng.permutation(n).astype(np.uint32), np.arange(n, n + 2000, dtype=np.uint32)]
+    low[1][:1] = 0  # the second payload shares only this one
+    parts = [np.array(sorted(c.elements()), np.uint16) for c in own]
+    third = (np.arange(1, n, dtype=np.uint32), np.zeros(n - 1, np.uint16))  # has all of the first one's hashes but this one
+    rows = pd.DataFrame({"part": 0, "pid": [1, 2, 3], "blob": [a.tobytes() + b.tobytes() for a, b in [*zip(low, parts), third]]})
+    told = jaccard_join._shared(rows)
+    size = {pid: sum(map(len, g)) for pid, g in told.groupby("pid")["blob"]}
+    assert size[1] <= 3 * (len(own[0]) + 1000 // 255 + 1) and size[2] == 3
+    m = 65001
+    zero = np.zeros(m, np.int64).tobytes()
+    body = np.array([m, m], np.uint32).tobytes() + 4 * zero + np.arange(m, dtype=np.uint32).tobytes() + np.zeros(m, np.uint32).tobytes()
+    both = pd.concat([told[told.pid == 1], pd.DataFrame({"pid": [1], "own": True, "blob": [body]})])
+    got = jaccard_join._totals(both)["shared"]
+    assert {e: c for e, c in enumerate(got) if c} == dict(own[0])
+
+
 def test_parts_stay_bounded_at_every_volume():
     for hashes in (0, 10**6, 10**9, 10**11, 10**13, 2 * 10**13):
         parts, flush = jaccard_join.shape(hashes)
