@@ -8,7 +8,10 @@ closed-form centroid updates, on a bounded sample (SAMPLE rows with the smallest
 indexed. A search scans the packed codes with integer lookup tables, two codes a byte, and the best RERANK vectors of
 every block are scored again on the original vectors in double precision. Equal vectors are one candidate with all
 their ids, so copies push nothing out, and every vector whose quantised score equals the last of the best is scored
-again too, so the order of the rows decides nothing.
+again too, so the order of the rows decides nothing. The index also holds the cosine of each vector and its
+reconstruction; with the quantised score it bounds the true score (angles obey the triangle inequality), and each
+vector whose bound reaches the k-th best found so far is scored again as well. So codes only exclude what can't be
+among the k best: tight clusters, or vectors that share a large common part, cost more time and lose no neighbour.
 
 The query set is compared with all rows in blocks of (query group x row block), so no task holds more than one of
 each, and a block returns k rows a query.
@@ -33,6 +36,7 @@ from .common import cut, sample, table
 
 SUB, CENTROIDS, SAMPLE, ETA, RERANK = 2, 16, 20000, 2.6, 128
 ROWS, QUERIES, SEED, SAMPLE_COMPONENTS = 16384, 8192, 7, 8_000_000
+FEW = 512  # more candidates than these are scored by one matrix product first
 
 
 def _split(x: np.ndarray) -> np.ndarray:
@@ -95,15 +99,33 @@ def encode(x: np.ndarray, books: np.ndarray) -> np.ndarray:
     return codes[:, 0::2] | (codes[:, 1::2] << 4)
 
 
-def tables(q: np.ndarray, books: np.ndarray) -> np.ndarray:
-    """Lookup tables of the queries, queries x bytes x 256, as 16-bit integers with one scale a query."""
+def _unpack(packed: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Codes, rows x subspaces."""
+    return np.stack((packed & 15, packed >> 4), 2).reshape(len(packed), -1)[:, : len(books)]
+
+
+def lengths(packed: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Lengths of the reconstructed vectors."""
+    return np.sqrt((books**2).sum(2)[np.arange(len(books)), _unpack(packed, books)].sum(1))
+
+
+def fidelity(x: np.ndarray, packed: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Cosine of each unit vector and its reconstruction, 0 where that has no length."""
+    dot = (_split(x) * books[np.arange(len(books)), _unpack(packed, books)]).sum((1, 2))
+    size = lengths(packed, books)
+    return np.clip(dot / np.where(size > 0, size, 1), -1, 1)
+
+
+def tables(q: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lookup tables of the queries, queries x bytes x 256, as 16-bit integers, and what 1 stands for in each query's."""
     t = np.einsum("qms,mcs->qmc", _split(q), books)
     if t.shape[1] % 2:
         t = np.pad(t, ((0, 0), (0, 1), (0, 0)))
     lut = t[:, 0::2, None, :] + t[:, 1::2, :, None]  # high code first: byte = low | high << 4
     lut = lut.reshape(len(q), lut.shape[1], 256)
     scale = np.abs(lut).max((1, 2), keepdims=True) * lut.shape[1]
-    return np.round(lut / np.where(scale > 0, scale, 1) * 32000).astype(np.int16)
+    scale = np.where(scale > 0, scale, 1)
+    return np.round(lut / scale * 32000).astype(np.int16), scale[:, 0, 0] / 32000
 
 
 def collapse(x: np.ndarray, xid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,17 +138,24 @@ def collapse(x: np.ndarray, xid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return order, start, order[start[:-1]]
 
 
-def search_block(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, score) of the k best per query in one block. q, x: original vectors."""
+def search_block(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int, rerank: int, fit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate row, score) of the k best per query in one block. q, x: original vectors; fit: their fidelity,
+    without which only the best by quantised score are scored again."""
     unit = q / np.linalg.norm(q, axis=1, keepdims=True)
     member, start, one = collapse(x, xid)
     ids, size = xid[member], np.diff(start)
     x = x[one]
     norms = np.linalg.norm(x, axis=1)
     by_byte = np.ascontiguousarray(codes[one].T)
+    if fit is not None:
+        fit, made = fit[one], lengths(codes[one], books)
+        off, known = np.sqrt(1 - fit**2), made > 0
+        made = np.where(known, made, 1)
+        first, last = ids[start[:-1]], ids[start[1:] - 1]
     out = ([], [], [])
     for lo in range(0, len(q), 64):
-        lut = tables(unit[lo : lo + 64], books)
+        lut, worth = tables(unit[lo : lo + 64], books)
+        cosines = None
         for i in range(len(lut)):
             score = lut[i, 0].take(by_byte[0])
             for b in range(1, len(by_byte)):
@@ -134,7 +163,25 @@ def search_block(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray,
             r = rerank + 1  # one may be the query itself
             best = np.flatnonzero(score >= np.partition(score, len(score) - r)[len(score) - r]) if len(score) > r else np.arange(len(score))
             v = q[lo + i]
-            exact = (x[best] * v).sum(1) / (norms[best] * np.sqrt((v * v).sum()))
+            length = np.sqrt((v * v).sum())
+            exact = (x[best] * v).sum(1) / (norms[best] * length)
+            if fit is not None and len(best) < len(score):
+                others = (first != qid[lo + i]) | (last != qid[lo + i])  # vectors that aren't the query's id alone
+                found = exact[others[best]]
+                least = np.partition(found, len(found) - k)[len(found) - k] if len(found) >= k else -2.0
+                a = np.clip((score + len(by_byte) / 2) * worth[i] / made, -1, 1)  # each looked-up value is rounded
+                bound = np.where((a >= fit) | ~known, 1.0, a * fit + np.sqrt(1 - a * a) * off)
+                bound[best] = -3
+                more = np.flatnonzero(bound >= least - 1e-7)
+                if len(more) > FEW:
+                    if cosines is None:
+                        cosines = (unit[lo : lo + 64] @ x.T) / norms
+                    c = cosines[i, more]
+                    sure = c[others[more]]
+                    if len(sure) >= k:
+                        least = max(least, np.partition(sure, len(sure) - k)[len(sure) - k])
+                    more = more[c >= least - 1e-9]
+                best, exact = np.append(best, more), np.append(exact, (x[more] * v).sum(1) / (norms[more] * length))
             if (size[best] == 1).all():
                 rows, scores = start[best], exact
             else:  # of each vector the k smallest ids that aren't the query's
@@ -182,10 +229,11 @@ def _search(base: DataFrame, d: int, is_query, k: int, rerank: int, train_rows:
             if not b.num_rows:
                 continue
             a = np.array(b.column(1).to_pylist())
-            packed = encode(a / np.linalg.norm(a, axis=1, keepdims=True), books)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array([r.tobytes() for r in a], pa.binary())], ["id", "code", "v"])
+            unit = a / np.linalg.norm(a, axis=1, keepdims=True)
+            packed = encode(unit, books)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(fidelity(unit, packed, books)), pa.array([r.tobytes() for r in a], pa.binary())], ["id", "code", "fit", "v"])
 
-    indexed = cut(base.select("id", "v").mapInArrow(index, "id long, code binary, v binary"))
+    indexed = cut(base.select("id", "v").mapInArrow(index, "id long, code binary, fit double, v binary"))
     n = indexed.count()
     n_queries = indexed.where(is_query).count()
     blocks, groups = -(-n // ROWS), max(1, -(-n_queries // QUERIES))
@@ -200,7 +248,7 @@ def _search(base: DataFrame, d: int, is_query, k: int, rerank: int, train_rows:
         q, x = mat(queries["v"]), mat(rows["v"])
         codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
         qid, xid = queries["id"].to_numpy(), rows["id"].to_numpy()
-        a, b, s = search_block(q, qid, x, xid, codes, books, k, rerank)
+        a, b, s = search_block(q, qid, x, xid, codes, books, k, rerank, rows["fit"].to_numpy())
         return pd.DataFrame({"query_id": qid[a], "query": queries["query"].to_numpy()[a], "vec_id": xid[b], "score": s})
 
     found = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(score, schema)

@@ -513,6 +513,22 @@ def test_ann_recall_at_20000(spark):
     assert lost < 0.2
 
 
+@pytest.mark.parametrize("kind", ["tight clusters", "a common part", "heavy tails", "few dimensions"])
+def test_ann_finds_the_nearest_of_other_rows(kind):
+    """Rows whose quantised scores say little: nearest vectors are found all the same."""
+    rng = np.random.default_rng(3)
+    n = lambda *shape: rng.normal(size=shape)
+    x = {"tight clusters": lambda: n(10, 32)[rng.integers(0, 10, 6000)] + 0.05 * n(6000, 32), "a common part": lambda: 0.1 * n(6000, 32) + 3, "heavy tails": lambda: n(6000, 32) ** 3, "few dimensions": lambda: n(6000, 3) @ n(3, 32)}[kind]()
+    unit, ids, at = x / np.linalg.norm(x, axis=1, keepdims=True), rng.permutation(6000), np.arange(0, 6000, 50)
+    books = ann.train(unit[:2000])
+    codes = ann.encode(unit, books)
+    a, b, _ = ann.search_block(x[at], ids[at], x, ids, codes, books, 5, ann.RERANK, ann.fidelity(unit, codes, books))
+    for i, q in enumerate(at):
+        s = unit @ unit[q]
+        s[q] = -9
+        assert set(b[a == i]) == set(np.argsort(-s)[:5])
+
+
 def test_pii_mentions_take_linear_time():
     import time
 
