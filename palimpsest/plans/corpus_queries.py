@@ -312,12 +312,8 @@ def table_html(spark, d):
     return o.select("l_orderkey", n("<tr>").alias("rows"), n("<t[dh][ >]").alias("cells"), n("<thead>").alias("heads"))
 
 
-_REL = ("tables", "metrics", "cells", "shapes")
-
-
-def table_relations(spark, d) -> dict[str, DataFrame]:
-    docs = order_tables(spark, d)
-    return {n: E.relation(docs, n, "l_orderkey") for n in _REL}
+def table_relation(spark, d, name: str) -> DataFrame:
+    return E.relation(order_tables(spark, d), name, "l_orderkey")
 
 
 _G = f"""WITH {_CELLS}, n AS (SELECT l_orderkey, max(l_linenumber) AS rows FROM lineitem GROUP BY 1), g AS (SELECT l_orderkey, rows, 2 AS cols, rows * 2 AS capacity, count(*) AS cells, count(DISTINCT r * 2 + col) AS places, count(*) FILTER (r < 2 AND col < rows) AS swapped, max(r) AS top_row, max(col) AS top_col, min(r) AS low_row, min(col) AS low_col FROM n JOIN c USING (l_orderkey) GROUP BY ALL) """
@@ -325,15 +321,13 @@ _G = f"""WITH {_CELLS}, n AS (SELECT l_orderkey, max(l_linenumber) AS rows FROM
 
 @query(_G + "SELECT l_orderkey, rows::INT AS rows, 2::INT AS cols, capacity::BIGINT AS capacity, cells::BIGINT AS cells, places::BIGINT AS places, cells::BIGINT AS inside, swapped::BIGINT AS inside_swapped, places = capacity AS complete FROM g")
 def table_grids(spark, d):
-    r = table_relations(spark, d)
-    return S.grid_report(r["tables"], r["cells"], "l_orderkey").select("l_orderkey", "rows", "cols", "capacity", "cells", "places", "inside", "inside_swapped", "complete")
+    return table_relation(spark, d, "grids").select("l_orderkey", "rows", "cols", "capacity", "cells", "places", "inside", "inside_swapped", "complete")
 
 
 @query(_G + """SELECT count(*)::BIGINT AS tables, sum(capacity)::BIGINT AS capacity, sum(cells)::BIGINT AS cells, sum(cells)::BIGINT AS inside, count(*)::BIGINT AS tables_all_inside, count(*) FILTER (low_row = 0)::BIGINT AS low_row_zero, count(*) FILTER (low_col = 0)::BIGINT AS low_col_zero, count(*) FILTER (top_row = rows - 1)::BIGINT AS top_row_matches, count(*) FILTER (top_col = 1)::BIGINT AS top_col_matches,
 count(*) FILTER (places = capacity)::BIGINT AS complete, sum(cells - places)::BIGINT AS duplicates, sum(swapped)::BIGINT AS inside_swapped, coalesce(sum(cells) FILTER (rows <> 2), 0)::BIGINT AS cells_differing, coalesce(sum(swapped) FILTER (rows <> 2), 0)::BIGINT AS inside_swapped_differing FROM g""")
 def coordinate_report(spark, d):
-    r = table_relations(spark, d)
-    return S.coordinate_report(S.grid_report(r["tables"], r["cells"], "l_orderkey"))
+    return S.coordinate_report(table_relation(spark, d, "grids"))
 
 
 _M = """WITH n AS (SELECT l_orderkey, max(l_linenumber) AS own FROM lineitem GROUP BY 1), m AS (SELECT l_orderkey, own, count(*) AS n, count(DISTINCT l_linenumber) AS dist, count(*) FILTER (l_linenumber - 1 < 2) AS other, count(*) FILTER (200 + l_quantity = 300) AS same FROM lineitem JOIN n USING (l_orderkey) GROUP BY ALL) """
@@ -342,15 +336,13 @@ _M = """WITH n AS (SELECT l_orderkey, max(l_linenumber) AS own FROM lineitem GRO
 @query(_M + """SELECT sum(n)::BIGINT AS records, sum(n)::BIGINT AS compared, sum(n)::BIGINT AS inside, count(*)::BIGINT AS tables_all_inside, count(*) FILTER (dist = own)::BIGINT AS tables_complete, count(*)::BIGINT AS tables_top_matches, sum(n - dist)::BIGINT AS duplicates, sum(other)::BIGINT AS inside_other, count(*) FILTER (other = n)::BIGINT AS tables_all_inside_other,
 coalesce(sum(n) FILTER (own <> 2), 0)::BIGINT AS compared_differing, coalesce(sum(other) FILTER (own <> 2), 0)::BIGINT AS inside_other_differing, sum(same)::BIGINT AS default_extent, sum(n)::BIGINT AS default_gutter FROM m""")
 def row_index_report(spark, d):
-    r = table_relations(spark, d)
-    return S.index_report(r["tables"], r["metrics"], "row", "l_orderkey")
+    return S.index_totals(table_relation(spark, d, "indexes").where("family = 'row'"))
 
 
 @query(_M + """SELECT (2 * count(*))::BIGINT AS records, (2 * count(*))::BIGINT AS compared, (2 * count(*))::BIGINT AS inside, count(*)::BIGINT AS tables_all_inside, count(*)::BIGINT AS tables_complete, count(*)::BIGINT AS tables_top_matches, 0::BIGINT AS duplicates, sum(least(own, 2))::BIGINT AS inside_other, count(*) FILTER (own >= 2)::BIGINT AS tables_all_inside_other,
 (2 * count(*) FILTER (own <> 2))::BIGINT AS compared_differing, coalesce(sum(least(own, 2)) FILTER (own <> 2), 0)::BIGINT AS inside_other_differing, (2 * count(*))::BIGINT AS default_extent, (2 * count(*))::BIGINT AS default_gutter FROM m""")
 def column_index_report(spark, d):
-    r = table_relations(spark, d)
-    return S.index_report(r["tables"], r["metrics"], "column", "l_orderkey")
+    return S.index_totals(table_relation(spark, d, "indexes").where("family = 'column'"))
 
 
 _X = f"""WITH l AS (SELECT l_orderkey, l_linenumber, (200 + l_quantity + 10)::BIGINT AS h, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS k FROM lineitem),
@@ -359,30 +351,28 @@ x AS (SELECT l_orderkey, max(l_linenumber) AS n, sum(h) FILTER (k = 1) AS own, c
 
 @query(_X + "SELECT l_orderkey, height::BIGINT AS height, width::BIGINT AS width, outer_height::BIGINT AS outer_height, outer_width::BIGINT AS outer_width, tail::BIGINT AS tail_1, tail::BIGINT AS tail_2 FROM e")
 def table_extents(spark, d):
-    r = table_relations(spark, d)
-    return S.extents(r["tables"], r["metrics"], "l_orderkey").drop("table_no")
+    return table_relation(spark, d, "extents").drop("table_no")
 
 
 @query(_X + "SELECT count(*)::BIGINT AS tables, count(*)::BIGINT AS equal_tails, count(*)::BIGINT AS compared, count(*) FILTER (outer_height - height = tail)::BIGINT AS height_exact, count(*) FILTER (abs(outer_height - height - tail) <= 3)::BIGINT AS height_near, count(*)::BIGINT AS width_exact, count(*)::BIGINT AS width_near FROM e")
 def tail_report(spark, d):
-    r = table_relations(spark, d)
-    return S.tail_report(S.extents(r["tables"], r["metrics"], "l_orderkey"))
+    return S.tail_report(table_relation(spark, d, "extents"))
 
 
 @query(f"""WITH {_CELLS} SELECT count(*)::BIGINT AS records, count(*) FILTER (odd)::BIGINT AS alignment_observations, count(*) FILTER (odd AND fl = 16)::BIGINT AS alignment_matches, count(*)::BIGINT AS content_flag_with_text, 0::BIGINT AS content_flag_without_text, 0::BIGINT AS text_without_content_flag, 0::BIGINT AS content_flag_other,
 count(*) FILTER (l_partkey % 7 = 0)::BIGINT AS protected, 0::BIGINT AS protected_other, count(*) FILTER (l_partkey % 12 <> 0 AND l_partkey % 3 <> 0)::BIGINT AS shaded_with_r0, count(*) FILTER (l_suppkey * 100 > 65535)::BIGINT AS wide_borders, count(*)::BIGINT AS r1_zero, count(*)::BIGINT AS r2_zero, 0::BIGINT AS with_lines_after FROM c""")
 def cell_field_report(spark, d):
-    return S.cell_field_report(table_relations(spark, d)["cells"])
+    return S.cell_field_report(table_relation(spark, d, "cells"))
 
 
 @query(f"WITH {_CELLS} SELECT (nib // 4)::INT AS nibble, ((l_suppkey * 100) >> nib & 15)::BIGINT AS value, count(*)::BIGINT AS n FROM c, (VALUES (0), (4), (8), (12)) v(nib) GROUP BY ALL")
 def border_nibbles(spark, d):
-    return S.border_nibbles(table_relations(spark, d)["cells"]).withColumn("nibble", F.col("nibble").cast("int"))
+    return S.border_nibbles(table_relation(spark, d, "cells")).withColumn("nibble", F.col("nibble").cast("int"))
 
 
 @query("SELECT * FROM (SELECT 'tbl' AS family, 9 AS arity, count(DISTINCT l_orderkey)::BIGINT AS records, count(DISTINCT l_orderkey)::BIGINT AS canonical FROM lineitem UNION ALL SELECT 'h', 7, count(*)::BIGINT, count(*)::BIGINT FROM lineitem UNION ALL SELECT 'w', 5, (2 * count(DISTINCT l_orderkey))::BIGINT, (2 * count(DISTINCT l_orderkey))::BIGINT FROM lineitem) WHERE records >= 5")
 def record_shapes(spark, d):
-    return S.record_shapes(table_relations(spark, d)["shapes"])
+    return S.record_shapes(table_relation(spark, d, "shapes"))
 
 
 def _merge_tables(spark, d) -> DataFrame:
@@ -460,7 +450,7 @@ def indent_report(spark, d):
 @query()
 def corpus_report(spark, d):
     """The whole report over tables, regions and indents, a struct per part."""
-    r = {n: E.stored(x.withColumnRenamed("l_orderkey", "key")) for n, x in table_relations(spark, d).items()}
+    r = {n: E.stored(table_relation(spark, d, n).withColumnRenamed("l_orderkey", "key")) for n in ("indexes", "grids", "extents", "cells")}
     docs = _region_documents(spark, d)
     r |= {n: E.stored(E.relation(docs, n, "o_custkey").withColumnRenamed("o_custkey", "key")) for n in ("commands", "layouts")}
     return S.corpus_report(r, "key")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..parsing import packages, render
+from ..parsing import packages, quick, render
 from ..parsing.document import parse
 from ..parsing.envelope import Limits, Rejected
 from ..parsing.inline import Char
@@ -112,6 +112,48 @@ def _shapes(doc: Document):
             yield k, family, arity, v is not None
 
 
+def _grids(doc: Document):
+    """statistics.grid_report, a table at a time."""
+    for k, t in enumerate(doc.tables):
+        rows, cols = t["definition"][:2] if t["definition"] else (None, None)
+        places = [c["place"] for c in t["cells"]]
+        kinds, inside, swapped, top, low = set(places), 0, 0, (None, None), (None, None)
+        if places:
+            r, c = [p[0] for p in places], [p[1] for p in places]
+            top, low = (max(r), max(c)), (min(r), min(c))
+            if rows is not None:
+                inside = len(places) if top[0] < rows and top[1] < cols else sum(a < rows and b < cols for a, b in places)
+                swapped = sum(a < cols and b < rows for a, b in places)
+        capacity = None if rows is None else rows * cols
+        yield k, rows, cols, capacity, len(places), len(kinds), inside, swapped, *top, *low, bool(places) and capacity is not None and len(kinds) == capacity and inside == len(places)
+
+
+def _indexes(doc: Document):
+    """What statistics.index_report sums up, for each table's row and column metrics."""
+    for k, t in enumerate(doc.tables):
+        d = t["definition"]
+        for family, name, own, other in (("h", "row", 0, 1), ("w", "column", 1, 0)):
+            v = [x for f, _, x, _ in t["shapes"] if f == family and x]
+            if not v:
+                continue
+            index = [x[0] for x in v]
+            facts = [d[own], d[other]] + [len(set(index)), max(index), *(sum(i < most for i in index) for most in (d[own], d[other])), sum(x[1] == d[2 + 2 * own] for x in v), sum(x[2] == d[3 + 2 * own] for x in v)] if d else [None, None, len(set(index)), max(index), 0, 0, 0, 0]
+            yield k, name, len(v), *facts
+
+
+def _extents(doc: Document):
+    """statistics.extents, a table at a time."""
+    for k, t in enumerate(doc.tables):
+        if not (d := t["definition"]):
+            continue
+        size = []
+        for family, n in (("h", 0), ("w", 1)):
+            own = {v[0]: v[1] + v[2] for f, _, v, _ in t["shapes"] if f == family and v and v[0] < d[n]}  # the last holds
+            size.append(sum(own.values()) + (d[n] - len(own)) * (d[2 + 2 * n] + d[3 + 2 * n]))
+        left, top, right, bottom = (t["bounds"] + [None] * 4)[:4]
+        yield k, *size, None if None in (top, bottom) else bottom - top, None if None in (left, right) else right - left, d[7], d[8]
+
+
 def _assets(doc: Document):
     for a in doc.assets:
         yield a["id"], a["ext"], a["at"], a["size"], a["verified"], a["sha256"], a["status"], a["frame"]
@@ -176,12 +218,17 @@ RELATIONS = {
     "metrics": (_metrics, "table_no int, record_no int, family string, index long, extent long, gutter long, flags long, reserved array<bigint>, accepted boolean"),
     "cells": (_cells, "table_no int, ordinal int, row long, col long, fields array<bigint>, row_span int, col_span int, covered boolean, raw_empty boolean, material int, alignments array<string>, lines_after int, text string"),
     "shapes": (_shapes, "table_no int, family string, arity int, canonical boolean"),
+    "grids": (_grids, "table_no int, rows int, cols int, capacity long, cells long, places long, inside long, inside_swapped long, top_row long, top_col long, low_row long, low_col long, complete boolean"),
+    "indexes": (_indexes, "table_no int, family string, n long, own int, other int, distinct long, top long, inside long, inside_other long, default_extent long, default_gutter long"),
+    "extents": (_extents, "table_no int, height long, width long, outer_height long, outer_width long, tail_1 long, tail_2 long"),
     "assets": (_assets, "asset string, ext string, at long, size long, verified boolean, sha256 string, status string, frame_no int"),
     "ranges": (_ranges, "kind string, lo long, hi long"),
     "commands": (_commands, "at int, end_at int, kind string, values array<bigint>, unit int, unit_lo int, unit_hi int, material int, before_material boolean"),
     "fonts": (_fonts, "source string, family string"),
     "footnote_options": (lambda d: [tuple(d.footnotes.values())] if d.footnotes else [], "page_end boolean, reset boolean, line boolean, start int, separator_in double, indent_in double, unknown_bits int"),
 }
+#: Relations of nothing but the tables, which documents of a plain form give without a whole parse.
+TABULAR = frozenset(("tables", "metrics", "cells", "shapes", "grids", "indexes", "extents"))
 _FAILED = len(RELATIONS["documents"][1].split(", ")) - 3
 
 
@@ -224,12 +271,16 @@ def relation(docs: DataFrame, name: str, key: str = "doc_id", encoding: str | No
     fn, ddl = RELATIONS[name]
     lim = Limits().lowered(**limits)
     errors = name == "documents"
+    plain = name in TABULAR and lim == Limits() and encoding is None
 
     def each(content):
         if content is None:
             if errors:
                 yield ("error", "unreadable", None, *[None] * _FAILED)
             return
+        if plain and (doc := quick.tables(bytes(content))):
+            yield from fn(doc)
+            return
         try:
             doc = parse(bytes(content), lim, encoding)
         except Rejected as e:

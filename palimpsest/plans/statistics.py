@@ -35,6 +35,11 @@ def index_report(tables: DataFrame, metrics: DataFrame, family: str, key: str =
         F.count("*").alias("n"), F.first("own").alias("own"), F.first("other").alias("other"), F.countDistinct("index").alias("distinct"), F.max("index").alias("top"),
         n_if(F.col("index") < F.col("own")).alias("inside"), n_if(F.col("index") < F.col("other")).alias("inside_other"), n_if(F.col("extent") == F.col("size")).alias("default_extent"), n_if(F.col("gutter") == F.col("gap")).alias("default_gutter"),
     )
+    return index_totals(per)
+
+
+def index_totals(per: DataFrame) -> DataFrame:
+    """One row over the tables' metrics of one family (the relation indexes)."""
     known, differ = F.col("own").isNotNull(), F.col("own") != F.col("other")
     total = lambda c, when=known: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).cast("long")
     return per.agg(
@@ -179,10 +184,11 @@ def indent_report(commands: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def corpus_report(relations: dict[str, DataFrame], key: str = "doc_id") -> DataFrame:
-    """The whole report, one row with a struct per part; every part is one row already."""
-    t, m, c = relations["tables"], relations["metrics"], relations["cells"]
+    """The whole report, one row with a struct per part; every part is one row already. Of tables it needs the relations that
+    have a row a table (indexes, grids, extents), and their cells."""
+    i, c = relations["indexes"], relations["cells"]
     parts = {
-        "row_index": index_report(t, m, "row", key), "column_index": index_report(t, m, "column", key), "coordinates": coordinate_report(grid_report(t, c, key)), "merges": merge_report(c), "tails": tail_report(extents(t, m, key)), "cell_fields": cell_field_report(c),
+        "row_index": index_totals(i.where("family = 'row'")), "column_index": index_totals(i.where("family = 'column'")), "coordinates": coordinate_report(relations["grids"]), "merges": merge_report(c), "tails": tail_report(relations["extents"]), "cell_fields": cell_field_report(c),
         "regions": region_report(region_observations(relations["commands"], relations["layouts"], key)), "indents": indent_report(relations["commands"], key), "shading": distribution(c.select(F.col("fields")[5].alias("v")), "v"),
     }
     out = None

@@ -417,3 +417,48 @@ def test_a_set_of_any_number_of_documents_is_accepted(spark):
     assert tuple(legacy.enumeration(many).first()) == (100_001, 0, 0, 0, True)
     assert not legacy.enumeration(many, cap=99_999).first()["accepted"]
     assert not legacy.enumeration(many.unionByName(many.limit(1).select(F.upper("path").alias("path")))).first()["accepted"]
+
+
+TABLE = "[frm]\n\t1\n\t524288\n\t0\n\t0\n\t100\n\t100\n\t[tbl]\n\t\t2 2 300 10 600 20 0 5 5\n\t\t[h]\n\t\t\t0 200 10 16 0 0 0\n\t\t\t0 210 10 0 0 0 0\n\t\t\t5 1 1 0 0 0 0\n\t\t[w]\n\t\t\t1 600 20 0 0\n\t[data]\n{}\t[e]\n"
+
+
+def test_tables_of_the_plain_form_are_what_the_parser_reads():
+    from palimpsest.parsing import quick
+
+    cell = "\t\t\t{} {} {} {} 0 0 7 1 0 0 0 0\n{}\t\t\t>\n"
+    rng, plain, read = random.Random(4), 0, 0
+    for k in range(1500):
+        cells = "".join(cell.format(rng.randrange(2), rng.randrange(2), rng.choice((0, 8, 16, 128, 256, 384)), rng.randrange(3), rng.choice(("", "\t\t\tR\n", "\t\t\t<+A>ab1\n"))) for _ in range(rng.randrange(1, 6)))
+        b = doc("<:t0>", TABLE.format(cells))
+        if k % 3:
+            at = rng.randrange(len(b))
+            b = b[:at] + rng.choice((b"9", b" ", b"\t", b"\r\n", b">", b"[", b"<", b"\x1c", b"128 ", b"\xe9", b"")) + b[at + rng.randrange(2) :]
+        read += 1
+        if q := quick.tables(b):
+            plain += 1
+            d = parse(b)
+            for r in E.TABULAR:
+                assert list(E.RELATIONS[r][0](q)) == list(E.RELATIONS[r][0](d)), (r, b)
+    assert read // 3 < plain < read
+
+
+def test_relations_of_a_row_a_table_are_the_reports_over_the_others(spark):
+    from palimpsest.plans import statistics as S
+
+    cells = ("\t\t\t0 0 8 0 0 0 0 1 0 0 0 0\n\t\t\tx\n\t\t\t>\n\t\t\t0 0 8 0 0 0 0 1 0 0 0 0\n\t\t\t>\n", "\t\t\t9 9 8 0 0 0 0 1 0 0 0 0\n\t\t\tx\n\t\t\t>\n", "".join(f"\t\t\t{r} {c} 0 0 0 0 0 0 0 0 0 0\n\t\t\t>\n" for r in (0, 1) for c in (0, 1)), "")
+    odd = [TABLE.format(c) for c in cells] + [TABLE.format(cells[0]).replace("2 2 300", x) for x in ("0 2 300", "1 3 300", "2 300")] + ["[frm]\n\t1\n\t524288\n\t[tbl]\n\t\t1 1 0 0 0 0 0 0 0\n\t[data]\n\t[e]\n", TABLE.format(cells[0]) + TABLE.format(cells[2])]
+    docs = spark.createDataFrame([(k, doc("<:t0>", x)) for k, x in enumerate(odd)], "doc_id int, content binary").repartition(2)
+    r = {n: E.relation(docs, n).cache() for n in E.TABULAR}
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    assert r["grids"].count() == 10 and same(r["grids"], S.grid_report(r["tables"], r["cells"]))
+    assert r["extents"].count() and same(r["extents"], S.extents(r["tables"], r["metrics"]))
+    for f in ("row", "column"):
+        assert same(S.index_totals(r["indexes"].where(f"family = '{f}'")), S.index_report(r["tables"], r["metrics"], f))
+
+
+def test_reports_on_tables_parse_each_document_once(spark):
+    from palimpsest.plans import corpus_queries as c
+
+    for name in ("column_index_report", "row_index_report", "table_extents", "coordinate_report", "table_grids", "tail_report", "cell_field_report"):
+        plan = c.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Join" not in plan, name
