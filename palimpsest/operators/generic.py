@@ -7,6 +7,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def parts(df: DataFrame, size: int = 4 << 20) -> int:
+    """A number of partitions that follows the input, so that what a task sorts doesn't: as many as the session shuffles to, or
+    one for each 4 MB that the plan expects. Stated numbers aren't coalesced."""
+    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-expected // size))
+
+
 def suppressed_topk(df: DataFrame, value: str, k: int = 32, least: int = 5) -> DataFrame:
     """Groups of at least `least` rows, the k largest (ties by value), each with what is not published: rows left
     out and the number of all groups. Groups are summed before anything is ranked."""

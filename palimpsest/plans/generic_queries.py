@@ -200,8 +200,9 @@ def kanon_aggregate(spark, d):
 @query("""SELECT o_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY o_orderkey ORDER BY l_linenumber RANGE UNBOUNDED PRECEDING) <= 100 AS within FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def running_budget(spark, d):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber").rangeBetween(Window.unboundedPreceding, 0)
-    o = t(spark, d, "orders").select("o_orderkey")
-    return t(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "l_linenumber", (F.sum("l_quantity").over(w) <= 100).alias("within"))
+    li, o = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), t(spark, d, "orders").select("o_orderkey")
+    n = g.parts(li)
+    return li.repartition(n, "l_orderkey").join(o.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "l_linenumber", (F.sum("l_quantity").over(w) <= 100).alias("within"))
 
 
 @query("""WITH RECURSIVE u AS (SELECT l_orderkey, l_linenumber AS n, sum(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL), l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS k FROM u),

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.generic import distribution, suppressed_topk
+from .engine import stored
 
 LEAST, TOLERANCE, MAX_GRID = 5, 3, 100_000
 
@@ -149,29 +150,35 @@ def region_observations(commands: DataFrame, layouts: DataFrame, key: str = "doc
 
 
 def region_report(obs: DataFrame) -> DataFrame:
-    """One row: regions against the body's width, multiples of the most frequent first field, the font size that follows."""
-    g = obs.groupBy("first").agg(F.count("*").alias("n"))
-    mode = g.agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("mode"))
+    """One row: regions against the body's width, multiples of the most frequent first field, the font size that follows. The
+    observations are counted by first field in one pass; the rest is sums of those counts."""
     delta = F.col("width") - F.col("body_width")
     linked = F.col("font_size") > 0
     far = F.abs(delta) > 5
     ends = F.col("first") + F.col("width")
-    j = obs.crossJoin(F.broadcast(mode))  # one row
-    return j.agg(
-        F.count("*").alias("commands"), n_if(F.col("width") == 0).alias("zero_width"), F.count("body_width").alias("usable"), *[n_if(F.abs(delta) <= t).alias(f"within_{t}") for t in range(6)],
+    per = stored(obs.groupBy("first").agg(
+        F.count("*").alias("n"), F.count("*").alias("commands"), n_if(F.col("width") == 0).alias("zero_width"), F.count("body_width").alias("usable"), *[n_if(F.abs(delta) <= t).alias(f"within_{t}") for t in range(6)],
         n_if(far & (ends <= F.col("body_width"))).alias("far_inside"), n_if(far & (ends > F.col("body_width"))).alias("far_outside"), n_if(far & (F.col("width") > F.col("body_width"))).alias("far_wider"), n_if(far & (F.col("first") >= F.col("body_width"))).alias("far_beyond"),
-        F.max("mode").alias("mode"), n_if((F.col("mode") > 0) & (F.col("first") % F.nullif(F.col("mode"), F.lit(0)) == 0)).alias("multiples"), n_if(linked).alias("font_linked"),
+        n_if(linked).alias("font_linked"),
         n_if(linked & (F.abs(F.col("first") - 1.18 * F.col("font_size")) <= 10)).alias("near_1_18_within_10"), n_if(linked & (F.abs(F.col("first") - 1.18 * F.col("font_size")) <= 20)).alias("near_1_18_within_20"),
-    )
+    ))
+    mode = per.agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("mode"))
+    s = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    counts = [c for c in per.columns if c not in ("first", "n")]
+    last = counts.index("font_linked")
+    multiples = F.coalesce(F.sum(F.when((F.col("mode") > 0) & (F.col("first") % F.nullif(F.col("mode"), F.lit(0)) == 0), F.col("n"))), F.lit(0)).alias("multiples")
+    return per.crossJoin(F.broadcast(mode)).agg(*map(s, counts[:last]), F.max("mode").alias("mode"), multiples, *map(s, counts[last:]))  # one row
 
 
 def region_density(obs: DataFrame, widths: int = 5, multiples: int = 6, least: int = LEAST) -> DataFrame:
-    """Material characters by width (the most frequent ones) and multiple of the most frequent first field."""
-    mode = obs.groupBy("first").agg(F.count("*").alias("n")).agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("mode"))
-    top = obs.groupBy("width").agg(F.count("*").alias("w_n")).orderBy(F.desc("w_n"), "width").limit(widths).select("width")  # the report's own limit
+    """Material characters by width (the most frequent ones) and multiple of the most frequent first field. Equal observations
+    are counted in one pass first."""
+    obs = stored(obs.groupBy("width", "first", "material").agg(F.count("*").alias("n")))
+    mode = obs.groupBy("first").agg(F.sum("n").alias("n")).agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("mode"))
+    top = obs.groupBy("width").agg(F.sum("n").alias("w_n")).orderBy(F.desc("w_n"), "width").limit(widths).select("width")  # the report's own limit
     j = obs.join(F.broadcast(top), "width").crossJoin(F.broadcast(mode)).where("mode > 0 and first % mode = 0")
     j = j.withColumn("multiple", F.expr("first div mode")).where(F.col("multiple").between(1, multiples))
-    return j.groupBy("width", "multiple").agg(F.count("*").alias("n"), F.min("material").alias("low"), F.percentile("material", F.lit(0.5)).alias("median"), F.max("material").alias("high")).where(F.col("n") >= least)
+    return j.groupBy("width", "multiple").agg(F.sum("n").alias("n"), F.min("material").alias("low"), F.percentile("material", F.lit(0.5), F.col("n")).alias("median"), F.max("material").alias("high")).where(F.col("n") >= least)
 
 
 def indent_report(commands: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -189,7 +196,7 @@ def corpus_report(relations: dict[str, DataFrame], key: str = "doc_id") -> DataF
     i, c = relations["indexes"], relations["cells"]
     parts = {
         "row_index": index_totals(i.where("family = 'row'")), "column_index": index_totals(i.where("family = 'column'")), "coordinates": coordinate_report(relations["grids"]), "merges": merge_report(c), "tails": tail_report(relations["extents"]), "cell_fields": cell_field_report(c),
-        "regions": region_report(region_observations(relations["commands"], relations["layouts"], key)), "indents": indent_report(relations["commands"], key), "shading": distribution(c.select(F.col("fields")[5].alias("v")), "v"),
+        "regions": region_report(relations["regions"]), "indents": indent_report(relations["commands"], key), "shading": distribution(c.select(F.col("fields")[5].alias("v")), "v"),
     }
     out = None
     for name, df in parts.items():

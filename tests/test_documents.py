@@ -459,6 +459,48 @@ def test_relations_of_a_row_a_table_are_the_reports_over_the_others(spark):
 def test_reports_on_tables_parse_each_document_once(spark):
     from palimpsest.plans import corpus_queries as c
 
-    for name in ("column_index_report", "row_index_report", "table_extents", "coordinate_report", "table_grids", "tail_report", "cell_field_report"):
+    for name in ("column_index_report", "row_index_report", "table_extents", "coordinate_report", "table_grids", "tail_report", "cell_field_report", "promoted_furniture"):
         plan = c.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("MapInArrow") == 1 and "Join" not in plan, name
+
+
+def _same(a, b):
+    return sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+
+
+def test_regions_and_furniture_of_a_document_are_those_of_the_joined_relations(spark):
+    from palimpsest.plans import statistics as S
+
+    rng = random.Random(8)
+    side = lambda m, left: f"\t[{m}]\n" + "".join(f"\t\t{x}\n" for x in (15840, 12240, 0, left, rng.choice((200, 1440)), 1, rng.choice((200, 1440)), 1440, 0))
+    head = lambda m: f"\t[{m}]\n\t\t[lyfrm]\n\t\t\t1\n\t\t\t2048\n\t\t\t0\n\t\t\t0\n\t\t\t900\n\t\t\t900\n\t\t[txt]\n" + "\n\n".join("l" * rng.choice((1, 300)) for _ in range(rng.randrange(4))) + rng.choice(("\n>\n", "\n"))
+    made = []
+    for k in range(250):
+        lay = "".join(f"[lay]\n\tMain\n\t{rng.choice((1, 513, 1025))}\n" + side("rght", rng.choice((1440, 99999))) + (side("lft", 1000) if rng.random() < 0.5 else "") + "".join(head(rng.choice(("hrght", "hlft", "frght", "flft"))) for _ in range(rng.randrange(4))) for _ in range(rng.randrange(3)))
+        body = "\n\n".join("".join(rng.choice(("<:#283,9000>", "<:#0,0>", "<:#-5,7>", "<:f240,1Arial>", "<:f,1Arial>", "<:I1,5,0,0>", "word ")) for _ in range(rng.randrange(6))) for _ in range(rng.randrange(5)))
+        made.append((k, doc(body, lay)))
+    docs = spark.createDataFrame(made, "doc_id int, content binary").repartition(2)
+    r = {n: E.relation(docs, n).cache() for n in ("commands", "layouts", "blocks", "regions", "promoted")}
+    assert r["regions"].count() > 50 and _same(r["regions"], S.region_observations(r["commands"], r["layouts"]).select(*r["regions"].columns))
+    assert r["promoted"].count() > 5 and _same(r["promoted"], E.promoted(r["blocks"], r["layouts"]))
+    both = E.together(docs, ("commands", "layouts", "regions"))
+    assert all(_same(both[n], r[n]) for n in ("commands", "layouts", "regions"))
+    tables = E.together(spark.createDataFrame([(1, doc("<:t0>", TABLE.format("\t\t\t0 0 8 0 0 0 0 1 0 0 0 0\n\t\t\tx\n\t\t\t>\n"))), (2, None), (3, b"x")], "doc_id int, content binary"), ("grids", "cells"))
+    assert tables["grids"].count() == tables["cells"].count() == 1
+
+
+def test_fonts_are_listed_once_a_document(spark):
+    body = "".join(f"<:f{k},1Courier>w<:f>v" for k in range(20, 60))
+    f = E.relation(spark.createDataFrame([(1, doc(body))], "doc_id int, content binary"), "fonts")
+    assert sorted((r["source"], r["family"]) for r in f.collect()) == [("run", "Arial"), ("run", "Courier"), ("style", "Arial")]
+
+
+def test_batches_and_partitions_follow_the_input(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(doc("a")).alias("content")).repartition(1)
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    r = E.renderer("odt")(docs)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2048 and r.count() == 5000
+    for k, v in old.items():
+        spark.conf.set(k, v) if v else spark.conf.unset(k)
+    few = spark.range(1 << 20)
+    assert g.parts(few) == max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))) and g.parts(few, 1 << 16) == 128
